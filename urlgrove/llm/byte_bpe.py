@@ -12,8 +12,7 @@ they bear the name of an output, which then replaces them.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .arrow import map_rows
 from .tokens import chunks, token_bytes
@@ -49,16 +48,27 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
     return map_rows(df, run, schema)
 
 
+def decoded_bytes(packed: list[bytes | None], path: str) -> list[bytes]:
+    piece = token_bytes(path).__getitem__
+    return [b"".join(map(piece, np.frombuffer(i or b"", "<u4").tolist())) for i in packed]
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` (binary) from packed ids. Ids outside the vocabulary, or ids cut short, are an error."""
     keep = [c for c in df.columns if c != out]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep]
+    run = lambda cols: {c: cols[c] for c in keep} | {out: decoded_bytes(cols[ids], path)}
+    return map_rows(df, run, ", ".join([*fields, f"`{out}` binary"]))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """doc_id, ids and decoded in one pass over the texts: half the Python workers of ``encode`` and ``decode`` in turn."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        piece = token_bytes(path).__getitem__
-        return {c: cols[c] for c in keep} | {out: [b"".join(map(piece, np.frombuffer(i or b"", "<u4").tolist())) for i in cols[ids]]}
+        packed = chunks(path, True).encode([t or "" for t in cols[text]])
+        return {"doc_id": cols["doc_id"], "ids": packed, "decoded": decoded_bytes(packed, path)}
 
-    return map_rows(df, run, ", ".join([*fields, f"`{out}` binary"]))
+    return map_rows(df.select("doc_id", text), run, "doc_id long, ids binary, decoded binary")
 
 
 def whole_characters(parts: list[bytes]) -> list[str]:
@@ -67,7 +77,3 @@ def whole_characters(parts: list[bytes]) -> list[str]:
 
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     return [decoder.decode(p, final=k == len(parts) - 1) for k, p in enumerate(parts)]
-
-
-def n_ids(ids: Column) -> Column:
-    return F.coalesce(F.octet_length(ids), F.lit(0)).cast("long") / F.lit(4)

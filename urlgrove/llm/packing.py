@@ -131,7 +131,7 @@ def best_fit(pieces: DataFrame, scratch: Scratch, capacity: int = 2048) -> DataF
     spark = scratch.spark
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(1 << 20)))
     # few rows a bucket: as many buckets of a length as pieces need, at most one a salt
-    size = F.greatest(F.lit(1), F.ceil(F.col("_n") / 5_000)).cast("long")
+    size = F.greatest(F.lit(1), F.ceil(F.col("_n") / 1_000)).cast("long")
     counts = pieces.groupBy("length").agg(F.count("*").alias("_n"))
     rows = counts.collect()  # at most `capacity` rows: the domain of length
     assert all(1 <= r.length <= capacity for r in rows), "piece lengths must be from 1 to the capacity"

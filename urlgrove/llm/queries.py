@@ -21,7 +21,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the tokenizers file holds the same ranks as the .tiktoken file
     path = vocabulary("byte_bpe_50k.json")
     docs = pick(table(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string"})
-    done = byte_bpe.decode(byte_bpe.encode(docs, path).select("doc_id", "ids"), path)
+    done = byte_bpe.round_trip(docs, path)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -15,9 +15,11 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a worker remembers, and the longest chunk that it remembers.
-MEMO, LONGEST = 300_000, 64
+MEMO, LONGEST = 400_000, 64
 #: A space beside more white space: the cut before it isn't safe for byte-level patterns.
 DOUBLE = re.compile(r" \s|\s |^ |\s$")
+#: Runs of marks, which are one unit, and control characters that only Python counts as white space.
+RUNS = re.compile(r"[^\w\s]{2}|_|[\x1c-\x1f]")
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -32,27 +34,67 @@ class Chunks:
         self.tokenizer.encode_special_tokens = byte_level
         self.byte_level = byte_level
         self.memo: dict[str, bytes] = {}
+        self.ends: np.ndarray | None = None
 
     def split(self, text: str) -> list[str]:
-        if not self.byte_level:  # white space only separates words here
-            return text.replace("\n", " ").split(" ")
+        if not self.byte_level:  # white space only separates words here, and case is dropped
+            if not latin(text):
+                return text.replace("\n", " ").split(" ")
+            text = text.lower()
+            if RUNS.search(text):
+                return text.replace("\n", " ").split(" ")
+            return text.replace(",", " , ").replace(".", " . ").split()
         if "\0" in text or DOUBLE.search(text):
             return SAFE.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks. A full stop or comma after a letter is a token run of its own, so it is encoded apart."""
+        cores = {c: c[:-1] for c in new if c.endswith((",", ".")) and c[-2:-1].isalpha()}
+        wanted = list({*cores.values(), *new - cores.keys(), ",", "."} if cores else new)
+        known = self.encode_words(wanted) if not self.byte_level else {}
+        rest = [c for c in wanted if c not in known]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        return known | {c: known[core] + known[c[-1]] for c, core in cores.items()}
+
+    def encode_words(self, wanted: list[str]) -> dict[str, bytes]:
+        """Ids of the plain words among ``wanted``, encoded as texts of many words: each word's last id ends a word."""
+        plain, out = [c for c in wanted if c.isalpha() and (c.isascii() or latin(c))], {}
+        if self.ends is None:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) == len(part):  # else the words go one by one
+                data, starts = ids.tobytes(), [0, *stops.tolist()]
+                out |= {c: data[starts[k] : starts[k + 1]] for k, c in enumerate(part)}
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, long = self.memo, {}
-        split = [self.split(t) for t in texts]
-        new = set().union(*split) - memo.keys()
-        for chunk, e in zip(new := list(new), self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            (memo if len(chunk) <= LONGEST else long)[chunk] = np.array(e.ids, "<u4").tobytes()
-        if long:
+        memo, split = self.memo, [self.split(t) for t in texts]
+        new = self.learn(set().union(*split) - memo.keys())
+        if long := {c: i for c, i in new.items() if len(c) > LONGEST}:
+            memo.update((c, i) for c, i in new.items() if c not in long)
             return [b"".join([memo[c] if c in memo else long[c] for c in s]) for s in split]
+        memo.update(new)
         return [b"".join(map(memo.__getitem__, s)) for s in split]
 
 
+def latin(text: str) -> bool:
+    """Only characters that lose case one by one, and compose with nothing."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=4)
 def chunks(path: str, byte_level: bool) -> Chunks:
     return Chunks(path, byte_level)
