@@ -8,8 +8,9 @@ compared exhaustively inside one task: signatures rule out the clearly dissimila
 rest are confirmed on their full sets, and only a spanning set of links leaves the
 task. A larger node is first compared in random groups of ``limit`` that share a pivot,
 which joins dense groups of copies at once; nodes whose members all lie in one
-component then go, and the others branch again. Nodes that are still large at the last
-level are compared block by block, so no candidate is ever capped.
+component then go. Of the others, those of up to ``blocks`` times the limit are compared
+block by block, the larger ones branch again, and at the last level all that is left is
+compared block by block, so no candidate is ever capped.
 
 Recall: a pair at similarity s reaches the same node of a tree with the survival
 probability of a branching process of mean ``branch * s``; at 0.75, 8 trees of branch 2
@@ -108,7 +109,7 @@ def confirm(percent: int):
     return run
 
 
-def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, depth: int = 8, floor: float = 0.53) -> DataFrame:
+def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, blocks: int = 40, depth: int = 8, floor: float = 0.53) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     drawn = scratch.save(sketch(docs, tokens), "sketch")
@@ -154,11 +155,14 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         large = scratch.save(large.join(mixed, "node"), f"large-{level}")
         if large.isEmpty():
             break
-        if level == depth:  # block by block: every pair of blocks meets in one group of at most 2 * limit
-            parts = F.ceil(F.col("n") / limit).cast("int")
-            own = F.pmod(F.xxhash64("id"), parts).cast("int")
-            pairs = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            made.append(links_of(pairs.select(F.col("node").alias("g1"), (F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")).alias("g2"), "id", "color"), "rest"))
+        # up to ``blocks`` blocks (at the last level any number) meet pair by pair, in groups of at most 2 * limit
+        parts = F.ceil(F.col("n") / limit).cast("int")
+        whole = large if level == depth else large.where(parts <= blocks)
+        pairs = whole.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pair = (F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")).alias("g2")
+        made.append(links_of(pairs.select(F.col("node").alias("g1"), pair, "id", "color"), f"pairs-{level}"))
+        large = large.where(parts > blocks)
+        if level == depth or large.isEmpty():
             found = colors()
             break
         first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(tokens)).cast("int")

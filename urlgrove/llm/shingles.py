@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -51,13 +53,18 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
 
 
 def minhash(h: np.ndarray, t: int, seed: int = 7) -> np.ndarray:
-    """``t`` minimum hashes of 32 bits; a non-empty set."""
+    """``t`` minimum hashes of 32 bits, under random permutations of the hashes' upper halves; a non-empty set."""
+    a, b = permutations(t, seed)
+    x, out = (h >> np.uint64(32)).astype(np.uint32), np.full(t, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(out, (x[None, at : at + 512] * a + b).min(axis=1), out=out)
+    return out
+
+
+@lru_cache(maxsize=8)
+def permutations(t: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, 1 << 63, t, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, t, dtype=np.uint64)
-    out = np.full(t, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1024):
-        np.minimum(out, (h[None, at : at + 1024] * a[:, None] + b[:, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (rng.integers(0, 1 << 31, (t, 1)) * 2 + 1).astype(np.uint32), rng.integers(0, 1 << 32, (t, 1)).astype(np.uint32)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = 75) -> bool:
