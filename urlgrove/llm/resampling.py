@@ -26,20 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
+from .shingles import word_hashes
 from .store import Scratch, pick, small
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-MEMO: dict[str, int] = {}
 
 
 def features(text: str | None, buckets: int) -> np.ndarray:
     """Bucket of each unigram and bigram of the text."""
-    if len(MEMO) > 500_000:
-        MEMO.clear()
-    tokens = TOKEN.findall(text or "")
-    for t in set(tokens) - MEMO.keys():
-        MEMO[t] = xxhash.xxh3_64_intdigest(t)
-    h = np.fromiter(map(MEMO.__getitem__, tokens), np.uint64, len(tokens))
+    h = word_hashes(TOKEN.findall(text or ""))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
     return (np.append(h, pairs) >> np.uint64(32)).astype(np.int64) % buckets
 

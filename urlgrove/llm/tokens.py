@@ -78,7 +78,7 @@ class Chunks:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, split = self.memo, [self.split(t) for t in texts]
-        new = self.learn(set().union(*split) - memo.keys())
+        new = self.learn({c for c in set().union(*split) if c not in memo})
         if long := {c: i for c, i in new.items() if len(c) > LONGEST}:
             memo.update((c, i) for c, i in new.items() if c not in long)
             return [b"".join([memo[c] if c in memo else long[c] for c in s]) for s in split]
