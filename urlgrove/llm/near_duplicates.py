@@ -184,4 +184,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group stays; columns and all other documents as they are."""
     gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "gone").save(gone, "ids")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = small(gone)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -126,4 +126,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents drawn, with their own columns. Documents without doc_id stay."""
     drawn = Scratch(docs.sparkSession, "drawn").save(resample(docs, labels, **options).select(F.col("doc_id").alias("_kept")).distinct(), "ids")
     gone = docs.select(F.col("doc_id").alias("_gone")).distinct().join(drawn, F.col("_gone") == F.col("_kept"), "left_anti")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = small(gone)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
