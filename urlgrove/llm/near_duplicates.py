@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import map_groups, map_rows
@@ -142,7 +143,11 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         nodes = scratch.save(nodes.where("n > 1 and c0 < c1").groupBy("n", "of").agg(F.min(F.struct("node", "pivot")).alias("x")).select("x.node", "x.pivot", "n"), f"nodes-{level}")
         members = scratch.save(rows.join(nodes, "node"), f"members-{level}")
         parts = F.ceil(F.col("n") / limit).cast("long")
-        dealt = members.select(F.col("node").alias("g1"), F.pmod(F.xxhash64("id", F.lit(level)), parts).alias("g2"), "id", "color")
+        # of the large nodes, the groups of two for each document; the rest of their work comes below
+        turn = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "node"))
+        wide = members.where(F.col("n") > limit).withColumn("turn", turn).where("turn <= 2").drop("turn")
+        dealt = members.where(F.col("n") <= limit).unionByName(wide)
+        dealt = dealt.select(F.col("node").alias("g1"), F.pmod(F.xxhash64("id", F.lit(level)), parts).alias("g2"), "id", "color")
         pivots = nodes.where(F.col("n") > limit).select(F.col("node").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("g2"), F.col("pivot").alias("id"), "node")
         pivots = pivots.join(members.select("node", "id", "color"), ["node", "id"]).select("g1", "g2", "id", "color")
         made.append(links_of(dealt.unionByName(pivots), str(level)))
@@ -151,16 +156,20 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         if large.isEmpty():
             break
         large = large.join(found, large.id == found.node, "left").select(large.node, "id", "n", F.coalesce("root", "id").alias("color"))
-        mixed = large.groupBy("node").agg(F.min("color").alias("c0"), F.max("color").alias("c1")).where("c0 < c1").select("node")
+        mixed = large.groupBy("node").agg(F.min("color").alias("c0"), F.max("color").alias("c1"), F.mode("color", True).alias("major")).where("c0 < c1").select("node", "major")
         large = scratch.save(large.join(mixed, "node"), f"large-{level}")
         if large.isEmpty():
             break
-        # up to ``blocks`` blocks (at the last level any number) meet pair by pair, in groups of at most 2 * limit
+        # up to ``blocks`` blocks (at the last level any number) are compared exhaustively: the few rows outside a
+        # node's main component meet every block; where they aren't few, all blocks meet pair by pair
         parts = F.ceil(F.col("n") / limit).cast("int")
-        whole = large if level == depth else large.where(parts <= blocks)
-        pairs = whole.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        pair = (F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")).alias("g2")
-        made.append(links_of(pairs.select(F.col("node").alias("g1"), pair, "id", "color"), f"pairs-{level}"))
+        own, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+        others = large.where("color <> major").groupBy("node").agg(F.count("*").alias("others"))
+        whole = (large if level == depth else large.where(parts <= blocks)).join(others, "node").withColumn("own", own)
+        few, outside = F.col("others") <= limit, F.col("color") != F.col("major")
+        whole = whole.withColumn("other", F.explode(F.when(few & ~outside, F.array("own")).otherwise(every)))
+        low, high = F.when(few, F.col("other")).otherwise(F.least("own", "other")), F.when(few, F.lit(0)).otherwise(F.greatest("own", "other"))
+        made.append(links_of(whole.select(F.col("node").alias("g1"), (low.cast("long") * F.lit(1 << 31) + high).alias("g2"), "id", "color"), f"pairs-{level}"))
         large = large.where(parts > blocks)
         if level == depth or large.isEmpty():
             found = colors()
