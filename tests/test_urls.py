@@ -26,7 +26,7 @@ def test_lexical_row(spark):
     assert (r.has_https, r.has_ip, r.num_at, r.num_subdomains, r.num_dots, r.digit_to_letter_ratio) == (1, 0, 0, 1, 3, 0.0)
     r = one(spark, "http://obec.go.th@evil.com:8080/login;x?a=1&b=2")
     assert (r.host, r.num_at, r.has_port, r.path, r.query_param_count, r.has_login_keyword) == ("evil.com", 1, 1, "/login", 2, 1)
-    assert one(spark, "http://203.0.113.45/x").digit_to_letter_ratio == 2.0 or one(spark, "http://203.0.113.45/x").digit_to_letter_ratio == 10 / 5
+    assert one(spark, "http://203.0.113.45/x").digit_to_letter_ratio == 9.0
 
 
 @pytest.mark.parametrize("host, domain, label", [("www.obec.go.th", "obec.go.th", "obec"), ("a.b.c.obec.go.th", "obec.go.th", "obec"), ("www.example.com", "example.com", "example"), ("mail.scb.co.th", "scb.co.th", "scb"), ("google.com", "google.com", "google")])
@@ -45,7 +45,8 @@ def test_brand_matches(spark):
     assert pick(urls[1]) == (0, 1, "obec.go.th")
     assert pick(urls[2]) == (1, 1, "obec.go.th")
     assert pick(urls[3])[1] == 0
-    assert pick(urls[4]) == (0, 1, "chula.ac.th") and got[urls[4]].homoglyph_distance == 0
+    # one edit away already, hence a typosquat by its raw label; folded it is the brand itself
+    assert pick(urls[4]) == (1, 1, "chula.ac.th") and got[urls[4]].homoglyph_distance == 0
     assert pick(urls[5])[:2] == (999, 0) and got[urls[5]].path_brand_hit == 0
     assert got[urls[6]].path_brand_hit == 1
 

@@ -87,7 +87,8 @@ def words_of(text: Column) -> Column:
 def lexical(df: DataFrame) -> DataFrame:
     """Lexical feature columns beside those of ``url_parts``."""
     host, labels, norm = F.col("host"), F.col("labels"), F.col("norm")
-    digits, letters = F.regexp_count(norm, F.lit(r"\p{Nd}")), F.regexp_count(norm, F.lit(r"\p{L}"))
+    digits = F.regexp_count(norm, F.lit(r"\p{Nd}"))
+    host_digits, letters = F.regexp_count(host, F.lit(r"\p{Nd}")), F.regexp_count(host, F.lit(r"\p{L}"))
     port = F.regexp_extract("netloc", r":(\d+)$", 1)
     flag = lambda c: c.cast("int")
     tld_type = F.coalesce(F.get(F.filter(literals(TLD_TYPES), lambda s: host.endswith(F.concat(F.lit("."), s))), F.lit(0)), F.lit("other"))
@@ -116,7 +117,7 @@ def lexical(df: DataFrame) -> DataFrame:
         "query_param_count": F.when(F.col("query") == "", 0).otherwise(occurrences(F.col("query"), "&") + 1),
         "path_entropy": entropy(F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("path"))),
         "host_token_count": F.size(F.regexp_extract_all(host, F.lit(r"[^.\-]+"), F.lit(0))),
-        "digit_to_letter_ratio": F.round(F.when(letters > 0, digits / letters).otherwise(digits.cast("double")), 6),
+        "digit_to_letter_ratio": F.round(F.when(letters > 0, host_digits / letters).otherwise(host_digits.cast("double")), 6),
     })
 
 

@@ -47,7 +47,7 @@ SELECT p.page_id, length(url) AS url_length, length(url) - length(replace(url, '
  CAST(list_has_any(regexp_extract_all(lower(url), '[a-z0-9]+'), {listed(LOGIN_KEYWORDS)}) AS INT) AS has_login_keyword, CAST(list_contains({listed(SUSPICIOUS_TLDS)}, split_part(host, '.', -1)) AS INT) AS has_suspicious_tld,
  length(path) AS path_length, len(list_intersect(list_distinct(regexp_extract_all(lower(path || ' ' || query), '[a-z0-9]+')), {listed(LOGIN_KEYWORDS)})) AS num_login_keywords,
  CASE WHEN query = '' THEN 0 ELSE length(query) - length(replace(query, '&', '')) + 1 END AS query_param_count, coalesce(pe.e, 0) AS path_entropy, len(regexp_extract_all(host, '[^.\\-]+')) AS host_token_count,
- round(len(regexp_extract_all(url, '[0-9]')) * 1.0 / len(regexp_extract_all(url, '[A-Za-z]')), 6) AS digit_to_letter_ratio
+ round(len(regexp_extract_all(host, '[0-9]')) * 1.0 / len(regexp_extract_all(host, '[A-Za-z]')), 6) AS digit_to_letter_ratio
 FROM p LEFT JOIN ue USING (page_id) LEFT JOIN pe USING (page_id)""")
 def url_lexical_features(spark, d):
     from ..functions.urls import lexical
