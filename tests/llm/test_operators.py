@@ -166,8 +166,8 @@ def brute_classes(texts):
     return [root(k) for k in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("limit, blocks", [(100, 40), (4, 2), (3, 1)])
-def test_near_duplicates(spark, limit, blocks):
+@pytest.mark.parametrize("limit, block, blocks", [(100, 300, 14), (4, 4, 2), (3, 5, 1)])
+def test_near_duplicates(spark, limit, block, blocks):
     r, texts = random.Random(5), [*ODD, "A b", "a  B"]
     for k in range(12):
         base = prose(k, 120).split()
@@ -177,7 +177,7 @@ def test_near_duplicates(spark, limit, blocks):
                 w[r.randrange(len(w))] = "edit%d" % r.randrange(99)
             texts.append(" ".join(w))
     root, sizes = brute_classes(texts)
-    got = near_duplicates.near_duplicates(table(spark, texts), limit=limit, blocks=blocks).collect()
+    got = near_duplicates.near_duplicates(table(spark, texts), limit=limit, block=block, blocks=blocks).collect()
     assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in got} == {k: (root[k], sizes[k], root[k] == k) for k in range(len(texts))}
     if limit == 100:
         kept = near_duplicates.drop_near_duplicates(table(spark, texts))

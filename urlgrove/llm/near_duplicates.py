@@ -6,10 +6,11 @@ root that holds everything and branches on chosen coordinates of the signature:
 documents of a child agree on the chosen token. A node of at most ``limit`` members is
 compared exhaustively inside one task: signatures rule out the clearly dissimilar, the
 rest are confirmed on their full sets, and only a spanning set of links leaves the
-task. A larger node is first compared in random groups of ``limit`` that share a pivot,
-which joins dense groups of copies at once; nodes whose members all lie in one
-component then go. Of the others, those of up to ``blocks`` times the limit are compared
-block by block, the larger ones branch again, and at the last level all that is left is
+task. A larger node is first compared in random groups of ``limit`` that share pivots:
+the members closest to the node's modal signature, so that copies edited from one
+original, which link with it more than with each other, join at once; nodes whose members
+all lie in one component then go. Of the others, those of up to ``blocks`` blocks are compared block
+by block, the larger ones branch again, and at the last level all that is left is
 compared block by block, so no candidate is ever capped.
 
 Recall: a pair at similarity s reaches the same node of a tree with the survival
@@ -71,46 +72,87 @@ class Forest(dict):
 
 
 def similar_groups(floor: float):
-    """Group function: members of a node whose signatures agree with a member of another component, by cluster."""
+    """Group function: members of a node whose signatures agree with a member of another component, by cluster.
+
+    ``mates`` are the packed ids that a member is to be confirmed with. Roots are coordinates of the signature: a
+    pair that also meets at an earlier root (``mask``: those compared exhaustively) is left to that root.
+    """
 
     def run(rows: list[dict]) -> list[dict]:
         rows = list({r["id"]: r for r in rows}.values())
         if len(rows) < 2:
             return []
         sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(len(rows), -1)
-        colors, trees, out = np.array([r["color"] for r in rows]), Forest(), {}
+        ids, colors, trees, out, mates = np.array([r["id"] for r in rows], np.int64), np.array([r["color"] for r in rows]), Forest(), {}, {}
+        k = rows[0]["k"]
+        earlier = np.array([r["mask"] for r in rows], np.int64)[:, None] >> np.arange(k) & 1
         for i in range(len(rows) - 1):
-            near = np.flatnonzero(((sigs[i + 1 :] == sigs[i]).mean(axis=1) >= floor) & (colors[i + 1 :] != colors[i]))
-            for j in near + i + 1:
+            near = i + 1 + np.flatnonzero(((sigs[i + 1 :] == sigs[i]).mean(axis=1) >= floor) & (colors[i + 1 :] != colors[i]))
+            if k and len(near):
+                near = near[~((sigs[near, :k] == sigs[i, :k]) & (earlier[i] == 1)).any(axis=1)]
+            if len(near):
+                mates[i] = ids[near].tobytes()
+            for j in near:
                 trees.join(i, int(j))
         for i in list(trees):
             out.setdefault(trees.root(i), []).append(i)
         found = []
         for of in out.values():
-            name = xxhash.xxh3_64_intdigest(np.sort(np.array([rows[i]["id"] for i in of], np.int64)).tobytes()) - (1 << 63)
-            found += [{"cluster": name, "id": rows[i]["id"], "color": rows[i]["color"]} for i in of]
+            of.sort(key=lambda i: rows[i]["id"])
+            name = xxhash.xxh3_64_intdigest(b"|".join(ids[i].tobytes() + mates.get(i, b"") for i in of)) - (1 << 63)
+            found += [{"cluster": name, "id": rows[i]["id"], "color": rows[i]["color"], "mates": mates.get(i, b"")} for i in of]
         return found
 
     return run
 
 
+def modal(rows: list[dict]) -> list[dict]:
+    """Group function: the most frequent minwise token at each coordinate, over a node's sampled members."""
+    sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(len(rows), -1)
+    often = []
+    for column in sigs.T:
+        tokens, n = np.unique(column, return_counts=True)
+        often.append(tokens[n.argmax()])
+    return [{"node": rows[0]["node"], "mode": np.array(often, "<u4").tobytes()}]
+
+
+def pivots_of(wide: DataFrame, reps: DataFrame, scratch: Scratch, tag: str, of_node: int, limit: int) -> DataFrame:
+    """node and the ids of its ``of_node`` members that agree best with its modal signature.
+
+    ``wide`` is (node, id, n). The mode comes from one random group of about ``limit`` members; it only
+    orders the members, and which of them are pivots changes the work, never the links that are confirmed.
+    """
+    signed = scratch.save(wide.join(reps, "id"), f"signed-{tag}")
+    drawn = signed.where(F.pmod(F.xxhash64("id", F.lit("mode")), F.ceil(F.col("n") / limit).cast("long")) == 0)
+    modes = scratch.save(map_groups(drawn.select("node", "sig"), ["node"], modal, "node long, mode binary"), f"modes-{tag}")
+
+    def agree(cols: dict[str, list]) -> dict[str, list]:
+        x, y = (np.frombuffer(b"".join(cols[c]), "<u4").reshape(len(cols[c]), -1) for c in ("sig", "mode"))
+        return {"node": cols["node"], "id": cols["id"], "agree": (x == y).sum(axis=1).tolist()}
+
+    scored = map_rows(signed.join(modes, "node").select("node", "id", "sig", "mode"), agree, "node long, id long, agree int")
+    best = F.row_number().over(W.partitionBy("node").orderBy(F.desc("agree"), "id"))
+    return scored.withColumn("nth", best).where(F.col("nth") <= of_node).select("node", "id")
+
+
 def confirm(percent: int):
-    """Group function: links, confirmed on full sets, that span each group; members of one component count as linked."""
+    """Group function: links between mates, confirmed on full sets, that span each group; members of one component count as linked."""
 
     def run(rows: list[dict]) -> list[dict]:
-        sets, trees, out = [shingle_set(r["text"]) for r in rows], Forest(), []
-        for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                a, b = trees.root(rows[i]["color"]), trees.root(rows[j]["color"])
-                if a != b and linked(sets[i], sets[j], percent):
+        sets, trees, out = {r["id"]: shingle_set(r["text"]) for r in rows}, Forest(), []
+        colors = {r["id"]: r["color"] for r in rows}
+        for r in rows:
+            for mate in np.frombuffer(r["mates"], np.int64).tolist():
+                a, b = trees.root(r["color"]), trees.root(colors[mate])
+                if a != b and linked(sets[r["id"]], sets[mate], percent):
                     trees.join(a, b)
-                    out.append({"a": rows[i]["id"], "b": rows[j]["id"]})
+                    out.append({"a": r["id"], "b": mate})
         return out
 
     return run
 
 
-def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, blocks: int = 40, depth: int = 8, floor: float = 0.53) -> DataFrame:
+def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, block: int = 300, blocks: int = 14, depth: int = 8, floor: float = 0.53, pivots: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     drawn = scratch.save(sketch(docs, tokens), "sketch")
@@ -119,16 +161,16 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
     reps = scratch.save(reps.select("id", "sig"), "reps")
     token = lambda c: F.expr(f"substring(sig, 4 * ({c}) + 1, 4)")
     roots = [F.xxhash64(F.lit(k // branch), F.lit(k), token(k)) for k in range(trees * branch)]
-    rows = reps.select("id", F.col("id").alias("color"), F.explode(F.array(*roots)).alias("node"))
+    rows = reps.select("id", F.col("id").alias("color"), F.posexplode(F.array(*roots)).alias("k", "node"))
     made: list[DataFrame] = []
 
     def links_of(groups: DataFrame, tag: str) -> DataFrame:
-        """Confirmed links inside groups (g1, g2, id, color) of bounded size."""
+        """Confirmed links inside groups (g1, g2, id, color, k, mask) of bounded size."""
         with_sig = groups.join(reps, "id")
-        near = map_groups(with_sig, ["g1", "g2"], similar_groups(floor), "cluster long, id long, color long")
+        near = map_groups(with_sig, ["g1", "g2"], similar_groups(floor), "cluster long, id long, color long, mates binary")
         near = scratch.save(near.distinct(), f"near-{tag}")
         texts = docs.join(small(near.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi")
-        full = near.join(texts, F.col("id") == F.col("doc_id")).select("cluster", "id", "color", "text")
+        full = near.join(texts, F.col("id") == F.col("doc_id")).select("cluster", "id", "color", "mates", "text")
         return scratch.save(map_groups(full, ["cluster"], confirm(percent), "a long, b long", ["id"]), f"links-{tag}")
 
     def colors() -> DataFrame:
@@ -138,38 +180,46 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         return components(links, scratch, f"components-{len(made)}")
 
     for level in range(1, depth + 1):
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("color").alias("c0"), F.max("color").alias("c1"))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("color").alias("c0"), F.max("color").alias("c1"))
         # nodes with the same members are compared once
-        nodes = scratch.save(nodes.where("n > 1 and c0 < c1").groupBy("n", "of").agg(F.min(F.struct("node", "pivot")).alias("x")).select("x.node", "x.pivot", "n"), f"nodes-{level}")
+        nodes = scratch.save(nodes.where("n > 1 and c0 < c1").groupBy("n", "of").agg(F.min("node").alias("node")).select("node", "n"), f"nodes-{level}")
         members = scratch.save(rows.join(nodes, "node"), f"members-{level}")
+        # the roots of each document whose nodes are compared exhaustively: a pair is left to the first that it shares
+        first_of = members.where((F.col("k") >= 0) & (F.col("n") <= block * blocks)).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+        first_of = scratch.save(first_of, f"roots-{level}")
+        masked = lambda df: df.join(first_of, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).withColumn("k", F.greatest("k", F.lit(0)))  # noqa: B023, E731
         parts = F.ceil(F.col("n") / limit).cast("long")
         # of the large nodes, the groups of two for each document; the rest of their work comes below
         turn = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "node"))
         wide = members.where(F.col("n") > limit).withColumn("turn", turn).where("turn <= 2").drop("turn")
-        dealt = members.where(F.col("n") <= limit).unionByName(wide)
-        dealt = dealt.select(F.col("node").alias("g1"), F.pmod(F.xxhash64("id", F.lit(level)), parts).alias("g2"), "id", "color")
-        pivots = nodes.where(F.col("n") > limit).select(F.col("node").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("g2"), F.col("pivot").alias("id"), "node")
-        pivots = pivots.join(members.select("node", "id", "color"), ["node", "id"]).select("g1", "g2", "id", "color")
-        made.append(links_of(dealt.unionByName(pivots), str(level)))
+        dealt = masked(members.where(F.col("n") <= limit)).unionByName(wide.withColumns({"k": F.lit(0), "mask": F.lit(0)}))
+        dealt = dealt.select(F.col("node").alias("g1"), F.pmod(F.xxhash64("id", F.lit(level)), parts).alias("g2"), "id", "color", "k", "mask")
+        wide = members.where(F.col("n") > limit)
+        if not wide.isEmpty():
+            chosen = pivots_of(wide.select("node", "id", "n"), reps, scratch, str(level), pivots, limit).join(wide, ["node", "id"])
+            chosen = chosen.select(F.col("node").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("g2"), "id", "color", F.lit(0).alias("k"), F.lit(0).alias("mask"))
+            dealt = dealt.unionByName(chosen)
+        made.append(links_of(dealt, str(level)))
         found = colors()
-        large = members.where(F.col("n") > limit).select("node", "id", "n")
+        large = members.where(F.col("n") > limit).select("node", "id", "n", "k")
         if large.isEmpty():
             break
-        large = large.join(found, large.id == found.node, "left").select(large.node, "id", "n", F.coalesce("root", "id").alias("color"))
+        large = large.join(found, large.id == found.node, "left").select(large.node, "id", "n", "k", F.coalesce("root", "id").alias("color"))
         mixed = large.groupBy("node").agg(F.min("color").alias("c0"), F.max("color").alias("c1"), F.mode("color", True).alias("major")).where("c0 < c1").select("node", "major")
         large = scratch.save(large.join(mixed, "node"), f"large-{level}")
         if large.isEmpty():
             break
         # up to ``blocks`` blocks (at the last level any number) are compared exhaustively: the few rows outside a
         # node's main component meet every block; where they aren't few, all blocks meet pair by pair
-        parts = F.ceil(F.col("n") / limit).cast("int")
+        parts = F.ceil(F.col("n") / block).cast("int")
         own, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
         others = large.where("color <> major").groupBy("node").agg(F.count("*").alias("others"))
         whole = (large if level == depth else large.where(parts <= blocks)).join(others, "node").withColumn("own", own)
-        few, outside = F.col("others") <= limit, F.col("color") != F.col("major")
+        whole = masked(whole)
+        few, outside = F.col("others") <= block, F.col("color") != F.col("major")
         whole = whole.withColumn("other", F.explode(F.when(few & ~outside, F.array("own")).otherwise(every)))
         low, high = F.when(few, F.col("other")).otherwise(F.least("own", "other")), F.when(few, F.lit(0)).otherwise(F.greatest("own", "other"))
-        made.append(links_of(whole.select(F.col("node").alias("g1"), (low.cast("long") * F.lit(1 << 31) + high).alias("g2"), "id", "color"), f"pairs-{level}"))
+        made.append(links_of(whole.select(F.col("node").alias("g1"), (low.cast("long") * F.lit(1 << 31) + high).alias("g2"), "id", "color", "k", "mask"), f"pairs-{level}"))
         large = large.where(parts > blocks)
         if level == depth or large.isEmpty():
             found = colors()
@@ -177,7 +227,7 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(tokens)).cast("int")
         picks = [first] + [F.pmod(first + k + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(tokens // branch)), F.lit(tokens)).cast("int") for k in range(1, branch)]
         below = large.join(reps, "id").withColumn("c", F.explode(F.array(*picks)))
-        rows = scratch.save(below.select("id", "color", F.xxhash64("node", "c", F.expr("substring(sig, 4 * c + 1, 4)")).alias("node")), f"rows-{level}")
+        rows = scratch.save(below.select("id", "color", F.lit(-1).alias("k"), F.xxhash64("node", "c", F.expr("substring(sig, 4 * c + 1, 4)")).alias("node")), f"rows-{level}")
     of_set = scratch.save(sets.join(found, sets.id == found.node, "left").select("set_key", F.coalesce("root", "id").alias("component")), "classes")
     out = drawn.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
