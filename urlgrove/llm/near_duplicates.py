@@ -152,7 +152,7 @@ def confirm(percent: int):
     return run
 
 
-def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, block: int = 300, blocks: int = 14, depth: int = 8, floor: float = 0.53, pivots: int = 4) -> DataFrame:
+def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, block: int = 1000, blocks: int = 4, depth: int = 8, floor: float = 0.53, pivots: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = pick(docs, {"doc_id": "long", "text": "string"})
     drawn = scratch.save(sketch(docs, tokens), "sketch")
