@@ -238,3 +238,26 @@ def test_passages(spark):
     assert all(left[d] == texts[d] for d in clean) and sum(passage in t for t in left.values() if t) == 1
     assert left[len(texts) - 1] == prose(91, 20)
     assert passages.repeated_spans(table(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_similar_lines_of_stars_and_chains(spark):
+    r, texts, fresh = random.Random(11), [], iter(range(10**6))
+    edit = lambda w: [("edit%d" % next(fresh)) if k in at else x for at in [r.sample(range(len(w)), 2)] for k, x in enumerate(w)]
+    for k in range(30):  # copies link with the original, not with each other
+        base = prose(2000 + k, 100).split()
+        texts += [" ".join(w) for w in [base, *(edit(base) for _ in range([2, 5, 9][k % 3]))]]
+    base = prose(2100, 100).split()
+    texts += [" ".join(w) for w in [base, *(edit(base) for _ in range(150))]]  # more than a block
+    for k in range(10):  # each links with the one before
+        w = prose(2200 + k, 100).split()
+        for _ in range(6):
+            texts.append(" ".join(w))
+            w = edit(w)
+    root, _ = brute_classes(texts)
+    units = Scratch(spark, "t").save(passages.paragraphs(table(spark, texts), passages.bands(0.75, 0.99999)), "units").where("line")
+    links = passages.similar_lines(table(spark, texts), units, Scratch(spark, "t"), 75)
+    of = {x.node: x.root for x in components(links, Scratch(spark, "t"), "c").collect()}
+    groups = collections.defaultdict(set)
+    for u in units.collect():
+        groups[of.get(u.key, u.key)].add(u.doc_id)
+    assert {d: min(g) for g in groups.values() for d in g} == dict(enumerate(root))

@@ -33,7 +33,7 @@ from .store import Scratch, pick, small
 #: Every shared passage of this many words is found: the window plus the winnowing guarantee.
 WINDOW, PASSAGE = 32, 50
 
-#: Lines of one band that don't fall to its pivot are compared in groups of at most twice this many.
+#: Lines of one band that are still in different components are compared in blocks of about this many, two at a time.
 LIMIT = 100
 
 
@@ -122,41 +122,61 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Verified links (a, b) between the keys of different lines.
+    """Verified links (a, b) between the keys of different lines: they join every verified pair that shares a band.
 
     In each band group every line is compared with the smallest key, which settles groups
-    of copies; those that it doesn't verify are compared with each other, block by block.
+    of copies, then with the line that has most links so far, which settles groups of
+    copies edited from one original. Lines linked in any band form components; all pairs of
+    different components that are left in a band are compared, block by block.
     """
     band_names = [c for c in lines.columns if c[0] == "b" and c[1:].isdigit()]
     reps = lines.groupBy("key").agg(F.min(F.struct("doc_id", "start", "n_words", *band_names)).alias("r")).select("key", "r.*")
     reps = scratch.save(reps, "lines")
     rows = reps.select("key", F.explode(F.array(*band_names)).alias("band"))
-    held = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1").select("band", "pivot")
+    held = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     held = scratch.save(held, "held")
-    collided = scratch.save(rows.join(held, "band").where("key <> pivot"), "collided")
-    wanted = collided.select("key").unionByName(held.select(F.col("pivot").alias("key"))).distinct()
-    sets = scratch.save(line_sets(docs, reps.drop(*band_names).join(wanted, "key")), "sets")
+    members = scratch.save(rows.join(held, "band"), "collided")
+    sets = scratch.save(line_sets(docs, reps.drop(*band_names).join(members.select("key").distinct(), "key")), "sets")
 
     def compare(cols: dict[str, list]) -> dict[str, list]:
         pairs = zip(cols["x"], cols["y"], strict=True)
         return {"a": cols["a"], "b": cols["b"], "same": [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs]}
 
-    pairs = collided.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    full = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    same = scratch.save(map_rows(full.select("a", "b", "x", "y"), compare, "a long, b long, same boolean").where("same").select("a", "b"), "same")
-    rest = collided.join(same, (F.col("key") == F.col("a")) & (F.col("pivot") == F.col("b")), "left_anti").select("band", "key")
-    rest = scratch.save(rest, "rest")
-    counts = scratch.save(rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        full = pairs.distinct().join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+        return scratch.save(map_rows(full.select("a", "b", "x", "y"), compare, "a long, b long, same boolean").where("same").select("a", "b"), tag)
+
+    def mixed(links: DataFrame, tag: str) -> DataFrame:
+        """The members, with their component, of the bands that hold several."""
+        found = components(links, scratch, f"{tag}-components")
+        colored = members.join(found, F.col("key") == F.col("node"), "left").select("band", "key", "n", "pivot", F.coalesce("root", "key").alias("color"))
+        colored = scratch.save(colored, f"{tag}-colored")
+        several = colored.groupBy("band").agg(F.min("color").alias("c0"), F.max("color").alias("c1"), F.mode("color", True).alias("major")).where("c0 < c1")
+        return scratch.save(colored.join(several.select("band", "major"), "band"), tag)
+
+    same = verified(members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")), "same")
+    left = mixed(same, "left")
+    degrees = same.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+    hubs = left.where("key <> pivot").join(degrees, "key").groupBy("band").agg(F.max_by("key", F.struct("links", "key")).alias("hub"), F.max_by("color", F.struct("links", "key")).alias("of"))
+    hubs = left.join(hubs, "band").where("color <> of").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    same = same.unionByName(verified(hubs, "hubs"))
+    left = mixed(same, "rest")
+    # the few lines outside a band's main component meet every block; where they aren't few, all blocks meet pair by pair
+    counts = scratch.save(left.groupBy("band").agg(F.count_if(F.col("color") != F.col("major")).alias("others")), "counts")
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
-    dealt = rest.join(counts, "band").withColumn("own", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("band", (F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")).alias("pair"), "key").join(sets, "key")
+    few, outside, every = F.col("others") <= LIMIT, F.col("color") != F.col("major"), F.sequence(F.lit(0), parts - 1)
+    dealt = left.join(counts, "band").withColumn("own", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.when(few & ~outside, F.array("own")).otherwise(every)))
+    low, high = F.when(few, F.col("other")).otherwise(F.least("own", "other")), F.when(few, F.lit(0)).otherwise(F.greatest("own", "other"))
+    dealt = dealt.select("band", (low.cast("long") * F.lit(1 << 31) + high).alias("pair"), "key", "color").join(sets, "key")
 
     def block(rows: list[dict]) -> list[dict]:
         of, tree, out = [np.frombuffer(r["shingles"], np.uint64) for r in rows], Forest(), []
         for i in range(len(rows)):
             for j in range(i + 1, len(rows)):
-                if tree.root(i) != tree.root(j) and linked(of[i], of[j], percent):
-                    tree.join(i, j)
+                a, b = tree.root(rows[i]["color"]), tree.root(rows[j]["color"])
+                if a != b and linked(of[i], of[j], percent):
+                    tree.join(a, b)
                     out.append({"a": rows[i]["key"], "b": rows[j]["key"]})
         return out
 
