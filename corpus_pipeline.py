@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs are deleted; documents of which nothing is left go."""
-    return line_runs.delete_runs(docs, Scratch(spark, "lines"))
+    """Later copies of lines are deleted; documents of which nothing is left go."""
+    return line_runs.delete_runs(docs, Scratch(spark, "lines"), min_lines=1)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

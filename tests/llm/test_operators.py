@@ -261,3 +261,18 @@ def test_similar_lines_of_stars_and_chains(spark):
     for u in units.collect():
         groups[of.get(u.key, u.key)].add(u.doc_id)
     assert {d: min(g) for g in groups.values() for d in g} == dict(enumerate(root))
+
+
+def test_op5_finds_single_lines(spark, tmp_path):
+    from urlgrove.llm.queries import op5_line_dedup
+
+    r = random.Random(4)
+    texts = [*ODD, "only", "only", "u1\nlicense\nu2", "u3\n\nlicense\nu4", "x\nx", *("\n".join(r.choice("abcdefghij") * 2 for _ in range(r.randint(0, 9))) for _ in range(30))]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for p, x in enumerate(x for x in (t or "").split("\n") if x.strip(" ")):
+            want |= {(d, p)} if x in seen else set()
+            seen.add(x)
+    got = [(x.doc_id, p) for x in op5_line_dedup(spark, str(tmp_path)).collect() for p in range(x.first_line, x.first_line + x.n_lines)]
+    assert sorted(got) == sorted(want)

@@ -38,7 +38,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.repeated_runs(table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+    return line_runs.repeated_runs(table(spark, sf_dir, "documents"), Scratch(spark, "lines"), min_lines=1)
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
