@@ -276,3 +276,25 @@ def test_op5_finds_single_lines(spark, tmp_path):
             seen.add(x)
     got = [(x.doc_id, p) for x in op5_line_dedup(spark, str(tmp_path)).collect() for p in range(x.first_line, x.first_line + x.n_lines)]
     assert sorted(got) == sorted(want)
+
+
+def test_passages_go_to_their_ends(spark):
+    fresh = iter(range(10**6))
+    own = lambda n: [f"own{next(fresh)}" for _ in range(n)]
+    texts, want = [], []
+    for n in [*range(50, 90, 3), 100]:  # the first of three documents keeps the passage; two passages share a document
+        passage = own(n)
+        for k in range(3):
+            before, after = own(20 + 11 * k), own(25 + 7 * k)
+            texts.append(" ".join([*before, *passage, *after]))
+            want.append(" ".join([*before, *([] if k else passage), *after]))
+    x, y, ends = own(51), own(57), own(19)
+    texts += [" ".join(x + ends), " ".join(y + own(30)), " ".join([*y, *x])]
+    want += [*texts[-3:-1], ""]
+    wide = own(140)  # the middle also stands in an earlier document
+    texts += [" ".join([*own(30), *wide[45:95], *own(30)]), " ".join([*own(30), *wide, *own(30)]), " ".join([*ends[:9], *wide, *own(2)])]
+    last = texts[-1].split()
+    cut = texts[-2].split()
+    want += [texts[-3], " ".join(cut[:75] + cut[125:]), " ".join(ends[:9] + last[-2:])]
+    left = {r.doc_id: r.text for r in passages.delete_passages(table(spark, texts), Scratch(spark, "t")).collect()}
+    assert [" ".join(left[d].split()) for d in range(len(texts))] == want

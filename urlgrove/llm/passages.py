@@ -5,9 +5,11 @@ their number for the wanted recall); colliding paragraphs are verified by their
 Jaccard similarity and clustered by components. Passages that repeat inside other lines
 are found by floating paragraphs: windows of 32 words chosen by winnowing, so that any
 two documents which share a passage of ``PASSAGE`` words share at least one window;
-their only band is the whole window, and equality verifies them. In each cluster that
-spans several documents the paragraph of the smallest doc_id stays, all others are
-removals; the removals of a document are merged to spans of words.
+their only band is the whole window, and equality verifies them; the words before and
+after a window that an earlier copy has as well go with it, so nothing of a shared
+passage is left. In each cluster that spans several documents the paragraph of the
+smallest doc_id stays, all others are removals; the removals of a document are merged
+to spans of words.
 
 Copies inside one document aren't removed. Null and empty texts have no paragraphs;
 rows without doc_id take no part; repeated rows share their spans; very long texts are
@@ -33,6 +35,9 @@ from .store import Scratch, pick, small
 #: Every shared passage of this many words is found: the window plus the winnowing guarantee.
 WINDOW, PASSAGE = 32, 50
 
+#: The first and last chosen window of a shared passage leave at most this many of its words at each end.
+REACH = PASSAGE - WINDOW
+
 #: Lines of one band that are still in different components are compared in blocks of about this many, two at a time.
 LIMIT = 100
 
@@ -197,6 +202,67 @@ def merge(rows: list[dict]) -> list[dict]:
     return out
 
 
+REMOVAL = ["doc_id", "start", "n_words", "keep_doc_id", "cluster_id"]
+
+
+def edges(rows: list[dict]) -> list[dict]:
+    """The removed windows of one document that lie within REACH of an end of their run: a common passage may go on beyond it."""
+    out, run = [], []
+
+    def flush() -> None:
+        first, last = run[0]["start"], run[-1]["start"]
+        for r in run:
+            out.extend({"cluster_id": r["cluster_id"], "side": side} for side, far in ((-1, r["start"] - first), (1, last - r["start"])) if far < REACH)
+
+    for r in sorted(rows, key=lambda r: r["start"]):
+        if run and r["start"] > run[-1]["start"] + WINDOW:
+            flush()
+            run = []
+        run.append(r)
+    flush()
+    return out
+
+
+def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """Removed windows with the words to their left or right that some earlier copy has as well, up to REACH: the true ends of common passages.
+
+    Any earlier document counts, not the keeper alone, as a longer passage may be shared with a later one than it.
+    """
+    at = scratch.save(map_groups(held.where("doc_id <> keep_doc_id").select("doc_id", "start", "cluster_id"), ["doc_id"], edges, "cluster_id long, side int", ["start"]).distinct(), "edges")
+    open_ends = scratch.save(held.join(at, "cluster_id").select("doc_id", "start", "cluster_id", "keep_doc_id", "side"), "open-ends")
+    by_doc = open_ends.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "cluster_id", "keep_doc_id", "side")).alias("ends"))
+    texts = pick(docs, {"doc_id": "long", "text": "string"})
+    texts = texts.join(small(open_ends.select(F.col("doc_id").alias("_doc")).distinct()), F.col("doc_id") == F.col("_doc"), "left_semi").join(by_doc, F.col("doc_id") == F.col("_doc"))
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out = {"doc_id": [], "start": [], "cluster_id": [], "keep_doc_id": [], "side": [], "near": []}
+        for doc, text, ends in zip(cols["doc_id"], cols["text"], cols["ends"], strict=True):
+            hashes = word_hashes(words(text)).view(np.int64)
+            for x in ends:
+                at = x["start"]
+                near = hashes[max(0, at - REACH) : at][::-1] if x["side"] < 0 else hashes[at + WINDOW : at + WINDOW + REACH]
+                out["doc_id"].append(doc)
+                out["near"].append(near.tolist())
+                for c in ("start", "cluster_id", "keep_doc_id", "side"):
+                    out[c].append(x[c])
+        return out
+
+    seen = scratch.save(map_rows(texts.select("doc_id", "text", "ends"), run, "doc_id long, start int, cluster_id long, keep_doc_id long, side int, near array<long>").withColumn("around", F.xxhash64("near")), "around")
+    # equal surroundings collapse; each length of what is left is looked up in the first document that has it
+    group = ["cluster_id", "side", "around"]
+    firsts = scratch.save(seen.groupBy(group).agg(F.min("doc_id").alias("first"), F.first("near").alias("near")), "surroundings")
+    heads = F.transform(F.sequence(F.lit(1), F.size("near")), lambda n: F.xxhash64(F.slice("near", 1, n)))
+    heads = firsts.where(F.size("near") > 0).select(*group, "first", F.posexplode(heads).alias("nth", "head"))
+    heads = scratch.save(heads, "heads")
+    earliest = heads.groupBy("cluster_id", "side", "nth", "head").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
+    shared = heads.join(scratch.save(earliest, "earliest"), ["cluster_id", "side", "nth", "head"]).where("least < first")
+    shared = scratch.save(shared.groupBy(group).agg((F.max("nth") + 1).alias("shared")), "shared")
+    reach = scratch.save(firsts.select(*group, "first", F.size("near").alias("whole")).join(shared, group, "left"), "reach")
+    more = seen.drop("near").join(reach, group).withColumn("more", F.when(F.col("doc_id") > F.col("first"), F.col("whole")).otherwise(F.coalesce("shared", F.lit(0))))
+    more = more.where("more > 0").withColumn("start", F.col("start") - F.when(F.col("side") < 0, F.col("more")).otherwise(0))
+    return more.withColumn("n_words", F.lit(WINDOW) + F.col("more")).where("doc_id <> keep_doc_id").select(*REMOVAL)
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall: float = 0.99) -> DataFrame:
     """doc_id, start and n_words (in words), keep_doc_id (the document whose copy stays), cluster_id."""
     units = scratch.save(paragraphs(docs, bands(percent / 100, recall)), "units")
@@ -209,7 +275,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall:
     members = scratch.save(members.select("doc_id", "start", "n_words", "line", F.coalesce("root", "key").alias("cluster_id")), "members")
     keepers = members.groupBy("line", "cluster_id").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last"))
     keepers = scratch.save(keepers.where("keep_doc_id < last").drop("last"), "keepers")
-    removals = members.join(keepers, ["line", "cluster_id"]).where("doc_id <> keep_doc_id").select("doc_id", "start", "n_words", "keep_doc_id", "cluster_id").distinct()
+    held = scratch.save(members.join(keepers, ["line", "cluster_id"]).distinct(), "held-members")
+    removals = held.where("doc_id <> keep_doc_id")
+    wide = widened(docs, held.where("not line"), scratch)
+    removals = removals.select(*REMOVAL).unionByName(wide)
     return map_groups(removals, ["doc_id"], merge, SPAN, ["start"])
 
 
