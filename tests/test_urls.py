@@ -78,3 +78,26 @@ def test_wilson_and_merge(spark):
     assert spark.range(1).select(low, high).first()[:] == (0.9899, 1.0)
     old, new = (spark.createDataFrame(r, "k string, v int") for r in ([("a", 1)], [("a", 2), ("b", 3)]))
     assert sorted(map(tuple, corpus.insert_only(old, new, "k").collect())) == [("a", 1), ("b", 3)]
+
+
+def test_ttl_of_hot_keys_in_bounded_slices(spark):
+    import random
+
+    r, rows = random.Random(9), [("gone", None)]
+    for key, n, span in (("hot", 4000, 40_000), ("dense", 500, 50), ("rare", 30, 100_000), (None, 200, 5_000), ("edge", 1, 1)):
+        rows += [(key, -20_000 + r.randrange(span * 4) / 4) for _ in range(n)]
+    rows += [("step", 60.0 * k) for k in range(50)]
+    want = []
+    for key in {k for k, _ in rows}:
+        last = None
+        for t in sorted(t for k, t in rows if k == key and t is not None):
+            if last is None or t - last >= 60:
+                want.append((key, t))
+                last = t
+    df = spark.createDataFrame(rows, "k string, s double").selectExpr("k", "timestamp_micros(cast(s * 1000000 as bigint)) as ts")
+    out = ttl_first(df, "k", "ts", 60)
+    got = [tuple(x) for x in out.selectExpr("k", "unix_micros(ts) / 1000000").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # no list holds all events of a key: each is of one slice of time
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_slice" in line for line in plan.splitlines() if "collect_list" in line)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,12 +117,90 @@ def watch_alerts(v: DataFrame, watch: DataFrame) -> DataFrame:
     return hits.join(watch.where("enabled").select("brand"), "brand")
 
 
+#: Lives that a slice of a key's events spans: no slice keeps more events than that, and one.
+SLICE = 16
+
+
+def _ends(life: int):
+    """Of each slice, the events that may be its first kept one, with the last kept one that follows; of equal ends the latest entry."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nths, entries, lasts = [], [], [], []
+            for n, times in enumerate(batch.column("times")):
+                t = times.values.to_numpy()
+                after = np.searchsorted(t, t + life)
+                at = np.arange(min(after[0] + 1, len(t)))
+                last = at
+                while (more := after[last] < len(t)).any():
+                    last = np.where(more, after[last], last)
+                latest = np.append(last[1:] != last[:-1], True)
+                keys += [n] * int(latest.sum())
+                entries.append(t[at[latest]])
+                lasts.append(t[last[latest]])
+            if keys:
+                part = batch.take(pa.array(keys))
+                columns = [part.column("_key"), part.column("_slice"), pa.array(np.concatenate(entries)), pa.array(np.concatenate(lasts))]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "_slice", "entry", "last"])
+
+    return run
+
+
+def _carried(life: int):
+    """The last event kept before each slice (null before the first); rows come by key, slice and entry."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, key, nth, anchor, done = False, None, None, None, False
+        for batch in batches:
+            at, anchors = [], []
+            for n, (k, s, entry, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_key", "_slice", "entry", "last")), strict=True)):
+                if not begun or k != key:
+                    begun, key, nth, anchor = True, k, None, None
+                if s != nth:
+                    nth, done = s, False
+                    at.append(n)
+                    anchors.append(anchor)
+                if not done and (anchor is None or entry >= anchor + life):
+                    anchor, done = last, True
+            part = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_slice"), pa.array(anchors, pa.int64())], ["_key", "_slice", "anchor"])
+
+    return run
+
+
+def _kept(life: int):
+    """The events that each slice keeps after its anchor."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for n, (times, anchor) in enumerate(zip(batch.column("times"), batch.column("anchor").to_pylist(), strict=True)):
+                t = times.values.to_numpy()
+                at = 0 if anchor is None else int(np.searchsorted(t, anchor + life))
+                while at < len(t):
+                    keys.append(n)
+                    out.append(int(t[at]))
+                    at = int(np.searchsorted(t, t[at] + life))
+            part = batch.take(pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array(out, pa.int64())], ["_key", "_us"])
+
+    return run
+
+
 def ttl_first(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """Events that a cache of fixed life would log: a repeat within ``seconds`` of the stored event is dropped and doesn't extend its life."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))),
-        F.expr("cast(array() as array<bigint>)"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= seconds * 1_000_000), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    kept = events.groupBy(key).agg(kept.alias("kept")).select(key, F.explode("kept").alias("_us"))
-    return kept.select(key, F.timestamp_micros("_us").alias("ts"))
+    """Events that a cache of fixed life would log: a repeat within ``seconds`` of the stored event is dropped and doesn't extend its life.
+
+    A life holds one kept event at most, so a key's events are cut into slices of SLICE lives, whatever their number.
+    Each slice says which kept event it ends with for each event it may start from; the last kept event is carried
+    across a key's slices in order, row by row, and every slice then lists its own.
+    """
+    life = seconds * 1_000_000
+    us = events.select(F.col(key).alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).where("_us is not null").distinct()
+    slices = us.groupBy("_key", F.floor(F.col("_us") / F.lit(SLICE * life)).alias("_slice")).agg(F.sort_array(F.collect_list("_us")).alias("times"))
+    of_key = f"_key {events.select(key).schema[0].dataType.simpleString()}"
+    ends = slices.mapInArrow(_ends(life), f"{of_key}, _slice long, entry long, last long")
+    ordered = ends.repartition("_key").sortWithinPartitions("_key", "_slice", "entry")
+    carried = ordered.mapInArrow(_carried(life), f"{of_key}, _slice long, anchor long").withColumnsRenamed({"_key": "_k", "_slice": "_s"})
+    entered = slices.join(carried, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s"))).select("_key", "times", "anchor")
+    kept = entered.mapInArrow(_kept(life), f"{of_key}, _us long")
+    return kept.select(F.col("_key").alias(key), F.timestamp_micros("_us").alias("ts"))
