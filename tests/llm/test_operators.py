@@ -298,3 +298,25 @@ def test_passages_go_to_their_ends(spark):
     want += [texts[-3], " ".join(cut[:75] + cut[125:]), " ".join(ends[:9] + last[-2:])]
     left = {r.doc_id: r.text for r in passages.delete_passages(table(spark, texts), Scratch(spark, "t")).collect()}
     assert [" ".join(left[d].split()) for d in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_line_runs_have_true_sources(spark, size):
+    r = random.Random(6)
+    texts = ["a\nb\nx", "c\nd\ny", "a\nb\nc\nd", "z\n\nb\nx\nc\nd\ny", *("\n".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9))) for _ in range(30))]
+    of = [[x for x in t.split("\n") if x] for t in texts]
+    first, want = {}, []
+    for d, lines in enumerate(of):
+        last = None
+        for p in range(len(lines) - size + 1):
+            at = first.setdefault(tuple(lines[p : p + size]), (d, p))
+            if at == (d, p):
+                continue
+            if last and p - last[0] <= size and at == (last[1][0], last[1][1] + p - last[0]):
+                want[-1][2] = p + size - want[-1][1]
+            else:
+                want.append([d, p, size, *at])
+            last = (p, at)
+    got = line_runs.repeated_runs(table(spark, texts), Scratch(spark, "t"), size).collect()
+    assert sorted([x.doc_id, x.first_line, x.n_lines, x.source_doc_id, x.source_line] for x in got) == sorted(want)
+    assert all(of[x.doc_id][x.first_line : x.first_line + x.n_lines] == of[x.source_doc_id][x.source_line : x.source_line + x.n_lines] for x in got)

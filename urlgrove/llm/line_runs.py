@@ -6,7 +6,9 @@ interval with one rank, and depth 2k sorts by the pair of ranks k lines apart.
 Suffixes alone in their interval, or cut by a line that occurs nowhere else, are final
 and leave the work, so every round handles only what still repeats. A suffix of an
 interval of depth ``min_lines`` that isn't the first of it in corpus order begins a
-later copy; consecutive ones join to maximal runs, which are deleted.
+later copy; consecutive ones whose first occurrences follow each other in one document
+too join to runs, which are deleted. So the source document of a run holds all of it; a
+passage of which some lines first occur elsewhere is several runs.
 
 Ranks come from a range-partitioned running sum over distinct rank pairs, hence a line
 that fills a third of the corpus is one row there, and the joins back to rows are plain
@@ -76,7 +78,7 @@ def intervals(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> tuple[Da
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> DataFrame:
-    """Maximal runs of later copies: doc_id, version, first_line, n_lines (of non-blank lines), source_doc_id, source_line."""
+    """Runs of later copies, each as long as its first occurrences go on: doc_id, version, first_line, n_lines (of non-blank lines), source_doc_id, source_line."""
     _, copies = intervals(docs, scratch, min_lines)
     return runs_of(copies, min_lines)
 
@@ -84,7 +86,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> Data
 def runs_of(copies: DataFrame, min_lines: int) -> DataFrame:
     doc = W.partitionBy("doc_id", "version").orderBy("pos")  # the lines of one document
     gap = F.col("pos") - F.lag("pos").over(doc)
-    starts = copies.withColumn("run", F.sum(F.when(gap <= min_lines, 0).otherwise(1)).over(doc))
+    before = F.lag("first").over(doc)
+    goes_on = (gap <= min_lines) & (before["doc_id"] == F.col("first.doc_id")) & (before["version"] == F.col("first.version")) & (F.col("first.pos") - before["pos"] == gap)
+    starts = copies.withColumn("goes_on", goes_on).withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(doc))
     runs = starts.groupBy("doc_id", "version", "run").agg(F.min("pos").alias("first_line"), F.max("pos").alias("last"), F.min_by("first", "pos").alias("source"))
     return runs.select("doc_id", "version", "first_line", (F.col("last") - F.col("first_line") + min_lines).alias("n_lines"), F.col("source.doc_id").alias("source_doc_id"), F.col("source.pos").alias("source_line"))
 
