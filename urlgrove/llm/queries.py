@@ -18,11 +18,11 @@ def vocabulary(name: str) -> str:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the tokenizers file holds the same ranks as the .tiktoken file
     path = vocabulary("byte_bpe_50k.json")
+    byte_bpe.check_ranks(path, vocabulary("byte_bpe_50k.tiktoken"))
     docs = pick(table(spark, sf_dir, "documents"), {"doc_id": "long", "text": "string"})
     done = byte_bpe.round_trip(docs, path)
-    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_chars", "n_split", "offsets_crc32", "n_slices")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

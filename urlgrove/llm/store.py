@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when it has ended, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Written tables of one job: they cut the lineage, survive lost executors and let AQE split skewed joins."""
 
@@ -32,8 +48,9 @@ class Scratch:
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        df.write.parquet(self.path(tag))
+    def save(self, df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", codec).parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, *tags: str) -> None:

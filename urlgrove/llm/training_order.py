@@ -1,34 +1,44 @@
 """Training-order materialisation: fixed-stride shards in a keyed random order.
 
-Every sequence of the stored table has an index from 0; a keyed Feistel permutation
-over the next power of four, walked until it falls below the number of sequences,
-gives its global slot. Slot s is record s % per_shard of shard s // per_shard, at byte
-(s % per_shard) * stride: readers resume anywhere by arithmetic. Shards are written by
-Spark's own writer (commit protocol, any file system), one task a shard; no task holds
-more than a shard, and no global sort or counter runs through one task.
+Texts are tokenised once, into sequences that are stored unpadded. Every stored sequence
+has an index from 0; a keyed Feistel permutation over the next power of four, walked until
+it falls below the number of sequences, gives its global slot. Slot s is record
+s % per_shard of shard s // per_shard, at byte (s % per_shard) * stride: readers resume
+anywhere by arithmetic. Slots are dealt by range, many shards to a task, in ``waves``, so
+that only a share of the corpus lies in the shuffle beside the stored and the written
+sequences; records are padded as they are written. Spark's own writer puts the shards down
+(commit protocol, any file system). No task holds more than a slice of its rows, and no
+global sort or counter runs through one task.
 
 A record is slot, doc_id (-2**63 stands for null), piece, number of tokens, the ids as
-16-bit integers padded with zeros, and a line feed. Null text counts as empty; repeated
-rows are sequences of their own; an empty table gives no shards.
+integers of ``width`` bytes padded with zeros, and a line feed. Null text counts as empty;
+very long texts are cut into as many sequences as they need; there are no ties, as slots are
+distinct; repeated rows are sequences of their own; an empty table gives an empty table and
+no shards; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_slices, tidy
+from .byte_bpe import binary
 from .packing import tokenize
-from .store import Scratch
+from .store import Scratch, shuffles_dropped, small
 
 HEAD = "<QqII"
 NO_ID = -(1 << 63)
+#: Bytes of shards that one task writes, unless there are few.
+TASK_BYTES = 256 << 20
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -51,69 +61,84 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def stride(length: int) -> int:
-    return struct.calcsize(HEAD) + 2 * length + 1
+def stride(length: int, width: int = 2) -> int:
+    return struct.calcsize(HEAD) + width * length + 1
 
 
-def sequences(df: DataFrame, path: str, length: int) -> DataFrame:
-    """doc_id, piece and the body of each record: number of tokens and padded ids."""
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        body = [np.frombuffer(i, "<u4").astype("<u2").tobytes().ljust(2 * length, b"\0") for i in cols["ids"]]
-        return {"doc_id": cols["doc_id"], "piece": cols["piece"], "n_tokens": cols["length"], "body": body}
-
-    return map_rows(tokenize(df, path, length, with_ids=True), run, "doc_id long, piece int, n_tokens int, body binary")
-
-
-def write_shards(stored: DataFrame, n: int, to: str, length: int, per_shard: int, key: int) -> None:
-    """``stored``: sequences with a dense ``index``."""
+def write_shards(stored: DataFrame, n: int, to: str, length: int, per_shard: int, key: int, width: int, waves: int) -> None:
+    """``stored``: sequences with a dense ``index``. Each wave writes a range of the shards, so only its share is in the shuffle."""
+    shards, size = -(-n // per_shard), stride(length, width)
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        rows = zip(cols["slot"], cols["doc_id"], cols["piece"], cols["n_tokens"], cols["body"], strict=True)
-        return {"shard": cols["shard"], "record": [struct.pack(HEAD, s, NO_ID if d is None else d, p, t) + b for s, d, p, t, b in rows]}
+    def run(part: pa.RecordBatch) -> dict:
+        rows = part.num_rows
+        out = np.zeros((rows, size), np.uint8)
+        head = np.zeros(rows, np.dtype([("slot", "<u8"), ("doc", "<i8"), ("piece", "<u4"), ("n", "<u4")]))
+        head["slot"], head["piece"], head["n"] = (part.column(c).to_numpy() for c in (1, 3, 4))
+        head["doc"] = part.column(2).fill_null(NO_ID).to_numpy()
+        out[:, : head.itemsize] = head.view(np.uint8).reshape(rows, -1)
+        for k, ids in enumerate(part.column(5)):
+            body = ids.as_buffer()
+            out[k, head.itemsize : head.itemsize + body.size] = np.frombuffer(body, np.uint8)
+        # the writer ends each record with the line feed
+        return {"shard": part.column(0), "record": binary(np.ascontiguousarray(out[:, :-1]).ravel(), np.arange(rows + 1) * (size - 1))}
 
-    shards = -(-n // per_shard) or 1
     placed = stored.withColumn("slot", slot("index")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    records = map_rows(dealt, run, "shard int, record binary")
-    # the text writer puts the bytes down as they are and ends each record with one line feed
-    records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(to)
+    waves = min(waves, shards)
+    for wave in range(waves):
+        low, high = shards * wave // waves, shards * (wave + 1) // waves
+        tasks = max(1, min(high - low, n * size // waves // TASK_BYTES + int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = placed.where(F.col("shard").between(low, high - 1)).select("shard", "slot", "doc_id", "piece", "n_tokens", "ids")
+        dealt = dealt.repartitionById(tasks, F.floor((F.col("shard") - low) * tasks / (high - low)).cast("int")).sortWithinPartitions("shard", "slot")
+        records = map_slices(dealt, run, "shard int, record binary", 2000)
+        # the text writer puts the bytes down as they are and ends each record with one line feed
+        with shuffles_dropped(stored.sparkSession):
+            records.select("shard", F.col("record").cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", "\n").text(to)
 
 
-def read_shards(spark, to: str, length: int, per_shard: int, shards: list[int] | None = None) -> DataFrame:
-    """Records in stored order with their shard and byte offset, checked against the slot arithmetic."""
-    size = stride(length)
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary, shard int").format("binaryFile").load(to)
-    files = files.where(F.col("shard").isin(shards)) if shards is not None else files
-
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out = {k: [] for k in ("doc_id", "piece", "n_tokens", "slot", "shard", "offset", "ids_crc32")}
-        for shard, data in zip(cols["shard"], cols["content"], strict=True):
-            assert len(data) % size == 0, f"shard {shard} isn't a whole number of records"
-            for k, at in enumerate(range(0, len(data), size)):
-                slot, doc, piece, n = struct.unpack_from(HEAD, data, at)
-                assert slot == shard * per_shard + k, f"shard {shard} is out of order at record {k}"
-                ids = data[at + struct.calcsize(HEAD) : at + struct.calcsize(HEAD) + 2 * n]
-                for c, v in zip(out, (None if doc == NO_ID else doc, piece, n, slot, shard, at, zlib.crc32(ids)), strict=True):
-                    out[c].append(v)
-        return out
+RECORD = "doc_id long, piece int, n_tokens int, slot long, shard int, offset long, ids_crc32 long"
 
-    return map_rows(files.select("shard", "content"), run, "doc_id long, piece int, n_tokens int, slot long, shard int, offset long, ids_crc32 long")
 
+def read_shards(spark, to: str, length: int, per_shard: int, shards: list[int] | None = None, width: int = 2) -> DataFrame:
+    """Records in stored order with their shard and byte offset, checked against the slot arithmetic. ids_crc32 is that of 32-bit ids."""
+    size = stride(length, width)
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary, shard int").format("binaryFile").load(to)
+    files = files.where(F.col("shard").isin(shards)) if shards is not None else files
 
-def materialise(df: DataFrame, path: str, length: int = 512, per_shard: int = 8192, key: int = 20240131) -> DataFrame:
-    """Write the shards to the shared folder and return them as read back."""
-    scratch = Scratch(df.sparkSession, "order")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                assert len(data) % size == 0, f"shard {shard} isn't a whole number of records"
+                table = data.reshape(-1, size)
+                head = np.ascontiguousarray(table[:, : struct.calcsize(HEAD)]).view(np.dtype([("slot", "<u8"), ("doc", "<i8"), ("piece", "<u4"), ("n", "<u4")]))[:, 0]
+                assert (head["slot"] == shard * per_shard + np.arange(len(head), dtype=np.uint64)).all(), f"shard {shard} is out of order"
+                crc = [zlib.crc32(row[24 : 24 + width * n].view(f"<u{width}").astype("<u4").tobytes()) for row, n in zip(table, head["n"].tolist(), strict=True)]
+                doc = pa.array(head["doc"], mask=head["doc"] == NO_ID)
+                columns = [doc, head["piece"].astype(np.int32), head["n"].astype(np.int32), head["slot"].astype(np.int64), np.full(len(head), shard, np.int32), np.arange(len(head)) * size, crc]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64() if k > 4 else None) for k, c in enumerate(columns)], [f.split()[0] for f in RECORD.split(", ")])
+        tidy()
+
+    return files.select("shard", "content").mapInArrow(run, RECORD)
+
+
+def materialise(df: DataFrame, path: str, length: int = 512, per_shard: int = 1 << 15, key: int = 20240131, width: int = 2, waves: int = 4) -> DataFrame:
+    """Write the shards to the shared folder and return them as read back. Ids that don't fit ``width`` bytes are an error."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "order")
     place = F.monotonically_increasing_id()
-    stored = scratch.save(sequences(df, path, length).withColumn("part", F.shiftright(place, 33)).withColumn("nth", place.bitwiseAND(F.lit((1 << 33) - 1))), "sequences")
+    pieces = tokenize(df, path, length, with_ids=width).select("doc_id", "piece", F.col("length").cast("int").alias("n_tokens"), "ids")
+    pieces = pieces.withColumn("part", F.shiftright(place, 33)).withColumn("nth", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    stored = scratch.save(pieces, "sequences", "zstd")
     parts = stored.groupBy("part").agg(F.count("*").alias("rows"))  # one row a written partition
-    parts = parts.select("part", "rows", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    n = stored.count()
-    indexed = stored.join(F.broadcast(parts.select("part", "base")), "part").withColumn("index", F.col("base") + F.col("nth"))
-    write_shards(indexed.drop("part", "nth", "base"), n, scratch.path("shards"), length, per_shard, key)
-    scratch.drop("sequences")
-    return read_shards(df.sparkSession, scratch.path("shards"), length, per_shard)
+    parts = scratch.save(parts.select("part", "rows", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")), "parts")
+    n = parts.agg(F.sum("rows")).first()[0] or 0
+    if not n:
+        return spark.createDataFrame([], RECORD)
+    indexed = stored.join(small(parts.select("part", "base")), "part").withColumn("index", F.col("base") + F.col("nth"))
+    write_shards(indexed.drop("part", "nth", "base"), n, scratch.path("shards"), length, per_shard, key, width, waves)
+    scratch.drop("sequences", "parts")
+    return read_shards(spark, scratch.path("shards"), length, per_shard, width=width)
