@@ -19,21 +19,25 @@ miss 1.5e-10 of pairs at level 1 and 3e-4 at level 3 (``miss``). The signature f
 ``floor`` misses 1e-4 of pairs at exactly 0.75 with 64 tokens.
 
 Null or empty texts have an empty set, stand alone and are kept. Rows without doc_id
-take no part and are kept, with a null component. Rows that repeat a doc_id are judged
-row by row. Very long texts are taken whole; an empty table gives an empty table.
+take no part and are kept, with a null component. Rows that repeat a doc_id are judged by
+their texts: equal rows stay or go together, and of rows with other texts each has the
+component of its own text. Ties go to the smallest doc_id, then to the text's digest. Very
+long texts are taken whole; an empty table gives an empty table; extra columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import map_groups, map_rows
+from .arrow import map_groups, map_rows, map_slices
 from .components import components
-from .shingles import linked, minhash, shingle_set
+from .shingles import linked, minhash, shingle_set, shingle_sets
 from .store import Scratch, pick, small
 
 
@@ -46,18 +50,19 @@ def miss(similarity: float, trees: int, branch: int, depth: int) -> float:
 
 
 def sketch(df: DataFrame, tokens: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit digest of the set) and sig (packed minwise tokens); null for empty sets."""
+    """doc_id, version (digest of the text), n_shingles, set_key (a 128-bit digest of the set) and sig (packed minwise tokens); null for empty sets."""
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        sets = [shingle_set(t) for t in cols["text"]]
+    def run(part: pa.RecordBatch) -> dict:
+        sets = shingle_sets(part.column(2))
         return {
-            "doc_id": cols["doc_id"],
+            "doc_id": part.column(0),
+            "version": part.column(1),
             "n_shingles": [len(s) for s in sets],
             "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
             "sig": [minhash(s, tokens).tobytes() if len(s) else None for s in sets],
         }
 
-    return map_rows(pick(df, {"doc_id": "long", "text": "string"}), run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return map_slices(df.select("doc_id", "version", "text"), run, "doc_id long, version long, n_shingles long, set_key binary, sig binary")
 
 
 class Forest(dict):
@@ -153,12 +158,13 @@ def confirm(percent: int):
 
 
 def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int = 64, trees: int = 8, branch: int = 2, limit: int = 100, block: int = 1000, blocks: int = 4, depth: int = 8, floor: float = 0.53, pivots: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
-    docs = pick(docs, {"doc_id": "long", "text": "string"})
+    """doc_id, version, n_shingles and ``keep``: the least (doc_id, version) of the row's component."""
+    docs = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("version", F.xxhash64("text"))
     drawn = scratch.save(sketch(docs, tokens), "sketch")
-    sets = scratch.save(drawn.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "sets")
-    reps = drawn.join(sets, (drawn.doc_id == sets.id) & (drawn.set_key == sets.set_key)).groupBy("id", drawn.set_key).agg(F.first("sig").alias("sig"))
-    reps = scratch.save(reps.select("id", "sig"), "reps")
+    # one document stands for each set, under a number of its own: a doc_id may bear several texts
+    sets = drawn.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.first("sig").alias("sig"))
+    sets = scratch.save(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    reps = sets.select("id", "sig")
     token = lambda c: F.expr(f"substring(sig, 4 * ({c}) + 1, 4)")
     roots = [F.xxhash64(F.lit(k // branch), F.lit(k), token(k)) for k in range(trees * branch)]
     rows = reps.select("id", F.col("id").alias("color"), F.posexplode(F.array(*roots)).alias("k", "node"))
@@ -169,8 +175,9 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         with_sig = groups.join(reps, "id")
         near = map_groups(with_sig, ["g1", "g2"], similar_groups(floor), "cluster long, id long, color long, mates binary")
         near = scratch.save(near.distinct(), f"near-{tag}")
-        texts = docs.join(small(near.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi")
-        full = near.join(texts, F.col("id") == F.col("doc_id")).select("cluster", "id", "color", "mates", "text")
+        wanted = near.select("id").distinct().join(sets.select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version")), "id")
+        texts = docs.join(small(scratch.save(wanted, f"wanted-{tag}")), ["doc_id", "version"]).dropDuplicates(["id"])
+        full = near.join(texts.select("id", "text"), "id").select("cluster", "id", "color", "mates", "text")
         return scratch.save(map_groups(full, ["cluster"], confirm(percent), "a long, b long", ["id"]), f"links-{tag}")
 
     def colors() -> DataFrame:
@@ -228,20 +235,25 @@ def classes(docs: DataFrame, scratch: Scratch, percent: int = 75, tokens: int =
         picks = [first] + [F.pmod(first + k + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(tokens // branch)), F.lit(tokens)).cast("int") for k in range(1, branch)]
         below = large.join(reps, "id").withColumn("c", F.explode(F.array(*picks)))
         rows = scratch.save(below.select("id", "color", F.lit(-1).alias("k"), F.xxhash64("node", "c", F.expr("substring(sig, 4 * c + 1, 4)")).alias("node")), f"rows-{level}")
-    of_set = scratch.save(sets.join(found, sets.id == found.node, "left").select("set_key", F.coalesce("root", "id").alias("component")), "classes")
-    out = drawn.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    linked_sets = scratch.save(sets.join(found, sets.id == found.node).select("set_key", "root", "first"), "linked")
+    keepers = linked_sets.groupBy("root").agg(F.min("first").alias("keep"))
+    of_set = scratch.save(linked_sets.join(keepers, "root").select("set_key", "keep"), "classes")
+    firsts = sets.select("set_key", "first").join(of_set, "set_key", "left").select("set_key", F.coalesce("keep", "first").alias("keep"))
+    out = drawn.select("doc_id", "version", "n_shingles", "set_key").join(scratch.save(firsts, "firsts"), "set_key", "left")
+    own = F.struct("doc_id", "version")
+    return out.select("doc_id", "version", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("keep", own)).alias("keep"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
-    found = classes(docs, Scratch(docs.sparkSession, "near"), **options)
+    found = classes(docs, Scratch(docs.sparkSession, "near"), **options).select("doc_id", "n_shingles", F.col("keep.doc_id").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group stays; columns and all other documents as they are."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Scratch(docs.sparkSession, "gone").save(gone, "ids")
-    gone = small(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "gone")
+    found = classes(docs, scratch, **options)
+    gone = found.where(F.struct("doc_id", "version") != F.col("keep")).select(F.col("doc_id").alias("__gone_doc"), F.col("version").alias("__gone_version")).distinct()
+    gone = small(scratch.save(gone, "ids"))
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone_doc")) & (F.xxhash64("text") == F.col("__gone_version")), "left_anti")

@@ -5,16 +5,19 @@ their number for the wanted recall); colliding paragraphs are verified by their
 Jaccard similarity and clustered by components. Passages that repeat inside other lines
 are found by floating paragraphs: windows of 32 words chosen by winnowing, so that any
 two documents which share a passage of ``PASSAGE`` words share at least one window;
-their only band is the whole window, and equality verifies them; the words before and
+their only band is the whole window, and equality of 128 bits verifies them; the words before and
 after a window that an earlier copy has as well go with it, so nothing of a shared
 passage is left. In each cluster that spans several documents the paragraph of the
 smallest doc_id stays, all others are removals; the removals of a document are merged
 to spans of words.
 
 Copies inside one document aren't removed. Null and empty texts have no paragraphs;
-rows without doc_id take no part; repeated rows share their spans; very long texts are
-taken whole; an empty table gives an empty table. Words are runs of non-white ASCII
-space, A-Z in lower case.
+rows without doc_id take no part; repeated rows share their spans; rows of one doc_id with
+other texts are documents of their own, told apart by a digest of the text; ties go to the
+smallest doc_id, then to that digest; very long texts are taken whole; an empty table gives
+an empty table; extra columns pass through, whatever their names (but for ``n_chars``, which
+follows the text). Words are runs of non-white ASCII space, A-Z in lower case. Windows are
+equal if two independent 64-bit digests of their words are.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_groups, map_rows
+from .arrow import map_groups, map_rows, map_slices
 from .components import components
 from .near_duplicates import Forest
-from .shingles import linked, mix, permutations, shingle_hashes, word_hashes, words
+from .shingles import batch_words, linked, mix, permutations, shingle_hashes
 from .store import Scratch, pick, small
 
 #: Every shared passage of this many words is found: the window plus the winnowing guarantee.
@@ -56,16 +59,21 @@ def sliding(f, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys of the chosen windows of 32 words: those with the least hash of some run of 19."""
+    """Starts and keys (two 64-bit digests) of the chosen windows of 32 words: those with the least hash of some run of 19."""
     h, size = hashes, 1
     while size < WINDOW and len(h) > size:
         h, size = mix(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:]), 2 * size
     if size < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty((2, 0), np.uint64)
     guard = min(PASSAGE - WINDOW + 1, len(h))
     least = np.pad(sliding(np.minimum, h, guard), guard - 1)
     at = np.flatnonzero(sliding(np.maximum, least, guard) == h)
-    return at, h[at]
+    # a second digest, independent of the first, of the chosen windows only
+    odd = mix(np.arange(1, WINDOW + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    check = np.zeros(len(at), np.uint64)
+    for k in range(WINDOW):
+        check = mix(check + hashes[at + k] * odd[k])
+    return at, np.stack([h[at], check])
 
 
 def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, min_line: int) -> tuple[np.ndarray, ...]:
@@ -73,7 +81,7 @@ def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, m
     starts = np.cumsum(sizes) - sizes
     starts, sizes = starts[sizes >= min_line], sizes[sizes >= min_line]
     if not len(starts):
-        return starts, sizes, np.empty(0, np.uint64), np.empty((0, n_bands), np.uint64)
+        return starts, sizes, np.empty((2, 0), np.uint64), np.empty((0, n_bands), np.uint64)
     bounds = np.stack([starts, starts + sizes - 4], 1).ravel()  # the shingles that lie inside each line
     x = (shingle_hashes(hashes) >> np.uint64(32)).astype(np.uint32)
     x = np.append(x, np.full(5, 0xFFFFFFFF, np.uint32))
@@ -81,49 +89,65 @@ def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, m
     sig = np.minimum.reduceat(x[None, :] * a + b, bounds, axis=1)[:, ::2].astype(np.uint64).reshape(n_bands, rows, -1)
     band = mix(mix(sig[:, 0] + (np.arange(1, n_bands + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) + sig[:, 1:].sum(axis=1))
     nth = np.arange(len(hashes)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(hashes)]])))
-    placed = np.append(mix(hashes * (2 * nth + 1).astype(np.uint64)), np.uint64(0))
-    key = mix(np.bitwise_xor.reduceat(placed, np.stack([starts, starts + sizes], 1).ravel())[::2] + sizes.astype(np.uint64))
-    return starts, sizes, key, band.T
+    keys = []
+    for odd in (np.uint64(1), np.uint64(0xC2B2AE3D27D4EB4F)):
+        placed = np.append(mix(hashes * odd * (2 * nth + 1).astype(np.uint64)), np.uint64(0))
+        keys.append(mix(np.bitwise_xor.reduceat(placed, np.stack([starts, starts + sizes], 1).ravel())[::2] + sizes.astype(np.uint64)))
+    return starts, sizes, np.stack(keys), band.T
 
 
 def paragraphs(docs: DataFrame, n_bands: int, rows: int = 2, min_line: int = 20) -> DataFrame:
-    """doc_id, start, n_words, line, key, and for lines the bands b0, b1, ..."""
+    """doc_id, version, start, n_words, line, key and check (128 bits of content), and for lines the bands b0, b1, ..."""
     names = [f"b{k}" for k in range(n_bands)]
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
+    def run(part: pa.RecordBatch) -> dict:
         parts: list[tuple] = []
-        for doc, text in zip(cols["doc_id"], cols["text"], strict=True):
-            hashes = word_hashes(words(text))
+        for k, (text, hashes) in enumerate(zip(part.column(2).to_pylist(), batch_words(part.column(2)), strict=True)):
             at, keys = windows(hashes)
             sizes = np.array([len(x.split()) for x in (text or "").encode().split(b"\n")])
             starts, n, line_keys, band = line_units(hashes, sizes, n_bands, rows, min_line)
             line = np.repeat([False, True], [len(at), len(starts)])
-            both = (np.append(at, starts), np.append(np.full(len(at), WINDOW), n), line, np.append(keys, line_keys))
-            parts.append((np.full(len(line), doc, np.int64), *both, np.concatenate([np.zeros((len(at), n_bands), np.uint64), band])))
-        doc, start, n, line, key, band = (np.concatenate(x) for x in zip(*parts, strict=True))
-        out = {"doc_id": doc, "start": start.astype(np.int32), "n_words": n.astype(np.int32), "line": line, "key": key.astype(np.uint64).view(np.int64)}
+            both = (np.append(at, starts), np.append(np.full(len(at), WINDOW), n), line, np.concatenate([keys, line_keys], 1).T)
+            parts.append((np.full(len(line), k), *both, np.concatenate([np.zeros((len(at), n_bands), np.uint64), band])))
+        of, start, n, line, key, band = (np.concatenate(x) for x in zip(*parts, strict=True))
+        of = pa.array(of)
+        out = {"doc_id": part.column(0).take(of), "version": part.column(1).take(of), "start": start.astype(np.int32), "n_words": n.astype(np.int32), "line": line}
+        key = np.ascontiguousarray(key.T).view(np.int64)
+        out |= {"key": key[0], "check": key[1]}
         return out | {c: pa.array(np.ascontiguousarray(band[:, k]).view(np.int64), mask=~line) for k, c in enumerate(names)}
 
-    unit = "doc_id long, start int, n_words int, line boolean, key long, " + ", ".join(f"{c} long" for c in names)
-    return map_rows(pick(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null"), run, unit)
+    unit = "doc_id long, version long, start int, n_words int, line boolean, key long, check long, " + ", ".join(f"{c} long" for c in names)
+    return map_slices(versions(docs), run, unit)
+
+
+def versions(docs: DataFrame) -> DataFrame:
+    """doc_id, version (digest of the text) and text of the rows that take part."""
+    return pick(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
+
+
+DOC = ["doc_id", "version"]
+
+
+def texts_of(docs: DataFrame, asked: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, version, text and ``asked`` (an array of the ``fields``) of the documents that ``asked`` names, each text once."""
+    by_doc = asked.groupBy(*DOC).agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    wanted = small(asked.select(*DOC).distinct())
+    return versions(docs).join(wanted, DOC, "left_semi").dropDuplicates(DOC).join(by_doc, DOC)
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles): the packed sorted shingles of the wanted lines (key, doc_id, start, n_words)."""
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("key", "start", "n_words")).alias("lines"))
-    texts = pick(docs, {"doc_id": "long", "text": "string"})
-    texts = texts.join(small(by_doc.select("_doc")), F.col("doc_id") == F.col("_doc"), "left_semi").join(by_doc, F.col("doc_id") == F.col("_doc"))
+    """(key, shingles): the packed sorted shingles of the wanted lines (key, doc_id, version, start, n_words)."""
+    texts = texts_of(docs, wanted, ["key", "start", "n_words"])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out = {"key": [], "shingles": []}
-        for text, lines in zip(cols["text"], cols["lines"], strict=True):
-            hashes = word_hashes(words(text))
+        for hashes, lines in zip(batch_words(cols["text"]), cols["asked"], strict=True):
             for x in lines:
                 out["key"].append(x["key"])
                 out["shingles"].append(np.unique(shingle_hashes(hashes[x["start"] : x["start"] + x["n_words"]])).tobytes())
         return out
 
-    return map_rows(texts.select("text", "lines"), run, "key long, shingles binary").dropDuplicates(["key"])
+    return map_rows(texts.select("text", "asked"), run, "key long, shingles binary").dropDuplicates(["key"])
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -135,8 +159,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, percent:
     different components that are left in a band are compared, block by block.
     """
     band_names = [c for c in lines.columns if c[0] == "b" and c[1:].isdigit()]
-    reps = lines.groupBy("key").agg(F.min(F.struct("doc_id", "start", "n_words", *band_names)).alias("r")).select("key", "r.*")
-    reps = scratch.save(reps, "lines")
+    reps = scratch.save(lines.groupBy("key").agg(F.min(F.struct(*DOC, "start", "n_words", *band_names)).alias("r")).select("key", "r.*"), "lines")
     rows = reps.select("key", F.explode(F.array(*band_names)).alias("band"))
     held = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     held = scratch.save(held, "held")
@@ -188,7 +211,8 @@ def similar_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, percent:
     return same.unionByName(scratch.save(map_groups(dealt, ["band", "pair"], block, "a long, b long"), "more"))
 
 
-SPAN = "doc_id long, start int, n_words int, keep_doc_id long, cluster_id long"
+SPAN = "doc_id long, version long, start int, n_words int, keep_doc_id long, cluster_id long"
+REMOVAL = ["doc_id", "version", "start", "n_words", "keep_doc_id", "cluster_id"]
 
 
 def merge(rows: list[dict]) -> list[dict]:
@@ -198,13 +222,10 @@ def merge(rows: list[dict]) -> list[dict]:
         if out and r["start"] <= out[-1]["start"] + out[-1]["n_words"]:
             out[-1]["n_words"] = max(out[-1]["n_words"], r["start"] + r["n_words"] - out[-1]["start"])
         else:
-            out.append({k: r[k] for k in ("doc_id", "start", "n_words", "keep_doc_id", "cluster_id")})
+            out.append({k: r[k] for k in REMOVAL})
     return out
 
 
-REMOVAL = ["doc_id", "start", "n_words", "keep_doc_id", "cluster_id"]
-
-
 def edges(rows: list[dict]) -> list[dict]:
     """The removed windows of one document that lie within REACH of an end of their run: a common passage may go on beyond it."""
     out, run = [], []
@@ -212,7 +233,7 @@ def edges(rows: list[dict]) -> list[dict]:
     def flush() -> None:
         first, last = run[0]["start"], run[-1]["start"]
         for r in run:
-            out.extend({"cluster_id": r["cluster_id"], "side": side} for side, far in ((-1, r["start"] - first), (1, last - r["start"])) if far < REACH)
+            out.extend({"cluster_id": r["cluster_id"], "check": r["check"], "side": side} for side, far in ((-1, r["start"] - first), (1, last - r["start"])) if far < REACH)
 
     for r in sorted(rows, key=lambda r: r["start"]):
         if run and r["start"] > run[-1]["start"] + WINDOW:
@@ -228,58 +249,61 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
 
     Any earlier document counts, not the keeper alone, as a longer passage may be shared with a later one than it.
     """
-    at = scratch.save(map_groups(held.where("doc_id <> keep_doc_id").select("doc_id", "start", "cluster_id"), ["doc_id"], edges, "cluster_id long, side int", ["start"]).distinct(), "edges")
-    open_ends = scratch.save(held.join(at, "cluster_id").select("doc_id", "start", "cluster_id", "keep_doc_id", "side"), "open-ends")
-    by_doc = open_ends.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "cluster_id", "keep_doc_id", "side")).alias("ends"))
-    texts = pick(docs, {"doc_id": "long", "text": "string"})
-    texts = texts.join(small(open_ends.select(F.col("doc_id").alias("_doc")).distinct()), F.col("doc_id") == F.col("_doc"), "left_semi").join(by_doc, F.col("doc_id") == F.col("_doc"))
+    at = scratch.save(map_groups(held.where(LATER).select(*DOC, "start", "cluster_id", "check"), DOC, edges, "cluster_id long, check long, side int", ["start"]).distinct(), "edges")
+    fields = ["start", "cluster_id", "check", "keep_doc_id", "keep_version", "side"]
+    open_ends = scratch.save(held.join(at, ["cluster_id", "check"]).select(*DOC, *fields), "open-ends")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": [], "start": [], "cluster_id": [], "keep_doc_id": [], "side": [], "near": []}
-        for doc, text, ends in zip(cols["doc_id"], cols["text"], cols["ends"], strict=True):
-            hashes = word_hashes(words(text)).view(np.int64)
+        out = {k: [] for k in (*DOC, *fields, "near")}
+        for doc, version, hashes, ends in zip(cols["doc_id"], cols["version"], batch_words(cols["text"]), cols["asked"], strict=True):
+            hashes = hashes.view(np.int64)
             for x in ends:
                 at = x["start"]
                 near = hashes[max(0, at - REACH) : at][::-1] if x["side"] < 0 else hashes[at + WINDOW : at + WINDOW + REACH]
-                out["doc_id"].append(doc)
-                out["near"].append(near.tolist())
-                for c in ("start", "cluster_id", "keep_doc_id", "side"):
-                    out[c].append(x[c])
+                for c, v in (("doc_id", doc), ("version", version), ("near", near.tolist()), *((c, x[c]) for c in fields)):
+                    out[c].append(v)
         return out
 
-    seen = scratch.save(map_rows(texts.select("doc_id", "text", "ends"), run, "doc_id long, start int, cluster_id long, keep_doc_id long, side int, near array<long>").withColumn("around", F.xxhash64("near")), "around")
+    seen = map_rows(texts_of(docs, open_ends, fields), run, "doc_id long, version long, start int, cluster_id long, check long, keep_doc_id long, keep_version long, side int, near array<long>")
+    seen = scratch.save(seen.withColumn("around", F.xxhash64("near")).withColumn("doc", F.struct(*DOC)), "around")
     # equal surroundings collapse; each length of what is left is looked up in the first document that has it
-    group = ["cluster_id", "side", "around"]
-    firsts = scratch.save(seen.groupBy(group).agg(F.min("doc_id").alias("first"), F.first("near").alias("near")), "surroundings")
+    of = ["cluster_id", "check", "side"]
+    group = [*of, "around"]
+    firsts = scratch.save(seen.groupBy(group).agg(F.min("doc").alias("first"), F.first("near").alias("near")), "surroundings")
     heads = F.transform(F.sequence(F.lit(1), F.size("near")), lambda n: F.xxhash64(F.slice("near", 1, n)))
     heads = firsts.where(F.size("near") > 0).select(*group, "first", F.posexplode(heads).alias("nth", "head"))
     heads = scratch.save(heads, "heads")
-    earliest = heads.groupBy("cluster_id", "side", "nth", "head").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
-    shared = heads.join(scratch.save(earliest, "earliest"), ["cluster_id", "side", "nth", "head"]).where("least < first")
+    earliest = heads.groupBy(*of, "nth", "head").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
+    shared = heads.join(scratch.save(earliest, "earliest"), [*of, "nth", "head"]).where("least < first")
     shared = scratch.save(shared.groupBy(group).agg((F.max("nth") + 1).alias("shared")), "shared")
     reach = scratch.save(firsts.select(*group, "first", F.size("near").alias("whole")).join(shared, group, "left"), "reach")
-    more = seen.drop("near").join(reach, group).withColumn("more", F.when(F.col("doc_id") > F.col("first"), F.col("whole")).otherwise(F.coalesce("shared", F.lit(0))))
+    more = seen.drop("near").join(reach, group).withColumn("more", F.when(F.col("doc") > F.col("first"), F.col("whole")).otherwise(F.coalesce("shared", F.lit(0))))
     more = more.where("more > 0").withColumn("start", F.col("start") - F.when(F.col("side") < 0, F.col("more")).otherwise(0))
-    return more.withColumn("n_words", F.lit(WINDOW) + F.col("more")).where("doc_id <> keep_doc_id").select(*REMOVAL)
+    return more.withColumn("n_words", F.lit(WINDOW) + F.col("more")).where(LATER).select(*REMOVAL)
+
+
+#: A paragraph that isn't in the document whose copy stays.
+LATER = "not (doc_id = keep_doc_id and version = keep_version)"
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall: float = 0.99) -> DataFrame:
-    """doc_id, start and n_words (in words), keep_doc_id (the document whose copy stays), cluster_id."""
+    """doc_id and version (digest of the text), start and n_words (in words), keep_doc_id (the document whose copy stays), cluster_id."""
     units = scratch.save(paragraphs(docs, bands(percent / 100, recall)), "units")
     lines = units.where("line")
     found = components(similar_lines(docs, lines, scratch, percent), scratch, "components")
     found = found.where(F.col("node") != F.col("root"))
-    # a line's cluster is the root of its key; a window's is its key
-    members = units.select("doc_id", "start", "n_words", "line", "key")
+    # a line's cluster is the root of its key; a window's is its key and check
+    members = units.select(*DOC, "start", "n_words", "line", "key", F.when(~F.col("line"), F.col("check")).otherwise(0).alias("check"))
     members = members.join(found, F.col("line") & (F.col("key") == F.col("node")), "left")
-    members = scratch.save(members.select("doc_id", "start", "n_words", "line", F.coalesce("root", "key").alias("cluster_id")), "members")
-    keepers = members.groupBy("line", "cluster_id").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last"))
-    keepers = scratch.save(keepers.where("keep_doc_id < last").drop("last"), "keepers")
-    held = scratch.save(members.join(keepers, ["line", "cluster_id"]).distinct(), "held-members")
-    removals = held.where("doc_id <> keep_doc_id")
+    members = scratch.save(members.select(*DOC, "start", "n_words", "line", "check", F.coalesce("root", "key").alias("cluster_id")), "members")
+    cluster = ["line", "cluster_id", "check"]
+    keepers = members.groupBy(*cluster).agg(F.min(F.struct(*DOC)).alias("keep"), F.max(F.struct(*DOC)).alias("last"))
+    keepers = keepers.where("keep < last").select(*cluster, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.version").alias("keep_version"))
+    held = scratch.save(members.join(scratch.save(keepers, "keepers"), cluster).distinct(), "held-members")
+    removals = held.where(LATER)
     wide = widened(docs, held.where("not line"), scratch)
     removals = removals.select(*REMOVAL).unionByName(wide)
-    return map_groups(removals, ["doc_id"], merge, SPAN, ["start"])
+    return map_groups(removals, DOC, merge, SPAN, ["start"])
 
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -301,7 +325,8 @@ def cut(text: str, spans: list[dict]) -> str:
 def delete_passages(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """``docs`` with the later copies cut out of the texts; every document stays, n_chars follows the text."""
     spans = scratch.save(repeated_spans(docs, scratch, **options), "spans")
-    by_doc = scratch.save(spans.groupBy(F.col("doc_id").alias("__cut_doc")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cut_spans")), "by-doc")
+    by_doc = spans.groupBy(F.col("doc_id").alias("__cut_doc"), F.col("version").alias("__cut_version")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cut_spans"))
+    by_doc = scratch.save(by_doc, "by-doc")
     names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -309,4 +334,5 @@ def delete_passages(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
         sizes = {"n_chars": [None if t is None else len(t) for t in texts]} if "n_chars" in names else {}
         return {c: cols[c] for c in names} | {"text": texts} | sizes
 
-    return map_rows(docs.join(by_doc, F.col("doc_id") == F.col("__cut_doc"), "left").drop("__cut_doc"), run, fields)
+    own = (F.col("doc_id") == F.col("__cut_doc")) & (F.xxhash64("text") == F.col("__cut_version"))
+    return map_rows(docs.join(by_doc, own, "left").drop("__cut_doc", "__cut_version"), run, fields)

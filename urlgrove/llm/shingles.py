@@ -5,31 +5,34 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Words that a worker remembers.
-MEMO = 500_000
 ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """Runs of other characters than space and U+0009 to U+000D, with A-Z in lower case."""
     return (text or "").encode().lower().split()
 
 
+def batch_words(texts: pa.Array | list) -> list[np.ndarray]:
+    """The hashes of each text's words. Arrow splits the texts and numbers the distinct words, so each is hashed once a batch."""
+    texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    data = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
+    which = coded.indices.to_numpy()
+    real = pa.compute.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[which] if len(data) else np.empty(0, bool)
+    before = np.append(0, np.cumsum(real))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    flat = hashes[which[real]] if len(data) else np.empty(0, np.uint64)
+    return [flat[before[k] : before[k + 1]] for k in range(len(texts))]
+
+
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,6 +55,10 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words(text)), n))
 
 
+def shingle_sets(texts: pa.Array | list, n: int = 5) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(h, n)) for h in batch_words(texts)]
+
+
 def minhash(h: np.ndarray, t: int, seed: int = 7) -> np.ndarray:
     """``t`` minimum hashes of 32 bits, under random permutations of the hashes' upper halves; a non-empty set."""
     a, b = permutations(t, seed)
