@@ -307,16 +307,20 @@ def test_line_runs_have_true_sources(spark, size):
     of = [[x for x in t.split("\n") if x] for t in texts]
     first, want = {}, []
     for d, lines in enumerate(of):
-        last = None
-        for p in range(len(lines) - size + 1):
-            at = first.setdefault(tuple(lines[p : p + size]), (d, p))
-            if at == (d, p):
-                continue
-            if last and p - last[0] <= size and at == (last[1][0], last[1][1] + p - last[0]):
-                want[-1][2] = p + size - want[-1][1]
-            else:
-                want.append([d, p, size, *at])
-            last = (p, at)
+        for p in range(len(lines)):
+            for n in range(1, len(lines) - p + 1):
+                first.setdefault(tuple(lines[p : p + n]), (d, p))
+    for d, lines in enumerate(of):
+        done = 0
+        for p in range(len(lines)):
+            depths = [n for n in (1, 2, 4, 8, 16) if n >= size and p + n <= len(lines) and first[tuple(lines[p : p + n])] < (d, p)]
+            if depths:
+                sd, sp = first[tuple(lines[p : p + depths[-1]])]
+                n = next(k for k in range(len(lines) + 1) if p + k == len(lines) or sp + k == len(of[sd]) or lines[p + k] != of[sd][sp + k])
+                start = max(p, done)
+                if p + n > done:
+                    want.append([d, start, p + n - start, sd, sp + start - p])
+                    done = p + n
     got = line_runs.repeated_runs(table(spark, texts), Scratch(spark, "t"), size).collect()
     assert sorted([x.doc_id, x.first_line, x.n_lines, x.source_doc_id, x.source_line] for x in got) == sorted(want)
     assert all(of[x.doc_id][x.first_line : x.first_line + x.n_lines] == of[x.source_doc_id][x.source_line : x.source_line + x.n_lines] for x in got)

@@ -4,20 +4,27 @@ Lines are numbered by their content; prefix doubling sorts the suffixes of all
 documents: at depth k the suffixes that share their first k lines form one LCP
 interval with one rank, and depth 2k sorts by the pair of ranks k lines apart.
 Suffixes alone in their interval, or cut by a line that occurs nowhere else, are final
-and leave the work, so every round handles only what still repeats. A suffix of an
-interval of depth ``min_lines`` that isn't the first of it in corpus order begins a
-later copy; consecutive ones whose first occurrences follow each other in one document
-too join to runs, which are deleted. So the source document of a run holds all of it; a
-passage of which some lines first occur elsewhere is several runs.
+and leave the work, so every round handles only what still repeats.
+
+A suffix that isn't the first of its interval, in corpus order, begins a later copy. Its
+deepest such interval names its source, the first suffix there; the ranks of the shallower
+intervals, from deep to shallow, then give the length of the longest common prefix of the
+two (binary lifting), so each match is as long as source and copy stay equal. In each
+document a match that reaches beyond all matches before it is a run, from where those end;
+runs of at least ``min_lines`` lines' depth are deleted. Every line of a run stands in its
+source.
 
 Ranks come from a range-partitioned running sum over distinct rank pairs, hence a line
 that fills a third of the corpus is one row there, and the joins back to rows are plain
 skewed joins that AQE splits.
 
-Blank lines take no part and are never deleted. Null texts have no lines. Rows without
-doc_id take no part; rows that repeat a doc_id with the same text count once, and both
-lose the same lines. Ties of rank are broken by document and position. Very long texts
-are taken whole; an empty table gives an empty table.
+Lines are equal if two independent 64-bit digests of their bytes are. Blank lines take no
+part and are never deleted. Null and empty texts have no lines. Rows without doc_id take no
+part; rows that repeat a doc_id with the same text count once, and both lose the same lines;
+rows of one doc_id with other texts are documents of their own. Ties of rank are broken by
+document, digest of the text and position. Very long texts are taken whole; an empty table
+gives an empty table; extra columns pass through, whatever their names (but for
+``n_chars``, which follows the text).
 """
 
 from __future__ import annotations
@@ -30,67 +37,72 @@ from .arrow import map_rows
 from .store import Scratch, pick, ranked
 
 PLACE = ["doc_id", "version", "pos"]
+SOURCE = ["source_doc_id", "source_version", "source_pos"]
+MATCH = "doc_id long, version long, pos int, source_doc_id long, source_version long, source_pos int, depth int, n_lines int"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, version (digest of the text), pos among non-blank lines, line (64-bit id of the content)."""
+    """doc_id, version (digest of the text), pos among non-blank lines, line and check (128 bits of the content)."""
     docs = pick(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null and text is not null")
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("version"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"))
-    return hashed.select("doc_id", "version", F.posexplode("lines").alias("pos", "line"))
-
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.xxhash64(F.lit("check"), x).alias("check")))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("version"), ids.alias("lines"))
+    return hashed.select("doc_id", "version", F.posexplode("lines").alias("pos", "x")).select(*PLACE, "x.line", "x.check")
 
-def intervals(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The suffix array's repeated part, and the later copies of depth ``min_lines`` (a power of two).
 
-    First: doc_id, version, pos, depth (the largest power of two of lines that the suffix
-    shares with another) and rank (of its interval at that depth). Second: doc_id, version,
-    pos, first (the place of the first suffix of the interval).
-    """
+def intervals(docs: DataFrame, scratch: Scratch) -> list[tuple[int, DataFrame]]:
+    """The suffix array's repeated part by depth 1, 2, 4, ...: (depth, rows of doc_id, version, pos and the rank of the interval)."""
     lines = scratch.save(line_table(docs), "lines")
-    counts = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
-    ranks = scratch.save(ranked(counts, ["line"], "n", "rank", scratch, "order-1"), "ranks-1")
-    active = lines.join(ranks.select("line", "rank"), "line").select(*PLACE, "rank")
-    active, depth, parts, copies = scratch.save(active.dropDuplicates(PLACE), "active-1"), 1, [], None
+    counts = lines.groupBy("line", "check").agg(F.count("*").alias("n")).where("n > 1")
+    ranks = scratch.save(ranked(counts, ["line", "check"], "n", "rank", scratch, "order-1"), "ranks-1")
+    active = lines.join(ranks.select("line", "check", "rank"), ["line", "check"]).select(*PLACE, "rank")
+    active, depth, out = scratch.save(active.dropDuplicates(PLACE), "active-1"), 1, []
+    scratch.drop("lines", "order-1", "ranks-1")
     while True:
-        if depth == min_lines:
-            first = active.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first"))
-            first = scratch.save(first, "first")
-            copies = active.join(first, "rank").where(F.struct(*PLACE) != F.col("first")).select(*PLACE, "first")
+        out.append((depth, active))
         ahead = active.select("doc_id", "version", (F.col("pos") - depth).alias("pos"), F.col("rank").alias("next"))
         pairs = scratch.save(active.join(ahead, PLACE), f"pairs-{depth}")
         counts = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
         ranks = ranked(counts, ["rank", "next"], "n", "deeper", scratch, f"order-{2 * depth}")
         ranks = scratch.save(ranks.select("rank", "next", "deeper"), f"ranks-{2 * depth}")
         if ranks.isEmpty():
-            parts.append(active.withColumn("depth", F.lit(depth)))
-            break
-        deeper = scratch.save(pairs.join(ranks, ["rank", "next"]).select(*PLACE, F.col("deeper").alias("rank")), f"active-{2 * depth}")
-        parts.append(active.join(deeper.select(*PLACE), PLACE, "left_anti").withColumn("depth", F.lit(depth)))
-        active, depth = deeper, 2 * depth
-    array = parts[0]
-    for p in parts[1:]:
-        array = array.unionByName(p)
-    if copies is None:  # nothing repeats for so many lines
-        place = "struct<doc_id: bigint, version: bigint, pos: int>"
-        copies = active.limit(0).select(*PLACE, F.lit(None).cast(place).alias("first"))
-    return array.select(*PLACE, "depth", "rank"), copies
+            return out
+        active = scratch.save(pairs.join(ranks, ["rank", "next"]).select(*PLACE, F.col("deeper").alias("rank")), f"active-{2 * depth}")
+        scratch.drop(f"pairs-{depth}", f"order-{2 * depth}", f"ranks-{2 * depth}")
+        depth *= 2
+
+
+def matches(levels: list[tuple[int, DataFrame]], scratch: Scratch, min_lines: int) -> DataFrame:
+    """Every suffix that shares ``min_lines`` lines or more with an earlier one: its place, source place, depth and n_lines, their common prefix."""
+    found: DataFrame | None = None
+    deeper: DataFrame | None = None
+    for depth, active in reversed(levels):
+        if found is not None:  # what came from deeper intervals may go on for ``depth`` lines more
+            here = active.select("doc_id", "version", F.col("pos").alias("_at"), F.col("rank").alias("_rank"))
+            there = active.select(F.col("doc_id").alias(SOURCE[0]), F.col("version").alias(SOURCE[1]), F.col("pos").alias("_source_at"), F.col("rank").alias("_source_rank"))
+            on = found.withColumn("_at", F.col("pos") + F.col("n_lines")).withColumn("_source_at", F.col("source_pos") + F.col("n_lines"))
+            on = on.join(here, ["doc_id", "version", "_at"], "left").join(there, [*SOURCE[:2], "_source_at"], "left")
+            more = F.when(F.col("_rank") == F.col("_source_rank"), depth).otherwise(0)
+            found = scratch.save(on.select(*PLACE, *SOURCE, "depth", (F.col("n_lines") + more).cast("int").alias("n_lines")), f"lifted-{depth}")
+        if depth < min_lines:
+            continue
+        first = scratch.save(active.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first")), f"first-{depth}")
+        copies = active.join(first, "rank").where(F.struct(*PLACE) != F.col("first"))
+        copies = scratch.save(copies.select(*PLACE, F.col("first.doc_id").alias(SOURCE[0]), F.col("first.version").alias(SOURCE[1]), F.col("first.pos").alias(SOURCE[2])), f"copies-{depth}")
+        fresh = copies if deeper is None else copies.join(deeper.select(*PLACE), PLACE, "left_anti")
+        fresh = fresh.withColumn("depth", F.lit(depth)).withColumn("n_lines", F.lit(depth))
+        found, deeper = fresh if found is None else found.unionByName(fresh), copies
+    return found if found is not None else scratch.spark.createDataFrame([], MATCH)
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> DataFrame:
-    """Runs of later copies, each as long as its first occurrences go on: doc_id, version, first_line, n_lines (of non-blank lines), source_doc_id, source_line."""
-    _, copies = intervals(docs, scratch, min_lines)
-    return runs_of(copies, min_lines)
-
-
-def runs_of(copies: DataFrame, min_lines: int) -> DataFrame:
-    doc = W.partitionBy("doc_id", "version").orderBy("pos")  # the lines of one document
-    gap = F.col("pos") - F.lag("pos").over(doc)
-    before = F.lag("first").over(doc)
-    goes_on = (gap <= min_lines) & (before["doc_id"] == F.col("first.doc_id")) & (before["version"] == F.col("first.version")) & (F.col("first.pos") - before["pos"] == gap)
-    starts = copies.withColumn("goes_on", goes_on).withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(doc))
-    runs = starts.groupBy("doc_id", "version", "run").agg(F.min("pos").alias("first_line"), F.max("pos").alias("last"), F.min_by("first", "pos").alias("source"))
-    return runs.select("doc_id", "version", "first_line", (F.col("last") - F.col("first_line") + min_lines).alias("n_lines"), F.col("source.doc_id").alias("source_doc_id"), F.col("source.pos").alias("source_line"))
+    """Runs of later copies: doc_id, version, first_line, n_lines (of non-blank lines), source_doc_id, source_line. ``min_lines`` is a power of two."""
+    found = matches(intervals(docs, scratch), scratch, min_lines)
+    before = W.partitionBy("doc_id", "version").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)  # the lines of one document
+    end = F.col("pos") + F.col("n_lines")
+    runs = found.withColumn("done", F.coalesce(F.max(end).over(before), F.lit(0))).where(end > F.col("done"))
+    start = F.greatest("pos", "done")
+    return runs.select("doc_id", "version", start.alias("first_line"), (end - start).alias("n_lines"), "source_doc_id", (F.col("source_pos") + start - F.col("pos")).alias("source_line"))
 
 
 def delete_runs(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> DataFrame:
