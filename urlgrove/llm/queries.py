@@ -61,7 +61,7 @@ def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("salt")
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

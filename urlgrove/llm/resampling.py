@@ -3,65 +3,104 @@
 Two bag-of-hashed-n-grams models are counted, one over the target texts (labelled good)
 and one over all texts; a document's log weight is the log ratio of its likelihoods, and
 the Gumbel top-k trick draws k documents without replacement in proportion to weight.
-Both passes are narrow maps that count or score inside tasks; what leaves a task is one
-vector of fixed length, and the model that returns to them is two such vectors.
+The target holds no harmful texts: a third and fourth model, over the words of labelled
+toxic and labelled clean texts, give the words that tell them apart (deviation of at least
+``sure``), and a document whose words' log ratios sum to more than ``calm`` of held-out
+clean documents reach has no weight and isn't drawn. Both passes over the texts are narrow
+maps that count or score inside tasks; what leaves a task is a vector of fixed length and
+the counts of labelled words, and the model that returns is of bounded size as well.
 
 ``k`` is the number of documents whose weight is above the bound that ``keep`` of the
 held-out target documents reach; the k-th largest key is found by counting digits of the keys, so
 no sort, window or driver list grows with the corpus. Keys equal to the k-th all stay.
-
-Null or empty texts have weight 0. Rows without doc_id are drawn by their text. Repeated
-rows draw equal keys. Without target texts every weight is 0 and all rows are kept. An
-empty table gives an empty table; labels that repeat or contradict count as not good.
+Weights are sums over all words of a text, hence large; ``temperature`` divides them, and
+its default makes the draw follow weight closely, so that good documents stay.
+
+Null or empty texts have weight 0. Rows without doc_id are drawn by their text, and
+``keep_good`` leaves them in. Repeated rows draw equal keys; rows of one doc_id with other
+texts are judged each by its text. Very long texts are counted whole. Without target texts
+every weight is 0 and all rows are kept; without toxic labels no text is harmful. An empty
+table gives an empty table; labels that repeat or contradict count as not good, and as
+toxic if any says so. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
-from .shingles import word_hashes
+from .arrow import map_slices, slices, tidy
+from .shingles import mix, numbered, word_hashes
 from .store import Scratch, pick, small
 
-TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Runs of marks are words of their own.
+MARKS = r"([^\pL\pN\pM_\s]+)"
+#: Buckets of single words in the models of labelled texts.
+WORD_BITS = 30
+GRAMS, WORDS, DOCS = 0, 1, 2
 
 
-def features(text: str | None, buckets: int) -> np.ndarray:
-    """Bucket of each unigram and bigram of the text."""
-    h = word_hashes(TOKEN.findall(text or ""))
-    pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
-    return (np.append(h, pairs) >> np.uint64(32)).astype(np.int64) % buckets
+def features(texts: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the bucket of each unigram and bigram, and the distinct buckets of its lower-case words."""
+    texts = pc.fill_null(texts, "")
+    distinct, which, at = numbered(pc.utf8_split_whitespace(pc.replace_substring_regex(texts, MARKS, r" \1 ")))
+    hashes = word_hashes(distinct)[which] if distinct else np.empty(0, np.uint64)
+    low = (word_hashes([w.decode().lower().encode() for w in distinct]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)[which] if distinct else np.empty(0, np.int64)
+    out = []
+    for k in range(len(texts)):
+        h = hashes[at[k] : at[k + 1]]
+        pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(((np.append(h, pairs) >> np.uint64(32)).astype(np.int64) % buckets, np.unique(low[at[k] : at[k + 1]])))
+    return out
 
 
 def count_models(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, raw, target): counts of n-grams over all texts, and over those with ``good``."""
+    """(kind, bucket, base, target, spread). GRAMS: counts over all texts, and over those with ``good``; WORDS and DOCS: numbers of labelled texts that
+    are clean, and toxic (``harm``). ``spread``: of 64 classes of toxic texts, as a bit each, those that hold the word; copies of a text share a class."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target, total = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), np.zeros(2, np.int64)
+
+        def rows(kind: int, bucket: np.ndarray, base: np.ndarray, of: np.ndarray, spread: np.ndarray | None = None) -> pa.RecordBatch:
+            spread = np.zeros(len(bucket), np.int64) if spread is None else spread
+            return pa.RecordBatch.from_pydict({"kind": np.full(len(bucket), kind, np.int32), "bucket": bucket.astype(np.int32), "base": base, "target": of, "spread": spread})
 
-    def run(batches):
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                of = [features(t, buckets) for t in part["text"].to_pylist()]
-                fit = [f for f, good in zip(of, part["good"].to_pylist(), strict=True) if good]
-                raw += np.bincount(np.concatenate(of), minlength=buckets)
-                if fit:
+            for part in slices(batch):
+                of = features(part.column(0), buckets)
+                good, harm = part.column(1).to_pylist(), part.column(2).to_pylist()
+                raw += np.bincount(np.concatenate([f for f, _ in of]), minlength=buckets)
+                if fit := [f for (f, _), g in zip(of, good, strict=True) if g]:
                     target += np.bincount(np.concatenate(fit), minlength=buckets)
+                total += harm.count(False), harm.count(True)
+                if known := [w * 2 + h for (_, w), h in zip(of, harm, strict=True) if h is not None]:
+                    # the class of a text goes by its least word after mixing, which copies with few edits mostly share
+                    least = [mix(w.astype(np.uint64) + np.uint64(1)).min(initial=0 if not len(w) else np.uint64(1 << 63)) for (_, w), h in zip(of, harm, strict=True) if h is not None]
+                    bits = np.repeat(np.int64(1) << (mix(np.array(least, np.uint64)) % np.uint64(63)).astype(np.int64), [len(w) for w in known])
+                    flat = np.concatenate(known)
+                    order = np.argsort(flat, kind="stable")
+                    word, first, n = np.unique(flat[order], return_index=True, return_counts=True)
+                    if len(word):
+                        spread = np.bitwise_or.reduceat(bits[order], first)
+                        yield rows(WORDS, word >> 1, n * (1 - word % 2), n * (word % 2), spread * (word % 2))
         used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": used.astype(np.int32), "raw": raw[used], "target": target[used]})
+        yield rows(GRAMS, used, raw[used], target[used])
+        yield rows(DOCS, np.zeros(1), total[:1], total[1:])
+        tidy()
 
-    return docs.select("text", "good").mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = docs.select("text", "good", "harm").mapInArrow(run, "kind int, bucket int, base long, target long, spread long")
+    return counted.groupBy("kind", "bucket").agg(F.sum("base").alias("base"), F.sum("target").alias("target"), F.bit_count(F.bit_or("spread")).alias("spread"))
 
 
 def log_ratio(counts: list, buckets: int, smooth: float = 30.0) -> np.ndarray:
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts:
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+        raw[r.bucket], target[r.bucket] = r.base, r.target
     if not target.sum():
         return np.zeros(buckets, np.float32)
     # pseudo-counts in proportion to the raw model: a bucket that target texts hardly show keeps its raw share
@@ -70,15 +109,35 @@ def log_ratio(counts: list, buckets: int, smooth: float = 30.0) -> np.ndarray:
     return (np.log(of(target)) - np.log(of(raw))).astype(np.float32)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, columns: list[str]) -> DataFrame:
-    buckets, shared = len(ratio), docs.sparkSession.sparkContext.broadcast(ratio)  # a vector of fixed length
+def telling_words(models: DataFrame, sure: float) -> dict[int, float]:
+    """Log ratios of the words that toxic texts hold far more often than clean ones: by ``sure`` deviations, and in five texts at least."""
+    total = models.where(F.col("kind") == DOCS).first()
+    clean, toxic = (total.base, total.target) if total else (0, 0)
+    if not clean or not toxic:
+        return {}
+    # a word of few classes counts once a class: a large group of copies isn't evidence for all its words
+    texts = F.when(F.col("spread") < 48, F.least("target", "spread")).otherwise(F.col("target"))
+    share, n = toxic / (clean + toxic), F.col("base") + texts
+    far = (texts - n * share) / F.sqrt(n * share * (1 - share)) >= sure
+    odds = F.log((texts + 0.5) / (toxic + 1)) - F.log((F.col("base") + 0.5) / (clean + 1))
+    told = models.where((F.col("kind") == WORDS) & (texts >= 5) & far & (odds > 1)).select("bucket", odds.alias("odds"))
+    return {r.bucket: r.odds for r in told.collect()}  # at most 2**WORD_BITS, in practice a list of insults
+
+
+def weigh(docs: DataFrame, ratio: np.ndarray, words: dict[int, float], columns: list[str]) -> DataFrame:
+    """``columns`` with weight and harm of the text."""
+    buckets, context = len(ratio), docs.sparkSession.sparkContext
+    known = np.array(sorted(words), np.int64)
+    shared = context.broadcast((ratio, known, np.array([words[w] for w in known.tolist()])))  # vectors of bounded length
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns]
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        weights = [float(shared.value[features(t, buckets)].sum(dtype=np.float64)) for t in cols["text"]]
-        return {c: cols[c] for c in columns} | {"weight": weights, "salt": [xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in cols["text"]]}
+    def run(part: pa.RecordBatch) -> dict:
+        ratio, known, odds = shared.value
+        of = features(part.column(0), buckets)
+        harm = [float(odds[np.isin(known, w, assume_unique=True)].sum()) for _, w in of] if len(known) else [0.0] * len(of)
+        return {c: part.column(k + 1) for k, c in enumerate(columns)} | {"weight": [float(ratio[f].sum(dtype=np.float64)) for f, _ in of], "harm_score": harm}
 
-    return map_rows(docs.select(*dict.fromkeys([*columns, "text"])), run, ", ".join([*fields, "weight double", "salt long"]))
+    return map_slices(docs.select("text", *columns), run, ", ".join([*fields, "weight double", "harm_score double"]))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
@@ -97,34 +156,44 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int = 1 << 16, temperature: float = 0.05, seed: int = 9) -> DataFrame:
-    """doc_id, weight and Gumbel key of the documents drawn. Draws go by weight / temperature."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "resample")
-    docs = pick(docs, {"doc_id": "long", "text": "string"})
+def draw(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int = 1 << 16, temperature: float = 0.05, seed: int = 9, sure: float = 8.0, calm: float = 0.999) -> DataFrame:
+    """doc_id, version (digest of the text), weight, harm_score, key (fixed-point Gumbel key) and drawn, of every row."""
+    scratch = Scratch(docs.sparkSession, "resample")
+    docs = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("version", F.xxhash64("text"))
     labels = pick(labels, {"doc_id": "long", "quality": "int", "toxic": "int"})
-    good = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("good"))
-    known = docs.join(small(good), "doc_id", "left")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0  # a fifth of the target texts only sets the bound
-    fit = known.withColumn("good", F.col("good") & ~held)
-    ratio = log_ratio(count_models(fit, buckets).collect(), buckets)  # at most `buckets` rows
-    scored = scratch.save(weigh(known.withColumn("good", F.col("good") & held), ratio, ["doc_id", "good"]), "scored")
-    n_good = scored.where("good").count()
+    is_toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    marks = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~is_toxic).alias("good"), F.max(is_toxic).alias("harm"))
+    known = docs.join(small(marks), "doc_id", "left")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0  # a fifth of the labelled texts only sets the bounds
+    # labelled junk is neither target nor clean
+    fit = known.select("text", (F.col("good") & ~held).alias("good"), F.when(~held & (F.col("good") | F.col("harm")), F.col("harm")).alias("harm"))
+    models = scratch.save(count_models(fit, buckets), "models")
+    ratio = log_ratio(models.where(F.col("kind") == GRAMS).collect(), buckets)  # at most `buckets` rows
+    words = telling_words(models, sure)
+    scored = scratch.save(weigh(known.withColumn("held", F.col("good") & held), ratio, words, ["doc_id", "version", "held"]), "scored")
+    n_held = scored.where("held").count()
     # fixed-point weights and keys: a millionth is the step
     step = lambda c: F.floor(c * 1_000_000).cast("long")
-    scored = scored.withColumn("w", step(F.col("weight")))
-    bound = kth_largest(scored.where("good"), "w", max(1, int(np.ceil(keep * n_good)))) if n_good else None
-    k = scored.where(F.col("w") >= F.lit(bound)).count() if bound is not None else scored.count()
-    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", "salt"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scratch.save(scored.select("doc_id", "salt", "weight", step(F.col("weight") / temperature - F.log(-F.log(uniform))).alias("key")), "keyed")
-    least = kth_largest(keyed, "key", k) if k else None
-    drawn = keyed.where(F.col("key") >= F.lit(least)) if least is not None else keyed
-    return drawn.select("doc_id", "salt", "weight", (F.col("key") / 1_000_000).alias("gumbel_key"))
+    scored = scored.withColumn("w", step(F.col("weight"))).withColumn("h", step(F.col("harm_score")))
+    quiet = kth_largest(scored.where("held"), "h", int((1 - calm) * n_held) + 1) if n_held and words else None
+    allowed = F.col("h") <= F.lit(max(quiet, 0)) if quiet is not None else F.lit(True)
+    bound = kth_largest(scored.where("held"), "w", max(1, int(np.ceil(keep * n_held)))) if n_held else None
+    k = scored.where(allowed & (F.col("w") >= F.lit(bound)) if bound is not None else allowed).count()
+    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", "version"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key = F.when(allowed, step(F.col("weight") / temperature - F.log(-F.log(uniform))))
+    keyed = scratch.save(scored.select("doc_id", "version", "weight", "harm_score", key.alias("key")), "keyed")
+    least = kth_largest(keyed.where("key is not null"), "key", k) if k else None
+    drawn = F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if least is not None else F.col("key").isNotNull()
+    return keyed.withColumn("drawn", drawn)
+
+
+def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, weight, harm_score and Gumbel key of the documents drawn. Draws go by weight / temperature."""
+    return draw(docs, labels, **options).where("drawn").select("doc_id", "weight", "harm_score", (F.col("key") / 1_000_000).alias("gumbel_key"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents drawn, with their own columns. Documents without doc_id stay."""
-    drawn = Scratch(docs.sparkSession, "drawn").save(resample(docs, labels, **options).select(F.col("doc_id").alias("_kept")).distinct(), "ids")
-    gone = docs.select(F.col("doc_id").alias("_gone")).distinct().join(drawn, F.col("_gone") == F.col("_kept"), "left_anti")
-    gone = small(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = draw(docs, labels, **options).where("not drawn and doc_id is not null").select(F.col("doc_id").alias("__gone_doc"), F.col("version").alias("__gone_version")).distinct()
+    gone = small(Scratch(docs.sparkSession, "gone").save(gone, "ids"))
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone_doc")) & (F.xxhash64("text") == F.col("__gone_version")), "left_anti")

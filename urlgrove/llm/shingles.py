@@ -17,18 +17,22 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def numbered(lists: pa.ListArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of split texts, the number of each word in turn (empty ones left out), and where each text's begin."""
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    which = coded.indices.to_numpy()
+    real = np.fromiter(map(bool, distinct), bool, len(distinct))[which] if distinct else np.empty(0, bool)
+    at = np.append(0, np.cumsum(real))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    return distinct, which[real], at
+
+
 def batch_words(texts: pa.Array | list) -> list[np.ndarray]:
     """The hashes of each text's words. Arrow splits the texts and numbers the distinct words, so each is hashed once a batch."""
     texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = lists.flatten().dictionary_encode()
-    data = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data))
-    which = coded.indices.to_numpy()
-    real = pa.compute.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[which] if len(data) else np.empty(0, bool)
-    before = np.append(0, np.cumsum(real))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-    flat = hashes[which[real]] if len(data) else np.empty(0, np.uint64)
-    return [flat[before[k] : before[k + 1]] for k in range(len(texts))]
+    distinct, which, at = numbered(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
+    flat = word_hashes(distinct)[which] if distinct else np.empty(0, np.uint64)
+    return [flat[at[k] : at[k + 1]] for k in range(len(texts))]
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
