@@ -292,14 +292,17 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall:
     lines = units.where("line")
     found = components(similar_lines(docs, lines, scratch, percent), scratch, "components")
     found = found.where(F.col("node") != F.col("root"))
-    # a line's cluster is the root of its key; a window's is its key and check
-    members = units.select(*DOC, "start", "n_words", "line", "key", F.when(~F.col("line"), F.col("check")).otherwise(0).alias("check"))
-    members = members.join(found, F.col("line") & (F.col("key") == F.col("node")), "left")
-    members = scratch.save(members.select(*DOC, "start", "n_words", "line", "check", F.coalesce("root", "key").alias("cluster_id")), "members")
-    cluster = ["line", "cluster_id", "check"]
-    keepers = members.groupBy(*cluster).agg(F.min(F.struct(*DOC)).alias("keep"), F.max(F.struct(*DOC)).alias("last"))
+    # a line's cluster is the root of its key (check 0); a window's is its key and check
+    place = [*DOC, "start", "n_words", "line"]
+    of_lines = lines.join(found, F.col("key") == F.col("node"), "left").select(*place, F.coalesce("root", "key").alias("cluster_id"), F.lit(0).cast("long").alias("check"))
+    members = units.where("not line").select(*place, F.col("key").alias("cluster_id"), "check").unionByName(scratch.save(of_lines, "line-members"))
+    cluster = ["cluster_id", "check"]
+    # most windows stand alone: a count of fixed width rules them out before anything is sorted
+    again = scratch.save(members.groupBy(*cluster).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    again = scratch.save(members.join(small(again), cluster).distinct(), "again-members")
+    keepers = again.groupBy(*cluster).agg(F.min(F.struct(*DOC)).alias("keep"), F.max(F.struct(*DOC)).alias("last"))
     keepers = keepers.where("keep < last").select(*cluster, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.version").alias("keep_version"))
-    held = scratch.save(members.join(scratch.save(keepers, "keepers"), cluster).distinct(), "held-members")
+    held = scratch.save(again.join(scratch.save(keepers, "keepers"), cluster), "held-members")
     removals = held.where(LATER)
     wide = widened(docs, held.where("not line"), scratch)
     removals = removals.select(*REMOVAL).unionByName(wide)

@@ -15,6 +15,18 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number.
+BATCH_ROWS, SPARK_BATCH_ROWS = 1_000, "10000"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Texts are wide: Arrow batches of fewer rows, unless the session says otherwise. They are held in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARK_BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,7 +54,7 @@ class Scratch:
     """Written tables of one job: they cut the lineage, survive lost executors and let AQE split skewed joins."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, tag: str) -> str:
@@ -89,7 +101,7 @@ def ranked(df: DataFrame, keys: list[str], weight: str, out: str, scratch: Scrat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:

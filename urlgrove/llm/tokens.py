@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of chunks and ids that a worker remembers; beyond them it starts anew.
-MEMO = 24 << 20
+MEMO = 12 << 20
 #: A space beside more white space: the cut before it isn't safe for byte-level patterns.
 DOUBLE = re.compile(r" \s|\s |^ |\s$")
 #: Runs of marks, which are one unit, and control characters that only Python counts as white space.
