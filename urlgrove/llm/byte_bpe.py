@@ -143,4 +143,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", slice_ids: int = 10
             out["n_slices"].append(len(pieces))
         return {"doc_id": part.column(0), "ids": binary(ids, at), "decoded": binary(data, ends[at])} | out
 
-    return map_slices(df.select("doc_id", text), run, TRIP)
+    return map_slices(df.select("doc_id", text), run, TRIP, 1000, 4 << 20)

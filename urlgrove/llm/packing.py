@@ -58,7 +58,7 @@ def tokenize(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, wi
             raise ValueError("ids above 65,535 don't fit 16 bits")
         return out | ({"ids": binary(flat.astype(f"<u{with_ids}"), np.append(0, stops))} if with_ids else {})
 
-    return map_slices(pick(df, {"doc_id": "long", "text": "string"}), run, PIECE + ", ids binary" * bool(with_ids))
+    return map_slices(pick(df, {"doc_id": "long", "text": "string"}), run, PIECE + ", ids binary" * bool(with_ids), 1000, 4 << 20)
 
 
 class OpenBins:

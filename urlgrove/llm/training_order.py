@@ -125,7 +125,7 @@ def read_shards(spark, to: str, length: int, per_shard: int, shards: list[int] |
     return files.select("shard", "content").mapInArrow(run, RECORD)
 
 
-def materialise(df: DataFrame, path: str, length: int = 512, per_shard: int = 1 << 15, key: int = 20240131, width: int = 2, waves: int = 4) -> DataFrame:
+def materialise(df: DataFrame, path: str, length: int = 512, per_shard: int = 1 << 14, key: int = 20240131, width: int = 2, waves: int = 4) -> DataFrame:
     """Write the shards to the shared folder and return them as read back. Ids that don't fit ``width`` bytes are an error."""
     spark = df.sparkSession
     scratch = Scratch(spark, "order")
