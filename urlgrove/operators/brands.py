@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import NO_DISTANCE, TYPO_DISTANCE
 from ..functions.urls import brand_label, folded, registrable
 
-#: The most trusted domains that travel to the tasks as one row.
-MOST_TRUSTED = 20_000
+#: Trusted domains of one block: so many travel to a task as one row.
+BLOCK = 20_000
 
 
 def build_trusted(entries: DataFrame) -> DataFrame:
@@ -23,12 +23,18 @@ def build_trusted(entries: DataFrame) -> DataFrame:
     return e.withColumn("_n", first).where("_n = 1").select("domain", "agency_name", "category", "label")
 
 
-def brand_list(trusted: DataFrame) -> DataFrame:
-    """One row with all (domain, label), of a checked number."""
-    n = trusted.limit(MOST_TRUSTED + 1).count()
-    if n > MOST_TRUSTED:
-        raise ValueError(f"more than {MOST_TRUSTED} trusted domains")
-    return F.broadcast(trusted.agg(F.sort_array(F.collect_list(F.struct("domain", "label"))).alias("brands")))
+def brand_blocks(trusted: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(block, brands): all (domain, label) in blocks of about ``size``, however many there are; one row a block."""
+    count = trusted.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("blocks"))
+    dealt = trusted.crossJoin(F.broadcast(count)).withColumn("block", F.pmod(F.xxhash64("domain"), "blocks"))  # count is one row
+    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("domain", "label"))).alias("brands"))
+
+
+def met_with_blocks(rows: DataFrame, trusted: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``rows`` (distinct keys) once for each block of trusted domains, with the block's ``brands``."""
+    blocks = brand_blocks(trusted, size)
+    ids = blocks.agg(F.collect_list("block").alias("_blocks"))  # a number for each 20,000 domains
+    return rows.crossJoin(F.broadcast(ids)).withColumn("block", F.explode("_blocks")).drop("_blocks").join(blocks, "block").drop("block")
 
 
 def nearest(label: Column, brands: Column) -> Column:
@@ -36,15 +42,16 @@ def nearest(label: Column, brands: Column) -> Column:
     return F.array_min(F.transform(brands, lambda b: F.struct(F.levenshtein(label, b.label).alias("distance"), b.domain.alias("domain"))))
 
 
-def closest_brand(urls: DataFrame, trusted: DataFrame) -> DataFrame:
+def closest_brand(urls: DataFrame, trusted: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add closest_domain, min_edit_distance, homoglyph_distance, is_whitelisted and is_typosquat.
 
-    Distances are found once for each distinct label, then joined back.
+    Distances are found once for each distinct label and block of trusted domains; the least of a label is joined back.
     """
     urls = urls.withColumn("brand", brand_label(F.col("host"), F.col("labels"))).withColumn("registrable", registrable(F.col("host"), F.col("labels")))
-    labels = urls.where("has_ip = 0 and brand <> ''").select("brand").distinct().crossJoin(brand_list(trusted))
+    labels = met_with_blocks(urls.where("has_ip = 0 and brand <> ''").select("brand").distinct(), trusted, block)
     near, fold = nearest(F.col("brand"), F.col("brands")), nearest(folded(F.col("brand")), F.col("brands"))
     labels = labels.select("brand", near.alias("near"), F.when(folded(F.col("brand")) == F.col("brand"), near).otherwise(fold).alias("fold"))
+    labels = labels.groupBy("brand").agg(F.min("near").alias("near"), F.min("fold").alias("fold"))
     exact = trusted.select(F.col("domain").alias("registrable"), F.lit(True).alias("exact"))
     out = urls.join(labels, "brand", "left").join(exact, "registrable", "left")
     raw = F.when(F.col("exact"), 0).otherwise(F.coalesce("near.distance", F.lit(NO_DISTANCE)))
@@ -62,7 +69,9 @@ def closest_brand(urls: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def path_brands(urls: DataFrame, trusted: DataFrame) -> DataFrame:
     """Add path_brand_hit: a path token of four letters or more is a trusted label other than the host's."""
-    labels = F.array_distinct(F.transform("brands", lambda b: b.label))
-    tokens = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("path"), F.lit("[a-z0-9]+"), F.lit(0))), lambda t: (F.length(t) >= 4) & (t != F.col("brand")))
-    hit = (F.col("has_ip") == 0) & F.arrays_overlap(tokens, F.col("_labels"))
-    return urls.crossJoin(brand_list(trusted).select(labels.alias("_labels"))).withColumn("path_brand_hit", hit.cast("int")).drop("_labels")
+    paths = urls.select(F.coalesce("path", F.lit("")).alias("_path"), F.coalesce("brand", F.lit("")).alias("_brand")).distinct()
+    tokens = paths.withColumn("_token", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_path"), F.lit("[a-z0-9]+"), F.lit(0)))))
+    tokens = tokens.where((F.length("_token") >= 4) & (F.col("_token") != F.col("_brand")))
+    hits = tokens.join(trusted.select(F.col("label").alias("_token")).distinct(), "_token", "left_semi").select("_path", "_brand").distinct().withColumn("_hit", F.lit(True))
+    out = urls.join(hits, (F.coalesce("path", F.lit("")) == F.col("_path")) & (F.coalesce("brand", F.lit("")) == F.col("_brand")), "left")
+    return out.withColumn("path_brand_hit", ((F.col("has_ip") == 0) & F.coalesce("_hit", F.lit(False))).cast("int")).drop("_path", "_brand", "_hit")

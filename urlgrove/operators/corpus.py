@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CHEAP_TLDS
 
-#: URL patterns of the brand expansion; {b} is the brand, {t} the top-level domain.
+#: URL patterns that the brand expansion uses unless others are given; {b} is the brand, {t} the top-level domain.
 TEMPLATES = ["https://{b}-login.{t}/signin", "https://secure-{b}.{t}/verify", "https://{b}.account-update.{t}/", "http://{b}-support.{t}/otp", "https://www.{b}.{t}/wallet/reset", "http://{t}-{b}.info/login", "https://{b}{t}.club/auth", "https://my{b}.{t}/session"]
 
 
@@ -58,12 +58,12 @@ def attack_pattern(netloc: Column, host: Column) -> Column:
     )
 
 
-def expand_brands(brands: DataFrame, tlds: list[str]) -> DataFrame:
+def expand_brands(brands: DataFrame, tlds: list[str], templates: list[str] = TEMPLATES) -> DataFrame:
     """``brands`` (brand, idx) by template; the top-level domain turns with brand and template."""
-    out = brands.select("brand", "idx", F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("offset", "template"))
+    out = brands.select("brand", "idx", F.posexplode(F.array(*map(F.lit, templates))).alias("offset", "template"))
     tld = F.element_at(F.array(*map(F.lit, tlds)), (F.pmod(F.col("idx") + F.col("offset"), F.lit(len(tlds))) + 1).cast("int"))
     url = F.replace(F.replace("template", F.lit("{b}"), F.col("brand")), F.lit("{t}"), tld)
-    return first_wins(out.select("brand", (F.col("idx") * len(TEMPLATES) + F.col("offset")).alias("ord"), url.alias("url")), "url", "ord")
+    return first_wins(out.select("brand", (F.col("idx") * len(templates) + F.col("offset")).alias("ord"), url.alias("url")), "url", "ord")
 
 
 def histogram(df: DataFrame, dims: list[str], top: int = 12) -> DataFrame:

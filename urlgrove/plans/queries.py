@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import LOGIN_KEYWORDS, SUSPICIOUS_TLDS
 from ..functions.urls import url_parts
 from ..operators import corpus, rules
 from ..operators import verdicts as V
-from ..operators.brands import brand_list
 from ..sources.feeds import first_url, page_domains, valid
 from ..streaming.ingest import new_only
 from . import views
@@ -210,8 +210,8 @@ def stratified_folds(spark, d):
 z AS (SELECT brand, idx * 8 + k AS ord, list_extract(['com', 'net', 'org', 'xyz', 'top'], CAST((idx + k) % 5 AS INTEGER) + 1) AS t, list_extract({listed(corpus.TEMPLATES)}, CAST(k AS INTEGER) + 1) AS tpl FROM o)
 SELECT brand, ord, replace(replace(tpl, '{{b}}', brand), '{{t}}', t) AS url FROM z QUALIFY row_number() OVER (PARTITION BY replace(replace(tpl, '{{b}}', brand), '{{t}}', t) ORDER BY ord) = 1""")
 def brand_expansion(spark, d):
-    listed_ = brand_list(views.trusted(spark, d)).select(F.posexplode("brands").alias("idx", "b"))  # sorted by domain, hence by label
-    return corpus.expand_brands(listed_.select(F.col("b.label").alias("brand"), "idx"), ["com", "net", "org", "xyz", "top"])
+    idx = F.row_number().over(W.orderBy("domain")) - 1  # a place in the list of trusted domains, a dimension table; sorted by domain, hence by label
+    return corpus.expand_brands(views.trusted(spark, d).select(F.col("label").alias("brand"), idx.alias("idx")), ["com", "net", "org", "xyz", "top"])
 
 
 @query(f"""WITH {PARTS}, h AS (SELECT DISTINCT host FROM p WHERE page_id % 3 = 0), n AS (SELECT DISTINCT host FROM p)
@@ -252,17 +252,17 @@ SELECT page_id, round(greatest(-0.2, least(0.3, (CASE WHEN EXISTS (SELECT 1 FROM
  + (CASE WHEN regexp_matches(page, '<input[^>]+type=["'']?password') THEN 0.1 ELSE 0 END) - (CASE WHEN EXISTS (SELECT 1 FROM trusted t WHERE contains(title, t.domain)) THEN 0.1 ELSE 0 END))), 4) AS content_delta FROM y""")
 def content_adjustment(spark, d):
     p = url_parts(views.urls(spark, d)).select("page_id", "host").join(views.table(spark, d, "pages").select("page_id", "html"), "page_id")
-    p = p.crossJoin(brand_list(views.trusted(spark, d)))
-    return rules.content_adjustment(p, F.col("brands")).select("page_id", "content_delta")
+    return rules.content_adjustment(p, views.trusted(spark, d), "page_id").select("page_id", "content_delta")
 
 
-@query(f"""WITH {PARTS}, c AS (SELECT conv_id, turn, text || ' ' || url AS text FROM conversations JOIN urls ON page_id = conv_id % (SELECT count(*) FROM pages) WHERE turn = 0)
-SELECT conv_id, regexp_extract(text, '(https?://[^ \\t\\n\\r]+)', 1) AS url FROM c""")
+@query(f"""WITH {PARTS}, c AS (SELECT conv_id, turn, text || ' ' || url AS text FROM conversations JOIN urls ON page_id = conv_id % (SELECT count(*) FROM pages))
+SELECT conv_id, turn, regexp_extract(text, '(https?://[^ \\t\\n\\r]+)', 1) AS url FROM c""")
 def chat_links(spark, d):
+    """The first link of every message; the messages are given a page's URL."""
     n = views.table(spark, d, "pages").agg(F.count("*").alias("c"))
-    c = views.table(spark, d, "conversations").where("turn = 0").crossJoin(F.broadcast(n)).withColumn("page_id", F.col("conv_id") % F.col("c"))
+    c = views.table(spark, d, "conversations").crossJoin(F.broadcast(n)).withColumn("page_id", F.col("conv_id") % F.col("c"))
     c = c.join(views.urls(spark, d), "page_id").withColumn("text", F.concat_ws(" ", "text", "url"))
-    return c.select("conv_id", first_url(F.col("text")).alias("url")).where("url is not null")
+    return c.select("conv_id", "turn", first_url(F.col("text")).alias("url")).where("url is not null")
 
 
 @query("SELECT domain, min(page_id) AS page_id, count(*) AS mentions FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '[a-z]+\\.example\\.(?:com|net|org)')) AS domain FROM pages) GROUP BY 1")

@@ -14,7 +14,9 @@ def text_urls(spark: SparkSession, path: str) -> DataFrame:
 def json_entries(raw: DataFrame, body: str = "body") -> DataFrame:
     """URLs of a JSON feed: an array of entries at the top or under ``entries``."""
     entry = "array<struct<url:string,phish_detail_url:string>>"
-    entries = F.coalesce(F.from_json(body, entry), F.from_json(body, f"struct<entries:{entry}>").getField("entries"))
+    # by the first mark: an array schema would read an object as an array of one
+    listed = F.from_json(F.when(F.ltrim(body).startswith("["), F.col(body)), entry)
+    entries = F.coalesce(listed, F.from_json(F.when(F.ltrim(body).startswith("{"), F.col(body)), f"struct<entries:{entry}>").getField("entries"))
     found = raw.select(F.explode(entries).alias("e")).select(F.coalesce(F.nullif("e.url", F.lit("")), F.col("e.phish_detail_url")).alias("url"))
     return found.where("url like 'http%'")
 
