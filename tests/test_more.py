@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from urlgrove.functions import idn
 from urlgrove.functions.urls import lexical, url_parts
-from urlgrove.operators import targeting
-from urlgrove.operators.brands import closest_brand
+from urlgrove.operators import rules, targeting
+from urlgrove.operators.brands import closest_brand, path_brands
 from urlgrove.operators.observations import cert_time
 from urlgrove.plans.training import check_contract, gate, retrained
 from urlgrove.sources.feeds import json_entries
@@ -43,3 +44,45 @@ def test_gate_and_contract(spark):
     check_contract(json.dumps({"version": "1", "features": ["a"]}), ["a"], "1")
     with pytest.raises(ValueError):
         check_contract(json.dumps({"version": "1", "features": ["b", "a"]}), ["a", "b"], "1")
+
+
+HOSTS = [
+    # host, decoded, folded, mixed
+    ("plain.example", "plain.example", "plain.example", False),
+    ("xn--bcher-kva.example", "bücher.example", "bucher.example", True),
+    ("XN--BCHER-KVA.example", "bücher.example", "bucher.example", True),
+    ("xn--\u00e9.example", "xn--\u00e9.example", "xn--e.example", True),  # no valid label stays as it is
+    ("xn--99999999999.example", "xn--99999999999.example", "xn--99999999999.example", False),
+    ("сеорх.com", "сеорх.com", "ceopx.com", False),  # one script, no ASCII letter in the label
+    ("pаy.com", "pаy.com", "pay.com", True),
+    ("сρ.com", "сρ.com", "cp.com", True),  # Cyrillic beside Greek
+    ("ｂａｎｋ.com", "ｂａｎｋ.com", "bank.com", False),
+    ("漢字かな.jp", "漢字かな.jp", "漢字かな.jp", False),
+    ("ไทย๑.th", "ไทย๑.th", "ไทย1.th", False),
+    ("", "", "", False),
+    (None, None, None, False),
+]
+
+
+def test_international_hosts(spark):
+    df = spark.createDataFrame([(k, h) for k, (h, *_) in enumerate(HOSTS)], "k int, host string").withColumn("d", idn.decoded(F.col("host")))
+    got = df.select("d", idn.folded(F.col("host")), idn.mixed_script(F.col("d"))).orderBy("k").collect()
+    # Kana beside Han count as one script; Thai has no ASCII letters in its label
+    assert [tuple(r) for r in got] == [tuple(h[1:]) for h in HOSTS]
+
+
+def test_encoded_hosts_come_back(spark):
+    hosts = ["pаypаl.com", "bücher.example", "plain.com", "сеорх.xn--p1ai"]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string").withColumn("a", idn.encoded(F.col("h")))
+    got = {r.h: (r.a, r.d) for r in df.withColumn("d", idn.decoded(F.col("a"))).collect()}
+    assert got["plain.com"] == ("plain.com", "plain.com") and all(a.isascii() for a, _ in got.values())
+    assert got["pаypаl.com"][1] == "pаypаl.com" and got["bücher.example"][0] == "xn--bcher-kva.example"
+
+
+def test_homograph_rule_fires(spark):
+    trusted = spark.createDataFrame([("mybank.com", "mybank")], "domain string, label string")
+    urls = spark.createDataFrame([("http://" + h + "/x",) for h in ("mybаnk.com".encode("idna").decode(), "xn--bcher-kva.com", "other.com")], "url string")
+    df = idn.international(path_brands(closest_brand(lexical(url_parts(urls)), trusted), trusted))
+    got = sorted((r.homoglyph_distance, r.has_mixed_script, [h.rule_id for h in r.hits]) for r in rules.evaluate(df).collect())
+    assert got[0][0] == 0 and got[0][1] == 1 and "IDN_HOMOGRAPH" in got[0][2]
+    assert all("IDN_HOMOGRAPH" not in hits for _, _, hits in got[1:])

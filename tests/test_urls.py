@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from urlgrove.functions.urls import brand_label, fingerprint, folded, is_ip, lexical, path_shape, registrable, url_parts
+from urlgrove.functions.idn import folded
+from urlgrove.functions.urls import brand_label, fingerprint, is_ip, lexical, path_shape, registrable, url_parts
 from urlgrove.operators import corpus, rules
 from urlgrove.operators.brands import closest_brand, path_brands
 from urlgrove.operators.verdicts import ttl_first

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .constants import CONFUSABLE, FULL_WIDTH, LATIN, LOGIN_KEYWORDS, LOOKS_LIKE, REGISTRABLE_SUFFIXES, SUFFIXES, SUSPICIOUS_TLDS, TLD_TYPES
+from .constants import LOGIN_KEYWORDS, REGISTRABLE_SUFFIXES, SUFFIXES, SUSPICIOUS_TLDS, TLD_TYPES
 
 IPV4 = r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$"
 
@@ -63,11 +63,6 @@ def etld(host: Column, labels: Column) -> Column:
     return F.coalesce(F.get(known, F.lit(0)), F.element_at(labels, -1), F.lit(""))
 
 
-def folded(label: Column) -> Column:
-    """Look-alike letters replaced by the Latin ones."""
-    return F.translate(label, CONFUSABLE + FULL_WIDTH, LOOKS_LIKE + LATIN)
-
-
 def occurrences(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 

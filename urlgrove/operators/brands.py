@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import NO_DISTANCE, TYPO_DISTANCE
-from ..functions.urls import brand_label, folded, registrable
+from ..functions.idn import folded
+from ..functions.urls import brand_label, registrable
 
 #: Trusted domains of one block: so many travel to a task as one row.
 BLOCK = 20_000
@@ -48,9 +49,10 @@ def closest_brand(urls: DataFrame, trusted: DataFrame, block: int = BLOCK) -> Da
     Distances are found once for each distinct label and block of trusted domains; the least of a label is joined back.
     """
     urls = urls.withColumn("brand", brand_label(F.col("host"), F.col("labels"))).withColumn("registrable", registrable(F.col("host"), F.col("labels")))
-    labels = met_with_blocks(urls.where("has_ip = 0 and brand <> ''").select("brand").distinct(), trusted, block)
-    near, fold = nearest(F.col("brand"), F.col("brands")), nearest(folded(F.col("brand")), F.col("brands"))
-    labels = labels.select("brand", near.alias("near"), F.when(folded(F.col("brand")) == F.col("brand"), near).otherwise(fold).alias("fold"))
+    labels = urls.where("has_ip = 0 and brand <> ''").select("brand").distinct().withColumn("_folded", folded(F.col("brand")))
+    labels = met_with_blocks(labels, trusted, block)
+    near, fold = nearest(F.col("brand"), F.col("brands")), nearest(F.col("_folded"), F.col("brands"))
+    labels = labels.select("brand", near.alias("near"), F.when(F.col("_folded") == F.col("brand"), near).otherwise(fold).alias("fold"))
     labels = labels.groupBy("brand").agg(F.min("near").alias("near"), F.min("fold").alias("fold"))
     exact = trusted.select(F.col("domain").alias("registrable"), F.lit(True).alias("exact"))
     out = urls.join(labels, "brand", "left").join(exact, "registrable", "left")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import FREE_ISSUERS, REGISTRARS, SHORTENERS
+from ..functions import idn
 from ..functions.urls import etld, lexical, url_parts
 from ..operators import corpus, observations, reports, targeting
+from ..operators.brands import closest_brand
 from . import views
 from .queries import query
 from .views import AS_OF, BRANDS, PARTS, VERDICTS, listed
@@ -227,3 +229,26 @@ def model_scores(spark, d):
 
     x = lexical(shaped(spark, d)).withColumn("label", F.col("has_login_keyword").cast("double"))
     return calibrated(x, ["url_length", "num_dots", "num_slash", "num_digits", "path_depth", "path_length", "num_subdomains", "host_token_count"], "label", "page_id").select("page_id", "label", F.round("score", 6).alias("score"))
+
+
+#: Plain letters and those that each kind of spoofed host shows instead: Cyrillic, Cyrillic sent as xn--, accented, full width.
+SPOOFS = {1: ("aeopc", "аеорс"), 2: ("aeopc", "аеорс"), 3: ("aeiou", "áéíóú"), 4: ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26)))}
+SPOOFED = "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN translate(brand, '{a}', '{b}')" for k, (a, b) in SPOOFS.items()) + " ELSE brand END"
+
+
+def spoofed(spark, d):
+    """The pages' hosts, the label before the top-level domain written with look-alike letters by page_id; plain is that label as it was."""
+    rows = views.urls(spark, d).select("page_id", F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)).alias("h"))
+    plain, k = F.split_part("h", F.lit("."), F.lit(-2)), F.col("page_id") % 5
+    shown = F.coalesce(*(F.when(k == n, F.translate(plain, a, b)) for n, (a, b) in SPOOFS.items()), plain)
+    shown = F.concat_ws(".", shown, F.split_part("h", F.lit("."), F.lit(-1)))
+    rows = rows.withColumn("shown", F.when(k == 2, shown)).withColumn("host", F.coalesce(idn.encoded(F.col("shown")), shown))
+    return lexical(url_parts(rows.select("page_id", F.concat(F.lit("https://"), "host").alias("url"))))
+
+
+@query(f"""WITH {BRANDS}, x AS (SELECT page_id, brand, {SPOOFED} AS shown, split_part(host, '.', -1) AS tld, min_edit_distance FROM h)
+SELECT page_id, shown || '.' || tld AS decoded_host, CAST(regexp_matches(shown, '[a-z]') AND regexp_matches(shown, '[^\x00-\x7F]') AS INTEGER) AS has_mixed_script,
+ CAST(page_id % 5 = 2 AND shown <> brand AS INTEGER) AS has_punycode, brand AS folded_label, min_edit_distance AS homoglyph_distance FROM x""")
+def international_hosts(spark, d):
+    x = closest_brand(idn.international(spoofed(spark, d)), views.trusted(spark, d))
+    return x.select("page_id", "decoded_host", "has_mixed_script", "has_punycode", idn.folded(F.col("brand")).alias("folded_label"), "homoglyph_distance")
