@@ -123,15 +123,60 @@ def test_top_k(spark):
         assert sorted(found) == [(n + 1, -k, s) for n, (s, k) in enumerate(want)]
 
 
-def test_fixity(spark):
-    pages = spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}") for k in range(400)] + [(None, None, None)], "page_id long, url string, html string")
+PAGES = "page_id long, url string, html string"
+
+
+def test_fixity(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"<p>{k}\r\n\r\nWARC/1.0 " + "x" * (k % 7)) for k in range(400)] + [(None, None, None), (500, "ü", "日本語" * 30_000)]
+    rows += [(600, "http://copy", "same")] * 50
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES + ", file string, key string")
     a = fixity.archive(pages, per_file=90)
-    bad = fixity.audit(fixity.leaves(a), fixity.leaves(damaged(a))).collect()
-    where = {(r.file, r.ord): r.page_id for r in a.collect()}
-    assert sorted(where[r.file, r.ord] for r in bad) == [k for k in range(400) if k % 97 == 13]
-    assert fixity.audit(fixity.leaves(a), fixity.leaves(a)).count() == 0
-    lost = fixity.audit(fixity.leaves(a), fixity.leaves(a).where("not (file = 0 and ord = 3)")).collect()
-    assert [(r.file, r.ord, r.digest_b) for r in lost] == [(0, 3, None)]
+    key = {r.page_id: (r.file, r.key) for r in a.collect()}
+    whole = fixity.hashed(a)
+    hurt = lambda b: sorted((r.file, r.key) for r in fixity.audit(whole, b).collect())
+    assert hurt(fixity.hashed(damaged(a))) == sorted(key[k] for k in range(400) if k % 97 == 13)
+    assert hurt(whole) == []
+
+    # a record that a replica lacks is the only one reported, whichever side lacks it, and so is one copy less
+    lost = fixity.hashed(a.where("page_id is null or page_id <> 77"))
+    got = fixity.audit(whole, lost).collect()
+    assert [((r.file, r.key), r.digest_b, r.copies_a, r.copies_b) for r in got] == [(key[77], None, 1, 0)]
+    assert [(r.file, r.key) for r in fixity.audit(lost, whole).collect()] == [key[77]]
+    few = whole.withColumn("copies", F.expr("if(copies = 50, 49, copies)"))
+    assert [((r.file, r.key), r.copies_a, r.copies_b) for r in fixity.audit(whole, few).collect()] == [(key[600], 50, 49)]
+
+    # offsets are those of the stored bytes, and stored bytes give the same leaves
+    path = str(tmp_path / "replica")
+    fixity.write_files(a, path)
+    stored = {f: b"".join(p.read_bytes() for p in (tmp_path / "replica" / f"file={f}").glob("*.txt")) for f in {f for f, _ in key.values()}}
+    text = {(r.file, r.key): r.record.encode() for r in a.collect()}
+    for r in fixity.leaves(whole).collect():
+        assert stored[r.file][r.start : r.end] == text[r.file, r.key] * r.copies
+    assert hurt(fixity.read_files(spark, path)) == []
+
+
+def test_fixity_of_spoilt_files(spark, tmp_path):
+    a = fixity.archive(spark.createDataFrame([(k, f"http://h/{k}", f"<p>{k}") for k in range(60)], PAGES), per_file=1000)
+    fixity.write_files(a, str(tmp_path / "r"))
+    (file,) = (tmp_path / "r" / "file=0").glob("*.txt")
+    text, order = file.read_bytes(), [r.key for r in a.orderBy("key").collect()]
+    hurt = lambda: {r.key for r in fixity.audit(fixity.hashed(a), fixity.read_files(spark, str(tmp_path / "r"))).collect()}
+    at = [r.start for r in fixity.leaves(fixity.hashed(a)).orderBy("key").collect()]
+    for p in (file.parent).glob(".*.crc"):
+        p.unlink()
+    file.write_bytes(text[: at[20] + 3] + b"#" + text[at[20] + 4 :])  # the head of record 20 is no head any more
+    assert hurt() == {order[20], ""}
+    file.write_bytes(text[: at[30] - 6] + b"#" + text[at[30] - 5 :])  # a byte of the text of record 29
+    assert hurt() == {order[29]}
+    file.write_bytes(text[: at[40] - 9])  # the file ends inside record 39
+    assert hurt() == {*order[39:], ""}
+
+
+def test_fixity_of_empty_tables(spark):
+    none = fixity.archive(spark.createDataFrame([], PAGES))
+    some = fixity.archive(spark.createDataFrame([(1, "u", "h")], PAGES))
+    assert fixity.audit(fixity.hashed(none), fixity.hashed(none)).count() == 0
+    assert [(r.copies_a, r.copies_b) for r in fixity.audit(fixity.hashed(none), fixity.hashed(some)).collect()] == [(0, 1)]
 
 
 def test_training_order(spark):

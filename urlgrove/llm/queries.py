@@ -50,14 +50,14 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(archived: DataFrame) -> DataFrame:
-    """A second replica: every record of a page whose id leaves 13 modulo 97 has lost its last byte to a zero."""
+    """A second replica: in every record of a page whose id leaves 13 modulo 97 the last byte has become a zero."""
     spoilt = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("0"))
     return archived.withColumn("record", F.when(F.col("page_id") % 97 == 13, spoilt).otherwise(F.col("record")))
 
 
 def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     archived = fixity.archive(table(spark, sf_dir, "pages"))
-    return fixity.audit(fixity.leaves(archived), fixity.leaves(damaged(archived)))
+    return fixity.audit(fixity.hashed(archived), fixity.hashed(damaged(archived)))
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +89,13 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """,
     "op8_fixity_audit": """
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-n AS (SELECT page_id, md5(concat_ws('|', CAST(page_id AS VARCHAR), url, md5(html))) AS name,
-        concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
-          'Content-Length: ', CAST(strlen(html) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS record FROM p),
-f AS (SELECT page_id, name, record, CAST(concat('0x', substr(name, 1, 8)) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) FROM p) AS file FROM n),
-o AS (SELECT *, row_number() OVER w - 1 AS ord, CAST(sum(strlen(record)) OVER w AS BIGINT) AS "end" FROM f WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, name ROWS UNBOUNDED PRECEDING))
-SELECT file, ord, "end" - strlen(record) AS "start", "end", sha256(record) AS digest_a, sha256(concat(substr(record, 1, length(record) - 1), '0')) AS digest_b
+i AS (SELECT *, md5(concat_ws('|', CAST(page_id AS VARCHAR), url, md5(html))) AS id, chr(13) || chr(10) AS nl FROM p),
+n AS (SELECT page_id, id, concat('WARC/1.0', nl, 'WARC-Type: resource', nl, 'WARC-Record-ID: <urn:uuid:', regexp_replace(id, '^(.{8})(.{4})(.{4})(.{4})', '\\1-\\2-\\3-\\4-'), '>', nl,
+          'WARC-Date: 2024-01-01T00:00:00Z', nl, 'WARC-Target-URI: ', url, nl, 'Content-Type: text/html', nl, 'Content-Length: ', CAST(strlen(html) AS VARCHAR), nl, nl, html, nl, nl) AS record FROM i),
+f AS (SELECT page_id, record, CAST(concat('0x', substr(id, 1, 8)) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) FROM p) AS file,
+        substr(id, 9) || substr(id, 1, 8) AS key, count(*) AS copies FROM n GROUP BY ALL),
+o AS (SELECT *, CAST(strlen(record) * copies AS BIGINT) AS size, CAST(sum(strlen(record) * copies) OVER (PARTITION BY file ORDER BY key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM f)
+SELECT file, key, "end" - size AS "start", "end", sha256(record) AS digest_a, sha256(concat(substr(record, 1, length(record) - 1), '0')) AS digest_b, copies AS copies_a, copies AS copies_b
 FROM o WHERE page_id % 97 = 13
 """,
 }
