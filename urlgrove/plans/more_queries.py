@@ -9,9 +9,11 @@ from ..functions import idn
 from ..functions.urls import etld, lexical, url_parts
 from ..operators import corpus, observations, reports, targeting
 from ..operators.brands import closest_brand
+from ..operators import verdicts as V
+from ..sinks import tables as sinks
 from . import views
 from .queries import query
-from .views import AS_OF, BRANDS, PARTS, VERDICTS, listed
+from .views import AS_OF, BRANDS, FEEDBACK, PARTS, VERDICTS, listed
 
 SHAPED = """shaped AS (SELECT page_id, CASE page_id % 9
   WHEN 1 THEN replace(url, '://', '://user@') WHEN 2 THEN regexp_replace(url, '^(https?://[^/?#]*)', '\\1:8443')
@@ -252,3 +254,24 @@ SELECT page_id, shown || '.' || tld AS decoded_host, CAST(regexp_matches(shown,
 def international_hosts(spark, d):
     x = closest_brand(idn.international(spoofed(spark, d)), views.trusted(spark, d))
     return x.select("page_id", "decoded_host", "has_mixed_script", "has_punycode", idn.folded(F.col("brand")).alias("folded_label"), "homoglyph_distance")
+
+
+@query(f"""WITH {PARTS}, {FEEDBACK} SELECT url, CASE WHEN correct_verdict = 'phishing' THEN '1' ELSE '0' END AS label, 'feedback' AS source FROM feedback
+WHERE TIMESTAMP '{AS_OF}' - to_days(CAST(doc_id % 30 AS INTEGER)) >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY""")
+def label_export(spark, d):
+    at = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.col("doc_id") % 30)
+    return sinks.label_rows(views.feedback(spark, d).withColumn("created_at", at), AS_OF, 14)
+
+
+@query(f"""WITH {VERDICTS}, f AS (SELECT * FROM verdicts WHERE label = 'phishing' AND checked_at >= TIMESTAMP '{AS_OF}' - INTERVAL 336 HOUR AND checked_at <= TIMESTAMP '{AS_OF}' ORDER BY checked_at DESC, check_id LIMIT 2000)
+SELECT 0 AS ord, '\ufeff' || 'url,score,closest_domain,edit_distance,checked_at' AS line
+UNION ALL SELECT row_number() OVER (ORDER BY checked_at DESC, url), CASE WHEN regexp_matches(url, '[",]') THEN '"' || replace(url, '"', '""') || '"' ELSE url END || ',' || printf('%.4f', score) || ',' || coalesce(closest_domain, '') || ',' || min_edit_distance || ',' || strftime(checked_at, '%Y-%m-%dT%H:%M:%SZ') FROM f""")
+def feed_csv_lines(spark, d):
+    return sinks.feed_csv(V.indicators(views.verdicts(spark, d), AS_OF, 336).withColumn("edit_distance", F.col("min_edit_distance")))
+
+
+@query(f"""WITH {VERDICTS}, watched AS (SELECT v.*, t.label AS brand FROM verdicts v JOIN trusted t ON split_part(v.closest_domain, '.', 1) = t.label WHERE v.label = 'phishing' AND length(t.label) % 2 = 1)
+SELECT check_id, '{{"schema":"phish.alert.v1","brand":"' || brand || '","url":' || CAST(to_json(url) AS VARCHAR) || ',"label":"phishing","score":' || CAST(round(score, 4) AS VARCHAR) || ',"closest_domain":"' || closest_domain || '","reason":"watched","fired_at":"{AS_OF}"}}' AS payload FROM watched""")
+def alert_payloads(spark, d):
+    hits = V.watch_alerts(views.verdicts(spark, d), views.watch(spark, d)).withColumn("reason", F.lit("watched"))
+    return hits.select("check_id", sinks.alert_payload(AS_OF).alias("payload"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,24 @@ def check_contract(saved: str, features: list[str], version: str) -> None:
 def retrained(feedback: DataFrame, least: int, passes: str) -> str:
     """What a retraining run does: skip with too few rows, promote a model that passes the gate, keep the old one otherwise."""
     return "skipped" if feedback.limit(least).count() < least else "promoted" if passes == "passed" else "kept"
+
+
+def promote(models: list, path: str, version: str, features: list[str], status: str) -> bool:
+    """Save fitted models and their contract as a version; point to it only if the gate passed. Older versions stay."""
+    for k, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/{version}/model-{k}")
+    spark = SparkSession.active()
+    spark.createDataFrame([(version, features)], "version string, features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/{version}/contract")
+    if status == "passed":
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return status == "passed"
+
+
+def promoted(spark: SparkSession, path: str, features: list[str]) -> list:
+    """The models that the pointer names, after a check of their contract."""
+    version = spark.read.json(f"{path}/current").first()["version"]
+    check_contract(spark.read.text(f"{path}/{version}/contract").first()[0], features, version)
+    out, fs = [], spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/model-{len(out)}")):
+        out.append(PipelineModel.load(f"{path}/{version}/model-{len(out)}"))
+    return out

@@ -50,3 +50,27 @@ def page_domains(pages: DataFrame, pattern: str) -> DataFrame:
     """Domains that pages mention, first page first."""
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.lower("html"), F.lit(pattern), F.lit(0))).alias("pos", "domain"))
     return rows.groupBy("domain").agg(F.min("page_id").alias("page_id"), F.count("*").alias("mentions"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Trimmed lines of a text list without blank ones and # comments, whatever their scheme."""
+    return spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' and not startswith(url, '#')")
+
+
+def trusted_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of a trusted list: one document {count, entries[]}, or JSON lines of entries if ``lines``."""
+    entry = "domain string, agency_name string, category string"
+    rows = spark.read.schema(f"{entry}, entries array<struct<{entry.replace(' string', ':string')}>>").option("multiLine", not lines).json(path)
+    rows = rows.select(F.explode(F.coalesce("entries", F.array(F.struct("domain", "agency_name", "category")))).alias("e")).select("e.*")
+    return rows.where("domain is not null").withColumn("ord", F.monotonically_increasing_id())
+
+
+def seed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a labelled CSV with http(s) URLs; blanks are nulls, columns are read as ``schema`` says."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path).where(F.col("url").rlike("^https?://"))
+
+
+def country_domains(pages: DataFrame, pattern: str = r"[a-z0-9.-]+\.(?:go|ac|or|co)\.th") -> DataFrame:
+    """Registrable domains that pages mention (html): a leading www., th. or en. goes, the last three labels stay; first page wins."""
+    found = page_domains(pages, pattern).withColumn("name", F.regexp_replace(F.col("domain"), r"^(www|th|en)\.", ""))
+    return found.select(F.substring_index("name", ".", -3).alias("domain"), "page_id").groupBy("domain").agg(F.min("page_id").alias("page_id"))
