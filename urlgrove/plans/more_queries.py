@@ -270,7 +270,7 @@ def feed_csv_lines(spark, d):
     return sinks.feed_csv(V.indicators(views.verdicts(spark, d), AS_OF, 336).withColumn("edit_distance", F.col("min_edit_distance")))
 
 
-@query(f"""WITH {VERDICTS}, watched AS (SELECT v.*, t.label AS brand FROM verdicts v JOIN trusted t ON split_part(v.closest_domain, '.', 1) = t.label WHERE v.label = 'phishing' AND length(t.label) % 2 = 1)
+@query(f"""WITH {VERDICTS}, watched AS (SELECT v.* EXCLUDE (brand), t.label AS brand FROM verdicts v JOIN trusted t ON split_part(v.closest_domain, '.', 1) = t.label WHERE v.label = 'phishing' AND length(t.label) % 2 = 1)
 SELECT check_id, '{{"schema":"phish.alert.v1","brand":"' || brand || '","url":' || CAST(to_json(url) AS VARCHAR) || ',"label":"phishing","score":' || CAST(round(score, 4) AS VARCHAR) || ',"closest_domain":"' || closest_domain || '","reason":"watched","fired_at":"{AS_OF}"}}' AS payload FROM watched""")
 def alert_payloads(spark, d):
     hits = V.watch_alerts(views.verdicts(spark, d), views.watch(spark, d)).withColumn("reason", F.lit("watched"))
