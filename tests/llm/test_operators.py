@@ -101,10 +101,30 @@ def test_transport_stream(spark):
     media = ts.mux(ts.padded("x" * 40_000)[1])
     cut = ts.demux(media[: 188 * 10] + media[188 * 11 :])
     assert cut["lost"] == 1 and cut["damaged"] == [0]
+    whole, sent = ts.demux(media), [media[k : k + 188] for k in range(0, len(media), 188)]
+    twice = ts.demux(b"".join(p * (2 if k in (2, 7, 8, 40) else 1) for k, p in enumerate(sent)))
+    assert twice == whole
+    assert ts.demux(b"".join(p * (3 if k == 7 else 1) for k, p in enumerate(sent)))["lost"] > 0
+    for slip in (media[: 188 * 50 + 60] + media[188 * 50 + 61 :], media[: 188 * 50 + 60] + b"?" + media[188 * 50 + 60 :]):
+        got = ts.demux(slip)  # the unit of the slip is lost, no other
+        assert got["lost"] == 1 and len(got["damaged"]) == 1 and len(got["pts"]) == len(whole["pts"]) and got["access"] == whole["access"]
+    spoilt = ts.demux(media[: 188 * 50] + b"?" + media[188 * 50 + 1 :])  # a sync byte alone
+    assert spoilt["lost"] == 1 and len(spoilt["damaged"]) == 1
+    assert [ts.demux(x)["payload"] for x in (b"", b"G", b"x" * 500, b"G" * 188)] == [b""] * 4
+    # equal first tables without effect, other true ones behind them
+    body = b"\xe0\0\xf0\0" + bytes([ts.PRIVATE_STREAM]) + (0xE000 | 0x222).to_bytes(2, "big") + b"\xf0\0"
+    moved = b"".join(bytes([ts.SYNC, p[1] & 0x40 | 0x02, 0x22]) + p[3:] for p in sent[2:])
+    bad = sent[1][:20] + bytes([sent[1][20] ^ 1]) + sent[1][21:]
+    real = ts.psi_packet(ts.PMT_PID, ts.section(2, 1, body))
+    assert ts.demux(sent[0] + bad + real + moved)["payload"] == whole["payload"]
+    assert ts.demux(sent[0] + bad + sent[1] + b"".join(sent[2:]))["payload"] == whole["payload"]
     rows = ts.digests(ts.read_back(ts.store(table(spark, ODD)))).collect()
     for r in rows:
         n, payload = ts.padded(ODD[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    clash = spark.createDataFrame([(1, "a", 7, "m"), (1, "a", 8, "m"), (1, "b", 9, "m"), (None, None, 9, "m")], "doc_id long, text string, n_bytes int, media string")
+    got = [(r.doc_id, r.n_bytes, r.media_sha256) for r in ts.digests(ts.read_back(ts.store(clash))).collect()]
+    assert len(got) == 4 and len(set(got)) == 3 and ts.digests(ts.read_back(ts.store(table(spark, [])))).count() == 0
 
 
 def test_top_k(spark):
