@@ -143,6 +143,31 @@ def test_top_k(spark):
         assert sorted(found) == [(n + 1, -k, s) for n, (s, k) in enumerate(want)]
 
 
+def test_top_k_of_wide_ranges_and_copies(spark):
+    rng = np.random.default_rng(5)
+    vec = rng.integers(-100_000, 100_000, (300, 6))  # cells are wider than one, so bounds are not exact
+    vec[40:160] = vec[40]  # many copies of one vector
+    vec[200:220] = vec[200] + rng.integers(-3, 4, (20, 6))
+    vec[::50, 0] = 0
+    rows = [(k, v.tolist(), "r", 1) for k, v in enumerate(vec)] + [(300, [5, -7], "r", 1), (301, [1, 1], "r", 1)] + [(41, vec[41].tolist(), "r", 1)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, vec array<bigint>, row string, dim int")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df.select("vec_id", "vec"), F.col("vec_id") % 20 == 0, 7, block=50, query_block=8).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in range(0, 301, 20):
+        of = next(v for k, v, *_ in rows if k == q)
+        want = sorted(((int(np.dot(of, v)), -k) for k, v, *_ in rows if k != q and len(v) == len(of)), reverse=True)[:7]
+        assert sorted(got[q]) == [(n + 1, -k, s) for n, (s, k) in enumerate(want)]
+    low, width, cells = topk.approximate(vec[3])
+    least, most = topk.bounds(np.array([low]), np.array([width]), np.frombuffer(cells, np.uint8)[None], vec)
+    exact = vec @ vec[3]
+    assert width > 1 and (least[:, 0] <= exact).all() and (exact <= most[:, 0]).all()
+    clash = spark.createDataFrame([], "vec_id long, embedding array<float>, row string, cells binary, query long")
+    assert topk.search(clash).count() == 0
+    one = spark.createDataFrame([(20, [0.5], "x", None, 1), (3, [1.5], "x", None, 1)], clash.schema)
+    assert [tuple(r) for r in topk.search(one).collect()] == [(20, 1, 3, 32 * 96)]
+
+
 PAGES = "page_id long, url string, html string"
 
 

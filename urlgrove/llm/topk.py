@@ -1,75 +1,85 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Each block of vectors keeps, beside the exact integers, a file of quantised cells: one
-byte a component. A query scans the cells for an upper bound of every score, then reads
-exact vectors in the order of their bounds until the k-th result is certain, that is
-until the next bound lies below the k-th exact score (equal bounds are still read, for
-the tie rule). Blocks are dealt by a hash of the row, the queries go to every block in
-blocks of their own, and each pair of blocks returns at most k rows a query; a window
-per query merges those few.
-
-Vectors that are null, or hold null or non-finite components, take no part, nor do rows
-without an id or of another dimension than the most common one of their block pair
-(scores are defined between equal dimensions only). Ties go to the smaller vec_id;
-repeated ids all count as rows of their own, and a query skips the rows with its own id.
+Every distinct vector has, beside its exact integers, an approximation: one cell number of
+a byte for each component, on a grid of 256 cells between its least and largest component.
+The file of cells is written once, in blocks. A first scan reads cells only: queries meet
+every block in blocks of their own, and for each query a block returns the vectors whose
+bound of the score can still reach the k-th surest score of the block. The k-th surest over all
+blocks then leaves few candidates. Their exact vectors are fetched by row number in the
+order of the bounds: first the 2 k best, then those whose bound still reaches the exact k-th
+score. What is not fetched is certain to lie behind.
+
+Vectors that are null, empty, or hold null or non-finite components take no part, nor do
+rows without an id; scores are defined between equal dimensions only, so dimensions are
+searched apart. Ties go to the smaller vec_id. Repeated ids all count as rows of their
+own, and a query skips the rows with its own id. Equal vectors are told apart by id only, so of
+those beyond the k + 1 smallest ids none can be among the k best of any query; they stay
+out of the file. An empty table, or one without queries, gives no rows. Other columns of
+the input, whatever their names, play no part. Scores are 64-bit integers.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import map_groups
+from .arrow import map_groups, map_slices
 from .store import Scratch, pick
 
-CELLS = 16
-
-
-def build_file(exact: np.ndarray) -> dict:
-    """Cells of equal counts for each dimension, with the least and largest member of each cell."""
-    cells, lo, hi = np.empty(exact.shape, np.uint8), [], []
-    for d in range(exact.shape[1]):
-        edges = np.unique(np.quantile(exact[:, d], np.linspace(0, 1, CELLS + 1)[1:-1], method="lower"))
-        cells[:, d] = c = np.searchsorted(edges, exact[:, d], side="left")
-        least, most = np.full(CELLS, 0, np.int64), np.full(CELLS, 0, np.int64)
-        for k in np.unique(c):
-            of = exact[c == k, d]
-            least[k], most[k] = of.min(), of.max()
-        lo.append(least)
-        hi.append(most)
-    return {"cells": cells, "lo": np.array(lo), "hi": np.array(hi)}
-
-
-def bounds(file: dict, queries: np.ndarray) -> np.ndarray:
-    """An upper bound of each query's score with each approximated vector."""
-    dims = np.arange(file["cells"].shape[1])
-    lo, hi = file["lo"][dims, file["cells"]].astype(np.float64), file["hi"][dims, file["cells"]].astype(np.float64)
-    return np.maximum(queries, 0).astype(np.float64) @ hi.T + np.minimum(queries, 0).astype(np.float64) @ lo.T
-
-
-def search_block(ids: np.ndarray, exact: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> list[dict]:
-    upper, out = bounds(build_file(exact), queries), []
-    order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-    ids, exact, upper = ids[order], exact[order], upper[:, order]
-    for q_id, q, up in zip(q_ids, queries, upper, strict=True):
-        up = np.where(ids == q_id, -np.inf, up)
-        by_bound, at, best, which = np.argsort(-up, kind="stable"), 0, np.empty(0, np.int64), np.empty(0, np.int64)
-        step = 4 * k
-        while at < len(ids):
-            kth = best[k - 1] if len(best) >= k else None
-            if up[by_bound[at]] == -np.inf or kth is not None and up[by_bound[at]] < kth:
-                break
-            read = by_bound[at : at + step]
-            read = read[up[read] > -np.inf]
-            which, best = np.append(which, read), np.append(best, exact[read] @ q)
-            keep = np.lexsort((which, -best))[:k]
-            which, best, at = which[keep], best[keep], at + step
-        out += [{"query_id": int(q_id), "vec_id": int(ids[i]), "score": int(s)} for i, s in zip(which, best, strict=True)]
+CELLS = 256
+#: Bounds a task holds at once: queries x vectors of a block.
+AT_ONCE = 1 << 20
+
+
+def approximate(vec: np.ndarray) -> tuple[int, int, bytes]:
+    """Least component, width of a cell and the cell of each component, one byte each."""
+    low = int(vec.min())
+    width = -(-(int(vec.max()) - low + 1) // CELLS)
+    return low, width, ((vec - low) // width).astype(np.uint8).tobytes()
+
+
+def bounds(low: np.ndarray, width: np.ndarray, cells: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest score that each query (rows) can have with each approximated vector (columns)."""
+    wide = np.abs(queries).sum(1, dtype=np.float64).max() * (np.abs(low).max() + float(width.max()) * CELLS)
+    slack = 0.0 if wide < 1 << 52 else wide * 2.0**-40  # floats are exact below
+    least = (queries.astype(np.float64) @ cells.T.astype(np.float64)) * width + queries.sum(1, dtype=np.float64)[:, None] * low - slack
+    spread = (width - 1).astype(np.float64)
+    up, down = np.maximum(queries, 0).sum(1, dtype=np.float64), np.minimum(queries, 0).sum(1, dtype=np.float64)
+    return least + down[:, None] * spread, least + up[:, None] * spread + 2 * slack
+
+
+def scan_block(have: list[dict], ask: list[dict], k: int) -> list[dict]:
+    """The candidates of one block: those that k others of it don't surely precede."""
+    have.sort(key=lambda r: r["vec_id"])  # of equal bounds the smaller id comes first
+    ids, rows = np.array([r["vec_id"] for r in have], np.int64), [r["row"] for r in have]
+    low, width = np.array([r["low"] for r in have], np.int64), np.array([r["width"] for r in have], np.int64)
+    cells = np.frombuffer(b"".join(r["cells"] for r in have), np.uint8).reshape(len(have), -1)
+    out, step = [], max(1, AT_ONCE // len(have))
+    for at in range(0, len(ask), step):
+        part = ask[at : at + step]
+        queries = np.frombuffer(b"".join(r["cells"] for r in part), "<i8").reshape(len(part), -1)
+        least, most = bounds(low, width, cells, queries)
+        for q, lo, hi in zip(part, least, most, strict=True):
+            other = np.flatnonzero(ids != q["vec_id"])
+            lo, hi = lo[other], hi[other]
+            if len(other) > k:
+                kth = np.partition(lo, len(lo) - k)[len(lo) - k]
+                last = np.flatnonzero(lo == kth)[k - 1 - int((lo > kth).sum())]  # the k-th surest, by bound and id
+                stay = np.flatnonzero((hi > kth) | (hi == kth) & (np.arange(len(hi)) <= last))
+                other, lo, hi = other[stay], lo[stay], hi[stay]
+            out += [
+                {"query_id": q["vec_id"], "query": q["row"], "row": rows[i], "vec_id": int(ids[i]), "copies": have[i]["copies"], "least": float(a), "most": float(b)}
+                for i, a, b in zip(other, lo, hi, strict=True)
+            ]
     return out
 
 
+CANDIDATE = "query_id long, query long, row long, vec_id long, copies long, least double, most double"
+
+
 def integers(df: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id and ``vec``: floor(scale * x) of each component as double."""
     df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -77,29 +87,91 @@ def integers(df: DataFrame, scale: int = 64) -> DataFrame:
     return df.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~bad & (F.size("vec") > 0)).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale)))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """``vectors``: vec_id, vec (array<bigint>). ``is_query``: a condition on its rows."""
+def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    """One row for each id and vector with its number of copies (k at most count); of equal vectors the k + 1 smallest ids."""
+    once = vectors.groupBy("vec", "vec_id").agg(F.least(F.count("*"), F.lit(k).cast("long")).alias("copies"))
+    nth = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
+    return once.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
+
+
+def as_cells(vectors: DataFrame) -> DataFrame:
+    """The approximation of each row's ``vec``."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        vec = part.column(part.schema.get_field_index("vec"))
+        ends = np.cumsum(vec.value_lengths().to_numpy(zero_copy_only=False))
+        file = [approximate(v) for v in np.split(vec.flatten().to_numpy(zero_copy_only=False), ends[:-1])]
+        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("row", "vec_id", "copies", "dim")}
+        return keep | {"low": [f[0] for f in file], "width": [f[1] for f in file], "cells": [f[2] for f in file]}
+
+    return map_slices(vectors.select("row", "vec_id", "copies", "dim", "vec"), run, "row long, vec_id long, copies long, dim int, low long, width long, cells binary")
+
+
+def as_bytes(vectors: DataFrame) -> DataFrame:
+    """The exact ``vec`` of queries as little-endian 64-bit integers, under the names of the file of cells."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        vec = part.column(part.schema.get_field_index("vec"))
+        ends = np.cumsum(vec.value_lengths().to_numpy(zero_copy_only=False))
+        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("row", "vec_id", "dim")}
+        return keep | {"cells": [v.astype("<i8").tobytes() for v in np.split(vec.flatten().to_numpy(zero_copy_only=False), ends[:-1])]}
+
+    return map_slices(vectors.select("row", "vec_id", "dim", "vec"), run, "row long, vec_id long, dim int, cells binary")
+
+
+def exact_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates with the inner product of the exact vectors, fetched by row number."""
+
+    def run(part: pa.RecordBatch) -> dict:
+        a, b = (part.column(part.schema.get_field_index(c)) for c in ("vec", "asked"))
+        ends = np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False))
+        product = a.flatten().to_numpy(zero_copy_only=False) * b.flatten().to_numpy(zero_copy_only=False)
+        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("query_id", "vec_id", "copies")}
+        return keep | {"score": np.add.reduceat(product, np.append(0, ends[:-1]))}
+
+    both = candidates.join(vectors.select("row", "vec"), "row").join(queries.select(F.col("row").alias("query"), F.col("vec").alias("asked")), "query")
+    return map_slices(both.select("query_id", "vec_id", "copies", "vec", "asked"), run, "query_id long, vec_id long, copies long, score long")
+
+
+def kth(df: DataFrame, score: str, k: int, out: str) -> DataFrame:
+    """Per query the ``score`` and id of its k-th row, where it has as many."""
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "vec_id"))
+    df = df.select("query_id", F.col(score).cast("double").alias(out), F.col("vec_id").alias(f"{out}_id"), nth.alias("_nth"))
+    return df.where(F.col("_nth") <= k).where(F.col("_nth") == k).drop("_nth")
+
+
+def reaches(mark: str) -> Column:
+    """A candidate's bound still reaches the marked score, or there is none."""
+    return F.col(mark).isNull() | (F.col("most") > F.col(mark)) | (F.col("most") == F.col(mark)) & (F.col("vec_id") <= F.col(f"{mark}_id"))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """``vectors``: vec_id, vec (array<bigint>). ``is_query``: a condition on vec_id."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    vectors = scratch.save(vectors.withColumn("dim", F.size("vec")), "vectors")
-    n, n_queries = vectors.count(), vectors.where(is_query).count()
-    blocks, q_blocks = -(-n // block) or 1, -(-n_queries // query_block) or 1
-    key = F.xxhash64("vec_id", "vec")
-    exact = vectors.withColumn("b", F.pmod(key, F.lit(blocks).cast("long")))
-    queries = vectors.where(is_query).dropDuplicates(["vec_id", "vec"]).withColumn("q", F.pmod(key, F.lit(q_blocks).cast("long")))
+    asked = scratch.save(vectors.where(is_query).select("vec_id", "vec").distinct().withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "queries")
+    vectors = scratch.save(distinct_vectors(vectors, k).withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    file = scratch.save(as_cells(vectors), "cells")
+    blocks, q_blocks = -(-file.count() // block) or 1, -(-asked.count() // query_block) or 1
+    part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     # every pair of blocks meets once; a block is bounded, so a pair is
-    left = exact.select("dim", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), F.lit(False).alias("asks"), "vec_id", "vec")
-    right = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), "q", F.lit(True).alias("asks"), "vec_id", "vec")
+    left = file.select("dim", part(blocks).alias("b"), every(q_blocks).alias("q"), F.lit(False).alias("asks"), "row", "vec_id", "copies", "low", "width", "cells")
+    right = as_bytes(asked).select("dim", every(blocks).alias("b"), part(q_blocks).alias("q"), F.lit(True).alias("asks"), "row", "vec_id", "cells")
 
     def pair(rows: list[dict]) -> list[dict]:
         have, ask = [r for r in rows if not r["asks"]], [r for r in rows if r["asks"]]
-        if not have or not ask:
-            return []
-        array = lambda rs: np.array([r["vec"] for r in rs], np.int64)
-        return search_block(np.array([r["vec_id"] for r in have], np.int64), array(have), np.array([r["vec_id"] for r in ask], np.int64), array(ask), k)
-
-    found = map_groups(left.unionByName(right), ["dim", "b", "q"], pair, "query_id long, vec_id long, score long")
+        return scan_block(have, ask, k) if have and ask else []
+
+    found = scratch.save(map_groups(left.unionByName(right, allowMissingColumns=True), ["dim", "b", "q"], pair, CANDIDATE), "found")
+    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "vec_id"))
+    live = found.join(kth(found, "least", k, "sure"), "query_id", "left").where(reaches("sure")).drop("sure", "sure_id")
+    live = scratch.save(live.withColumn("nth", order), "candidates")
+    first = scratch.save(exact_scores(live.where(F.col("nth") <= 2 * k), vectors, asked), "first")
+    rest = live.where(F.col("nth") > 2 * k).join(kth(first, "score", k, "got"), "query_id").where(reaches("got"))
+    scored = first.unionByName(exact_scores(rest, vectors, asked))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    each = scored.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def search(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
