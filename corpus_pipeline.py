@@ -2,6 +2,13 @@
 
 ``run`` applies the stages to the documents table; each stage's result is written to
 the shared folder and read again as the next one's input.
+
+In every stage rows are told apart by doc_id and a digest of the text, so rows of one doc_id
+with other texts are documents of their own. Rows without doc_id are never judged: every
+stage keeps them, and they are packed. Null and empty texts have no lines, shingles or
+passages; those that are drawn pack as the single id 0. Texts are taken whole at any length.
+An empty table gives an empty one; other columns, whatever their names, pass through all
+stages but the last, save n_chars, which follows the text.
 """
 
 from __future__ import annotations
