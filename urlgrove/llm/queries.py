@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fixity, line_runs, near_duplicates, packing, passages, resampling, topk, training_order, transport_stream
+from . import byte_bpe, dialogues, fill_middle, fixity, line_runs, near_duplicates, packing, passages, rendezvous, resampling, topk, training_order, transport_stream
 from .store import Scratch, pick, table
 
 
@@ -68,11 +68,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal weight, and where each record goes when a ninth joins."""
+    return rendezvous.sharded(table(spark, sf_dir, "documents"), {s: 1.0 for s in range(8)}, {8: 1.0}, Scratch(spark, "shards"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair(table(spark, sf_dir, "conversations"), Scratch(spark, "dialogues"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_best_fit_packing, op3_media_columns, op4_substring_dedup, op5_line_dedup,
         op6_training_order, op7_exact_top_k, op8_fixity_audit, op9_importance_resampling, op10_near_duplicates,
+        op11_rendezvous_shards, op12_conversation_repair, op13_fill_in_middle,
     )
 }
 
@@ -97,5 +111,25 @@ f AS (SELECT page_id, record, CAST(concat('0x', substr(id, 1, 8)) AS BIGINT) % (
 o AS (SELECT *, CAST(strlen(record) * copies AS BIGINT) AS size, CAST(sum(strlen(record) * copies) OVER (PARTITION BY file ORDER BY key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM f)
 SELECT file, key, "end" - size AS "start", "end", sha256(record) AS digest_a, sha256(concat(substr(record, 1, length(record) - 1), '0')) AS digest_b, copies AS copies_a, copies AS copies_b
 FROM o WHERE page_id % 97 = 13
+""",
+    # CRC-32 byte by byte over a table of its polynomial's remainders
+    "op11_rendezvous_shards": """
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tab),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+c AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]))) AS BIGINT) AS text_crc32 FROM d, t),
+w AS (SELECT *, list_transform(range(9), lambda s: -1.0 / ln((CAST('0x' || substr(md5('11:' || CAST(s AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) AS offers FROM c),
+p AS (SELECT doc_id, size, text_crc32, CAST(list_position(offers[1:8], list_max(offers[1:8])) - 1 AS INTEGER) AS shard, CAST(list_position(offers, list_max(offers)) - 1 AS INTEGER) AS grown_shard FROM w)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM p
+""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, CAST(len(parts) - CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS hs FROM d),
+k AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+c AS (SELECT *, CASE WHEN a = 0 THEN 0 WHEN a = n THEN length(text) ELSE length(array_to_string(parts[1:a], chr(10))) + 1 END AS pa, CASE WHEN b = 0 THEN 0 WHEN b = n THEN length(text) ELSE length(array_to_string(parts[1:b], chr(10))) + 1 END AS pb FROM k),
+x AS (SELECT *, substr(text, 1, pa) AS pre, substr(text, pa + 1, pb - pa) AS mid, substr(text, pb + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(pa AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(pb - pa AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM x
 """,
 }
