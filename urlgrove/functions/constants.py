@@ -37,3 +37,7 @@ FULL_WIDTH = "".join(chr(0xFF41 + k) for k in range(26))
 LATIN = "".join(chr(0x61 + k) for k in range(26))
 SUSPICIOUS, PHISHING, SAFE_CAP, NO_DISTANCE, TYPO_DISTANCE = 0.3, 0.7, 0.29, 999, 3
 LOSS_PER_BLOCK = 7800
+# Patterns of a page's title, of a password field, and of official suffixes in a title.
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+PASSWORD_FIELD = r"(?i)<input[^>]*type=['\"]password['\"]"
+OFFICIAL = r"(?i)(?:\.go\.th|\.ac\.th|\.or\.th)"

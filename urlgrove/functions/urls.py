@@ -49,6 +49,7 @@ def has_suffix(host: Column, suffixes: list[str]) -> Column:
 
 
 def registrable(host: Column, labels: Column) -> Column:
+    host = F.btrim(host, F.lit("."))  # a final dot is no part of the name
     n = F.when(has_suffix(host, REGISTRABLE_SUFFIXES), 3).otherwise(2)
     return F.when(F.size(labels) <= n, host).otherwise(F.array_join(F.slice(labels, -n, n), "."))
 

@@ -34,10 +34,6 @@ def split(df: DataFrame, key: str, holdout: float) -> DataFrame:
     return df.withColumn("part", F.when(hash_share(F.col(key)) < int(holdout * (1 << 32)), "holdout").otherwise("train"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    return df.withColumn("fold", F.pmod(hash_share(F.concat_ws("|", F.col(label).cast("string"), F.col(key))), F.lit(k)).cast("int"))
-
-
 def insert_only(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.unionByName(new.join(existing, key, "left_anti"), allowMissingColumns=True)
 

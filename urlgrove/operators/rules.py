@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import PHISHING, SAFE_CAP, SUSPICIOUS
-from .brands import met_with_blocks
+from ..functions.constants import OFFICIAL, PASSWORD_FIELD, PHISHING, SAFE_CAP, SUSPICIOUS, TITLE
+from .mentions import foreign_word
+from .targeting import is_private
 
 c = F.col
 #: rule id -> (delta, pinned label, condition). Users add their own.
@@ -47,18 +48,15 @@ def final_score(df: DataFrame, base: str = "base_score") -> DataFrame:
     return df.withColumn("score", score).withColumn("label", F.coalesce(pin, label_of(F.col("score"))))
 
 
-def content_adjustment(df: DataFrame, trusted: DataFrame, key: str) -> DataFrame:
-    """Add content_delta from ``html``: a brand in the title but not in the host, a password field, an official domain in the title.
+def content_adjustment(df: DataFrame, trusted: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """Add content_delta from ``html``, ``host`` and ``netloc``: a brand in the title but not in the host, a password field, an official suffix in the title.
 
-    Titles meet the trusted domains block by block, so their number has no bound.
+    Private hosts and pages without html give 0. Brands are looked up in titles by keys, so their number has no bound.
     """
-    page = F.lower(F.substring("html", 1, 65536))
-    df = df.withColumn("_title", F.coalesce(F.regexp_extract(page, r"(?s)<title[^>]*>(.*?)</title>", 1), F.lit(""))).withColumn("_asks", F.coalesce(page.rlike(r"<input[^>]+type=[\"']?password"), F.lit(False)))
-    title, host, brands = F.col("_title"), F.col("host"), F.col("brands")
-    foreign = F.exists(brands, lambda b: F.contains(title, b.label) & ~F.contains(host, b.label) & (F.length(b.label) >= 4))
-    official = F.exists(brands, lambda b: F.contains(title, b.domain))
-    met = met_with_blocks(df.where("_title <> ''").select(key, "host", "_title").distinct(), trusted)
-    found = met.select(key, foreign.alias("_foreign"), official.alias("_official")).groupBy(key).agg(F.max("_foreign").alias("_foreign"), F.max("_official").alias("_official"))
-    out = df.join(found, key, "left")
-    delta = F.when(F.col("_foreign"), 0.15).otherwise(0.0) + F.when(F.col("_asks"), 0.10).otherwise(0.0) - F.when(F.col("_official"), 0.10).otherwise(0.0)
-    return out.withColumn("content_delta", F.round(F.greatest(F.lit(-0.2), F.least(F.lit(0.3), delta)), 4)).drop("_title", "_asks", "_foreign", "_official")
+    page = F.substring("html", 1, 65536)
+    title = F.trim(F.lower(F.regexp_extract(page, TITLE, 1)))
+    df = df.withColumns({"_title": F.coalesce(title, F.lit("")), "_asks": F.coalesce(page.rlike(PASSWORD_FIELD), F.lit(False)), "_place": F.coalesce(F.regexp_replace(F.lower("netloc"), r"^www\.", ""), F.lit(""))})
+    out = foreign_word(df, "_title", "_place", trusted, "label", least)
+    delta = F.when(F.col("_foreign"), 0.15).otherwise(0.0) + F.when(F.col("_asks"), 0.10).otherwise(0.0) - F.when(F.col("_title").rlike(OFFICIAL), 0.10).otherwise(0.0)
+    delta = F.when(is_private(F.col("_place")), 0.0).otherwise(F.greatest(F.lit(-0.2), F.least(F.lit(0.3), delta)))
+    return out.withColumn("content_delta", F.round(delta, 4)).drop("_title", "_asks", "_place", "_foreign")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import PHISHING, SHORTENERS, SUSPICIOUS
+from ..functions.constants import PHISHING, SHORTENERS, SUSPICIOUS, TLD_TYPES
+from ..functions.urls import has_suffix
+from .mentions import longest_word
 
-COUNTRY = r"\.(go|ac|or|co|in|mi|net)\.th"
+COUNTRY = rf"\.({'|'.join(s.removesuffix('.th') for s in TLD_TYPES)})\.th"
 
 
 def gray_zone(score: Column) -> Column:
@@ -18,15 +20,25 @@ def is_shortener(netloc: Column) -> Column:
     return F.regexp_replace(F.lower(netloc), r"^www\.", "").isin(SHORTENERS)
 
 
-def names_country_suffix(url: Column, host: Column, labels: Column, brands: Column) -> Column:
+def with_brand_token(df: DataFrame, brands: DataFrame, tokens: Column, out: str) -> DataFrame:
+    """Add ``out``: whether one of the row's tokens is a brand of ``brands`` (brand). Equal lists of tokens are matched once."""
+    lists = df.select(tokens.alias("_tokens")).distinct()
+    hit = lists.withColumn("brand", F.explode("_tokens")).join(brands.select("brand").distinct(), "brand", "left_semi").select("_tokens").distinct().withColumn("_hit", F.lit(True))
+    return df.withColumn("_tokens", tokens).join(hit, "_tokens", "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_tokens", "_hit")
+
+
+def names_country_suffix(url: Column, host: Column, has_brand: Column) -> Column:
     """A country suffix with any text after it, or a brand as a label of a host outside the country."""
-    return F.lower(url).rlike(COUNTRY + ".") | (~host.endswith(".th") & F.arrays_overlap(labels, brands))
+    return F.lower(url).rlike("(?s)" + COUNTRY + ".") | (~has_suffix(host, TLD_TYPES) & has_brand)
+
+
+def host_tokens(host: Column) -> Column:
+    return F.filter(F.split(host, r"[.\-_]"), lambda t: t != "")
 
 
-def imitates_country(host: Column, brands: Column) -> Column:
-    """A country suffix inside the host, or a brand among its tokens, and no genuine country host."""
-    inside = host.rlike(COUNTRY + r"\.")
-    return ~host.rlike(COUNTRY + "$") & (inside | F.arrays_overlap(F.split(host, r"[.\-_]"), brands))
+def imitates_country(url: Column, host: Column, has_brand: Column) -> Column:
+    """A country suffix inside the URL, or a brand among the host's tokens and no genuine country host."""
+    return F.lower(url).rlike(COUNTRY + r"\.") | (~has_suffix(host, TLD_TYPES) & has_brand)
 
 
 def mentions_country(url: Column) -> Column:
@@ -45,16 +57,9 @@ def brand_keywords(trusted: DataFrame, seeds: list[str] = []) -> DataFrame:  # n
 
 
 def attribute(urls: DataFrame, brands: DataFrame) -> DataFrame:
-    """Add target_brand: the longest brand that the host contains, the smaller of equal ones; else the host's first label.
-
-    Substrings of a host are exploded and joined with the brands, so no host meets every brand.
-    """
-    hosts = urls.select("host").distinct()
-    span = F.sequence(F.lit(1), F.greatest(F.length("host"), F.lit(1)))
-    parts = hosts.withColumn("_at", F.explode(span)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.length("host") - F.col("_at") + 1, F.lit(1)))))
-    parts = parts.select("host", F.expr("substring(host, _at, _n)").alias("brand")).distinct()
-    found = parts.join(brands, "brand").groupBy("host").agg(F.min(F.struct((-F.length("brand")).alias("n"), "brand")).alias("b")).select("host", F.col("b.brand").alias("_brand"))
-    return urls.join(found, "host", "left").withColumn("target_brand", F.coalesce("_brand", F.split_part("host", F.lit("."), F.lit(1)))).drop("_brand")
+    """Add target_brand: the longest brand that the host contains, the smaller of equal ones; else the host's first label."""
+    out = longest_word(urls, "host", brands, "brand", "_brand")
+    return out.withColumn("target_brand", F.coalesce("_brand", F.split_part("host", F.lit("."), F.lit(1)))).drop("_brand")
 
 
 def expanded(urls: DataFrame, redirects: DataFrame, netloc: str = "netloc") -> DataFrame:

@@ -39,7 +39,7 @@ def shaped(spark, d):
 
 
 IP = "regexp_matches(host, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$')"
-TH = "'(go|ac|or|co|in|mi|net)\\.th'"
+TH = "'(go|ac|or|co)\\.th'"
 
 
 @query(f"""WITH {PARTS}, {SHAPED} SELECT page_id, CAST({IP} AS INT) AS has_ip, CAST(regexp_matches(netloc, ':8443$') AS INT) AS has_port, CAST(contains(host, 'xn--') AS INT) AS has_punycode,
@@ -57,12 +57,20 @@ def attack_patterns(spark, d):
     return shaped(spark, d).select("page_id", corpus.attack_pattern(F.col("netloc"), F.col("host")).alias("pattern"))
 
 
-@query(f"""WITH {PARTS}, {SHAPED} SELECT page_id, regexp_matches(lower(url), '\\.' || {TH} || '.') AS a_suffix, NOT regexp_matches(host, '\\.' || {TH} || '$') AND regexp_matches(host, '\\.' || {TH} || '\\.') AS imitates,
+#: Watched words: trusted labels of plain letters, and a code.
+WATCHED = "watched AS (SELECT DISTINCT label AS brand FROM trusted WHERE regexp_matches(label, '^[a-z]{4,}$') UNION SELECT 'kplus')"
+HAS = "list_has_any({}, (SELECT list(brand) FROM watched))"
+GENUINE = "regexp_matches(host, '(^|\\.)" + TH[1:-1]
+
+
+@query(f"""WITH {BRANDS}, {SHAPED}, {WATCHED} SELECT page_id, regexp_matches(lower(url), '\\.' || {TH} || '.') OR (NOT {GENUINE}$') AND {HAS.format("string_split(host, '.')")}) AS a_suffix,
+ regexp_matches(lower(url), '\\.' || {TH} || '\\.') OR (NOT {GENUINE}$') AND {HAS.format("regexp_split_to_array(host, '[.\\-_]')")}) AS imitates,
  regexp_matches(lower(url), '\\.th|thai') AS mentions, lower(netloc) IN ({', '.join(f"'{h}'" for h in SHORTENERS)}) AS short FROM s""")
 def targeting_classes(spark, d):
-    none = F.array().cast("array<string>")
-    s, host, url = shaped(spark, d), F.col("host"), F.col("url")
-    return s.select("page_id", targeting.names_country_suffix(url, host, F.col("labels"), none).alias("a_suffix"), targeting.imitates_country(host, none).alias("imitates"), targeting.mentions_country(url).alias("mentions"), targeting.is_shortener(F.col("netloc")).alias("short"))
+    brands, url, host = targeting.brand_keywords(views.trusted(spark, d), ["kplus"]), F.col("url"), F.col("host")
+    s = targeting.with_brand_token(shaped(spark, d), brands, F.col("labels"), "in_labels")
+    s = targeting.with_brand_token(s, brands, targeting.host_tokens(host), "in_tokens")
+    return s.select("page_id", targeting.names_country_suffix(url, host, F.col("in_labels")).alias("a_suffix"), targeting.imitates_country(url, host, F.col("in_tokens")).alias("imitates"), targeting.mentions_country(url).alias("mentions"), targeting.is_shortener(F.col("netloc")).alias("short"))
 
 
 @query(f"""WITH {PARTS}, {SHAPED} SELECT s.page_id, CASE WHEN s.page_id % 9 = 8 AND s.page_id % 2 = 0 THEN u.url ELSE s.url END AS expanded_url FROM s JOIN urls u USING (page_id)""")

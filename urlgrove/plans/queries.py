@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import LOGIN_KEYWORDS, SUSPICIOUS_TLDS
 from ..functions.urls import url_parts
-from ..operators import corpus, rules
+from ..operators import corpus
 from ..operators import verdicts as V
 from ..sources.feeds import first_url, page_domains, valid
 from ..streaming.ingest import new_only
@@ -200,12 +200,6 @@ def corpus_split(spark, d):
     return corpus.split(views.urls(spark, d), "url", 0.3)
 
 
-@query("SELECT doc_id, quality, CAST(CAST('0x' || substr(md5(CAST(quality AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM labels")
-def stratified_folds(spark, d):
-    rows = views.table(spark, d, "labels").withColumn("key", F.col("doc_id").cast("string"))
-    return corpus.stratified_folds(rows, "quality", "key").select("doc_id", "quality", "fold")
-
-
 @query(f"""WITH {BRANDS}, i AS (SELECT label AS brand, row_number() OVER (ORDER BY label) - 1 AS idx FROM trusted), o AS (SELECT *, unnest(range(8)) AS k FROM i),
 z AS (SELECT brand, idx * 8 + k AS ord, list_extract(['com', 'net', 'org', 'xyz', 'top'], CAST((idx + k) % 5 AS INTEGER) + 1) AS t, list_extract({listed(corpus.TEMPLATES)}, CAST(k AS INTEGER) + 1) AS tpl FROM o)
 SELECT brand, ord, replace(replace(tpl, '{{b}}', brand), '{{t}}', t) AS url FROM z QUALIFY row_number() OVER (PARTITION BY replace(replace(tpl, '{{b}}', brand), '{{t}}', t) ORDER BY ord) = 1""")
@@ -246,15 +240,6 @@ def roc_points(spark, d):
     return corpus.roc(views.verdicts(spark, d).withColumn("truth", (F.col("check_id") % 3 == 0).cast("int")), "truth", "score")
 
 
-@query(f"""WITH {BRANDS}, x AS (SELECT pages.page_id, lower(substr(html, 1, 65536)) AS page, b.host FROM pages JOIN b USING (page_id)),
-y AS (SELECT *, regexp_extract(page, '(?s)<title[^>]*>(.*?)</title>', 1) AS title FROM x)
-SELECT page_id, round(greatest(-0.2, least(0.3, (CASE WHEN EXISTS (SELECT 1 FROM trusted t WHERE contains(title, t.label) AND NOT contains(host, t.label) AND length(t.label) >= 4) THEN 0.15 ELSE 0 END)
- + (CASE WHEN regexp_matches(page, '<input[^>]+type=["'']?password') THEN 0.1 ELSE 0 END) - (CASE WHEN EXISTS (SELECT 1 FROM trusted t WHERE contains(title, t.domain)) THEN 0.1 ELSE 0 END))), 4) AS content_delta FROM y""")
-def content_adjustment(spark, d):
-    p = url_parts(views.urls(spark, d)).select("page_id", "host").join(views.table(spark, d, "pages").select("page_id", "html"), "page_id")
-    return rules.content_adjustment(p, views.trusted(spark, d), "page_id").select("page_id", "content_delta")
-
-
 @query(f"""WITH {PARTS}, c AS (SELECT conv_id, turn, text || ' ' || url AS text FROM conversations JOIN urls ON page_id = conv_id % (SELECT count(*) FROM pages))
 SELECT conv_id, turn, regexp_extract(text, '(https?://[^ \\t\\n\\r]+)', 1) AS url FROM c""")
 def chat_links(spark, d):
@@ -275,14 +260,6 @@ def feedback_labels(spark, d):
     return views.feedback(spark, d).groupBy("correct_verdict").agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"))
 
 
-@query(f"""WITH {PARTS} SELECT page_id, CASE WHEN page_id % 4 = 0 THEN -1 ELSE page_id % 4000 END AS domain_age_days, CASE WHEN page_id % 4 = 0 THEN 0 ELSE 1 END AS whois_ok FROM p""")
-def enrichment(spark, d):
-    """Registration observations where present, else the imputed defaults; hosts of every fourth page have none."""
-    u = views.urls(spark, d)
-    seen = u.where("page_id % 4 <> 0").select("page_id", (F.col("page_id") % 4000).alias("age"))
-    return u.join(seen, "page_id", "left").select("page_id", F.coalesce("age", F.lit(-1)).alias("domain_age_days"), F.col("age").isNotNull().cast("int").alias("whois_ok"))
-
-
 @query(f"WITH {PARTS} SELECT page_id, (length(trim(url)) BETWEEN 3 AND 2048 AND NOT contains(trim(url), ' ') AND (contains(url, '.') OR contains(url, '://'))) AS is_valid FROM urls")
 def url_validity(spark, d):
     return views.urls(spark, d).select("page_id", valid(F.col("url")).alias("is_valid"))
