@@ -6,7 +6,6 @@ from urlgrove.streaming.ingest import campaign_counts, ingest
 def test_ingest_once(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("http://a", "s", 1), ("http://b", "s", 2)], "url string, source string, ord int").write.mode("append").parquet(src)
-    spark.createDataFrame([], "url_hash string, source string").write.parquet(str(tmp_path / "ledger"))
     for more in ([], [("http://a", "s", 3), ("http://c", "s", 4)]):
         if more:
             spark.createDataFrame(more, "url string, source string, ord int").write.mode("append").parquet(src)

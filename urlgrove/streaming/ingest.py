@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import exists
+
 
 def new_only(feed: DataFrame, ledger: DataFrame, per_source: int | None = None) -> DataFrame:
     """URLs of (url, source, ord) that the ledger (url_hash, source) lacks, once each. The limit comes before the ledger check."""
@@ -40,7 +42,8 @@ def ingest(spark: SparkSession, stream: DataFrame, score: Callable[[DataFrame],
 
     def batch(df: DataFrame, n: int) -> None:
         own = f"run={run()}/batch={n}"
-        known = spark.read.schema("url_hash string, source string, run string, batch long").option("recursiveFileLookup", "true").parquet(ledger)
+        schema = "url_hash string, source string, run string, batch long"
+        known = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(ledger) if exists(spark, ledger) else spark.createDataFrame([], schema)
         seen = known.where(~(F.col("run").eqNullSafe(F.lit(run())) & (F.col("batch") >= n))).select("url_hash", "source")
         done = score(new_only(df, seen)).where("score is not null").persist()
         done.write.mode("overwrite").parquet(f"{verdicts}/{own}")
