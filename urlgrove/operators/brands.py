@@ -70,10 +70,12 @@ def closest_brand(urls: DataFrame, trusted: DataFrame, block: int = BLOCK) -> Da
 
 
 def path_brands(urls: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Add path_brand_hit: a path token of four letters or more is a trusted label other than the host's."""
+    """Add path_brand_hit: a path token of four letters or more is a trusted label other than the host's; and host_has_brand_and_suspicious_tld."""
     paths = urls.select(F.coalesce("path", F.lit("")).alias("_path"), F.coalesce("brand", F.lit("")).alias("_brand")).distinct()
     tokens = paths.withColumn("_token", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_path"), F.lit("[a-z0-9]+"), F.lit(0)))))
     tokens = tokens.where((F.length("_token") >= 4) & (F.col("_token") != F.col("_brand")))
     hits = tokens.join(trusted.select(F.col("label").alias("_token")).distinct(), "_token", "left_semi").select("_path", "_brand").distinct().withColumn("_hit", F.lit(True))
     out = urls.join(hits, (F.coalesce("path", F.lit("")) == F.col("_path")) & (F.coalesce("brand", F.lit("")) == F.col("_brand")), "left")
-    return out.withColumn("path_brand_hit", ((F.col("has_ip") == 0) & F.coalesce("_hit", F.lit(False))).cast("int")).drop("_path", "_brand", "_hit")
+    out = out.withColumn("path_brand_hit", ((F.col("has_ip") == 0) & F.coalesce("_hit", F.lit(False))).cast("int")).drop("_path", "_brand", "_hit")
+    bait = ((F.col("path_brand_hit") == 1) | (F.col("is_typosquat") == 1)) & (F.col("has_suspicious_tld") == 1)
+    return out.withColumn("host_has_brand_and_suspicious_tld", bait.cast("int"))

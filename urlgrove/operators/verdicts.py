@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import LOSS_PER_BLOCK
 from ..functions.urls import fingerprint
+from .scored import DAY, within
 
 LABELS = ["phishing", "safe", "suspicious"]
 
@@ -43,7 +44,7 @@ def daily(v: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 def hourly(v: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Counts by hour of day, and each as a share of the largest."""
-    counts = v.where(since(F.col("checked_at"), as_of, f"{days} days")).groupBy(F.hour("checked_at").alias("hour")).agg(F.count("*").alias("n"))
+    counts = within(v, as_of, f"{days} days").groupBy(F.hour("checked_at").alias("hour")).agg(F.count("*").alias("n"))
     hours = v.sparkSession.range(24).select(F.col("id").cast("int").alias("hour")).join(counts, "hour", "left").na.fill(0, ["n"])
     top = hours.agg(F.greatest(F.lit(1), F.max("n")).alias("top"))
     return hours.crossJoin(F.broadcast(top)).select("hour", "n", F.round(F.col("n") / F.col("top"), 6).alias("share"))
@@ -56,7 +57,7 @@ def rate(v: DataFrame) -> DataFrame:
 
 def reputation(v: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """All hosts at once."""
-    v = v.where(since(F.col("checked_at"), as_of, f"{days} days"))
+    v = within(v, as_of, f"{days} days")
     return v.groupBy("host").agg(F.count("*").alias("total"), F.min("checked_at").alias("first_seen"), F.max("checked_at").alias("last_seen"), F.round(F.avg("score"), 9).alias("mean_score"), F.max("score").alias("max_score"), *counts_by_label())
 
 
@@ -83,13 +84,15 @@ def history(v: DataFrame, label: str | None = None, search: str | None = None, s
         v = v.where(F.col("url").ilike(f"%{search}%"))
     if start:
         v = v.where(F.col("checked_at") >= F.lit(start).cast("timestamp"))
+        v = v.where(F.col(DAY) >= F.to_date(F.lit(start))) if DAY in v.columns else v
     if end:
         v = v.where(F.col("checked_at") <= F.lit(end).cast("timestamp"))
+        v = v.where(F.col(DAY) <= F.to_date(F.lit(end))) if DAY in v.columns else v
     return v.orderBy(F.desc("checked_at"), "check_id").offset(offset).limit(limit)
 
 
 def indicators(v: DataFrame, as_of: str, hours: int = 24, limit: int = 2000) -> DataFrame:
-    v = v.where((F.col("label") == "phishing") & since(F.col("checked_at"), as_of, f"{hours} hours"))
+    v = within(v, as_of, f"{hours} hours").where("label = 'phishing'")
     return v.orderBy(F.desc("checked_at"), "check_id").limit(limit)
 
 
@@ -102,7 +105,7 @@ def stix_objects(v: DataFrame) -> DataFrame:
 
 
 def impact(v: DataFrame, watch: DataFrame, feedback: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    inside = v.where(since(F.col("checked_at"), as_of, f"{days} days"))
+    inside = within(v, as_of, f"{days} days")
     kpi = inside.agg(*counts_by_label(), F.count_distinct(F.when(F.col("label") == "phishing", F.col("closest_domain"))).alias("targets"))
     live = campaigns(v, ["phishing", "suspicious"]).where(since(F.col("last_seen"), as_of, f"{days} days")).agg(F.count("*").alias("campaigns"))
     # rows of one: four aggregates side by side

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly, rules, targeting
 from ..operators.assembly import Cohort
-from ..functions.urls import url_parts
 from . import views
-from .more_queries import GENUINE, HAS, SHAPED, TH, WATCHED, shaped
+from .more_queries import GENUINE, HAS, WATCHED
 from .queries import query
-from .views import BRANDS, FEEDBACK
+from .views import BRANDS, FEEDBACK, SHAPED, TH, shaped
 
 #: The default cohorts with a cap that small tables reach as well.
 COHORTS = [Cohort("seed", train=0.7), Cohort("generic", train=0.7, cap=30), Cohort("feed", holdout=0.3), Cohort("targeted", train=0.0)]

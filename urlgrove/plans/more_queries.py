@@ -13,34 +13,7 @@ from ..operators import verdicts as V
 from ..sinks import tables as sinks
 from . import views
 from .queries import query
-from .views import AS_OF, BRANDS, FEEDBACK, PARTS, VERDICTS, listed
-
-SHAPED = """shaped AS (SELECT page_id, CASE page_id % 9
-  WHEN 1 THEN replace(url, '://', '://user@') WHEN 2 THEN regexp_replace(url, '^(https?://[^/?#]*)', '\\1:8443')
-  WHEN 3 THEN regexp_replace(url, '^(https?)://[^/?#]*', '\\1://203.0.113.' || CAST(page_id % 200 AS VARCHAR)) WHEN 4 THEN regexp_replace(url, '^(https?://[^/?#]*)\\.[a-z]+', '\\1.go.th')
-  WHEN 5 THEN regexp_replace(url, '^(https?://[^/?#]*)\\.[a-z]+', '\\1.xyz') || '/login' WHEN 6 THEN replace(url, '://', '://xn--80ak6aa92e.')
-  WHEN 7 THEN replace(url, '://', '://obec.go.th.') WHEN 8 THEN 'https://bit.ly/' || CAST(page_id AS VARCHAR) ELSE url END AS url FROM urls),
-q AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS netloc FROM shaped),
-s AS (SELECT *, lower(regexp_replace(regexp_replace(netloc, '^.*@', ''), ':.*$', '')) AS host FROM q)"""
-
-
-def shaped(spark, d):
-    """The pages' URLs, most of them bent into another shape by page_id."""
-    k, u = F.col("page_id") % 9, F.col("url")
-    host = r"^(https?://[^/?#]*)\.[a-z]+"
-    bent = (
-        F.when(k == 1, F.replace(u, F.lit("://"), F.lit("://user@"))).when(k == 2, F.regexp_replace(u, r"^(https?://[^/?#]*)", "$1:8443"))
-        .when(k == 3, F.regexp_replace(u, F.lit(r"^(https?)://[^/?#]*"), F.concat(F.lit("$1://203.0.113."), (F.col("page_id") % 200).cast("string"))))
-        .when(k == 4, F.regexp_replace(u, host, "$1.go.th")).when(k == 5, F.concat(F.regexp_replace(u, host, "$1.xyz"), F.lit("/login")))
-        .when(k == 6, F.replace(u, F.lit("://"), F.lit("://xn--80ak6aa92e."))).when(k == 7, F.replace(u, F.lit("://"), F.lit("://obec.go.th.")))
-        .when(k == 8, F.concat(F.lit("https://bit.ly/"), F.col("page_id").cast("string"))).otherwise(u)
-    )
-    return url_parts(views.urls(spark, d).withColumn("url", bent))
-
-
-IP = "regexp_matches(host, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$')"
-TH = "'(go|ac|or|co)\\.th'"
-
+from .views import AS_OF, BRANDS, FEEDBACK, IP, PARTS, SHAPED, TH, VERDICTS, listed, shaped
 
 @query(f"""WITH {PARTS}, {SHAPED} SELECT page_id, CAST({IP} AS INT) AS has_ip, CAST(regexp_matches(netloc, ':8443$') AS INT) AS has_port, CAST(contains(host, 'xn--') AS INT) AS has_punycode,
  length(url) - length(replace(url, '@', '')) AS num_at, CASE WHEN {IP} THEN 0 ELSE greatest(0, len(string_split(host, '.')) - CASE WHEN host LIKE '%.go.th' THEN 3 ELSE 2 END) END AS num_subdomains,
@@ -192,9 +165,11 @@ def explanation_rows(spark, d):
     return reports.explained(x, "page_id", {"has_https": ("transport", "Encrypted"), "has_ip": ("host", "Bare address")})
 
 
-@query(f"""WITH {VERDICTS} SELECT check_id, CASE label WHEN 'phishing' THEN 'Dangerous: ' WHEN 'suspicious' THEN 'Take care: ' ELSE 'Looks safe: ' END || url || chr(10) ||
- coalesce(nullif(CASE WHEN label <> 'safe' THEN concat_ws('; ', CASE WHEN at_trick THEN 'the host is hidden behind @' END, CASE WHEN typo_cred THEN 'close to a brand, with words of a login' END, CASE WHEN bait THEN 'a brand in the path of a cheap domain' END, CASE WHEN plain THEN 'a cheap domain without encryption' END) ELSE '' END, ''),
-  nullif(concat_ws('; ', CASE WHEN is_typosquat = 1 THEN 'close to a brand' END, CASE WHEN cheap THEN 'a cheap domain' END, CASE WHEN login THEN 'words of a login' END), ''), CASE WHEN label = 'safe' THEN 'nothing suspicious' ELSE 'an unusual address' END) AS reply FROM verdicts""")
+@query(f"""WITH {VERDICTS}, x AS (SELECT *, list_filter([CASE WHEN at_trick THEN 'the host is hidden behind @' END, CASE WHEN idn THEN 'look-alike letters of a brand' END, CASE WHEN typo_cred THEN 'close to a brand, with words of a login' END,
+  CASE WHEN bait THEN 'a brand in the path of a cheap domain' END, CASE WHEN ip_cred THEN 'a bare address with words of a login' END, CASE WHEN plain THEN 'a cheap domain without encryption' END], lambda t: t IS NOT NULL) AS told,
+ list_filter([CASE WHEN ip THEN 'a bare address' END, CASE WHEN puny THEN 'an encoded name' END, CASE WHEN is_typosquat = 1 THEN 'close to a brand' END, CASE WHEN cheap THEN 'a cheap domain' END, CASE WHEN login THEN 'words of a login' END], lambda t: t IS NOT NULL) AS seen FROM verdicts)
+SELECT check_id, CASE label WHEN 'phishing' THEN 'Dangerous: ' WHEN 'suspicious' THEN 'Take care: ' ELSE 'Looks safe: ' END || url || chr(10) ||
+ CASE WHEN label <> 'safe' AND len(told) > 0 THEN array_to_string(told[1:3], '; ') WHEN len(seen) > 0 THEN array_to_string(seen[1:3], '; ') WHEN label = 'safe' THEN 'nothing suspicious' ELSE 'an unusual address' END AS reply FROM x""")
 def verdict_replies(spark, d):
     v = views.verdicts(spark, d)
     return v.select("check_id", reports.reply(F.col("label"), F.col("url"), reports.reason(F.col("hits"), F.col("label"))).alias("reply"))
@@ -273,9 +248,9 @@ def label_export(spark, d):
 
 @query(f"""WITH {VERDICTS}, f AS (SELECT * FROM verdicts WHERE label = 'phishing' AND checked_at >= TIMESTAMP '{AS_OF}' - INTERVAL 336 HOUR AND checked_at <= TIMESTAMP '{AS_OF}' ORDER BY checked_at DESC, check_id LIMIT 2000)
 SELECT 0 AS ord, '\ufeff' || 'url,score,closest_domain,edit_distance,checked_at' AS line
-UNION ALL SELECT row_number() OVER (ORDER BY checked_at DESC, url), CASE WHEN regexp_matches(url, '[",]') THEN '"' || replace(url, '"', '""') || '"' ELSE url END || ',' || printf('%.4f', score) || ',' || coalesce(closest_domain, '') || ',' || min_edit_distance || ',' || strftime(checked_at, '%Y-%m-%dT%H:%M:%SZ') FROM f""")
+UNION ALL SELECT row_number() OVER (ORDER BY checked_at DESC, url), CASE WHEN regexp_matches(url, '[",]') THEN '"' || replace(url, '"', '""') || '"' ELSE url END || ',' || printf('%.4f', score) || ',' || coalesce(closest_domain, '') || ',' || coalesce(CAST(edit_distance AS VARCHAR), '') || ',' || strftime(checked_at, '%Y-%m-%dT%H:%M:%SZ') FROM f""")
 def feed_csv_lines(spark, d):
-    return sinks.feed_csv(V.indicators(views.verdicts(spark, d), AS_OF, 336).withColumn("edit_distance", F.col("min_edit_distance")))
+    return sinks.feed_csv(V.indicators(views.verdicts(spark, d), AS_OF, 336))
 
 
 @query(f"""WITH {VERDICTS}, watched AS (SELECT v.* EXCLUDE (brand), t.label AS brand FROM verdicts v JOIN trusted t ON split_part(v.closest_domain, '.', 1) = t.label WHERE v.label = 'phishing' AND length(t.label) % 2 = 1)

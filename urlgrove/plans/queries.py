@@ -9,13 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import LOGIN_KEYWORDS, SUSPICIOUS_TLDS
-from ..functions.urls import url_parts
+from ..functions.urls import lexical, url_parts
 from ..operators import corpus
 from ..operators import verdicts as V
 from ..sources.feeds import first_url, page_domains, valid
 from ..streaming.ingest import new_only
 from . import views
-from .views import AS_OF, BRANDS, CAMPAIGNS, FEEDBACK, PARTS, VERDICTS, listed
+from .views import AS_OF, BRANDS, CAMPAIGNS, FEEDBACK, PARTS, SEEN, TRUSTED, VERDICTS, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,24 +35,31 @@ LABEL_COUNTS = ", ".join(f"count(*) FILTER (label = '{n}') AS {n}" for n in V.LA
 WINDOW = lambda days: f"checked_at >= TIMESTAMP '{AS_OF}' - INTERVAL {days} DAY AND checked_at <= TIMESTAMP '{AS_OF}'"
 LEXICAL = ["url_length", "num_dots", "num_hyphens", "num_at", "num_slash", "num_digits", "has_ip", "entropy", "has_https", "num_subdomains", "is_thai_tld", "tld_type", "tld_type_enc", "path_depth", "domain_label_max_len", "has_port", "max_digit_run", "has_query_string", "has_punycode", "has_login_keyword", "has_suspicious_tld", "path_length", "num_login_keywords", "query_param_count", "path_entropy", "host_token_count", "digit_to_letter_ratio"]
 ENTROPY = lambda c, name: f"""{name} AS (SELECT page_id, round(-sum(k * 1.0 / n * log2(k * 1.0 / n)), 6) AS e FROM (SELECT page_id, c, count(*) AS k, any_value(n) AS n
-  FROM (SELECT page_id, length({c}) AS n, unnest(string_split({c}, '')) AS c FROM p WHERE length({c}) > 0) GROUP BY 1, 2) GROUP BY 1)"""
+  FROM (SELECT page_id, length({c}) AS n, unnest(string_split({c}, '')) AS c FROM sq WHERE length({c}) > 0) GROUP BY 1, 2) GROUP BY 1)"""
+PARENT = "CASE WHEN host LIKE '%.go.th' THEN 3 ELSE 2 END"
 
 
-@query(f"""WITH {PARTS}, {ENTROPY('url', 'ue')}, {ENTROPY('path', 'pe')}
-SELECT p.page_id, length(url) AS url_length, length(url) - length(replace(url, '.', '')) AS num_dots, length(url) - length(replace(url, '-', '')) AS num_hyphens,
- length(url) - length(replace(url, '@', '')) AS num_at, length(url) - length(replace(url, '/', '')) AS num_slash, len(regexp_extract_all(url, '[0-9]')) AS num_digits, 0 AS has_ip,
- coalesce(ue.e, 0) AS entropy, CAST(scheme = 'https' AS INT) AS has_https, greatest(0, len(string_split(host, '.')) - 2) AS num_subdomains, CAST(host LIKE '%.th' AS INT) AS is_thai_tld,
- 'other' AS tld_type, 4 AS tld_type_enc, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS path_depth, list_max(list_transform(string_split(host, '.'), lambda x: length(x))) AS domain_label_max_len,
- 0 AS has_port, coalesce(list_max(list_transform(regexp_extract_all(host, '[0-9]+'), lambda x: length(x))), 0) AS max_digit_run, CAST(query <> '' AS INT) AS has_query_string, 0 AS has_punycode,
+@query(f"""WITH {TRUSTED}, {SEEN}, sq AS (SELECT *, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query FROM sb), {ENTROPY('url', 'ue')}, {ENTROPY('path', 'pe')}
+SELECT sq.page_id, length(url) AS url_length, length(url) - length(replace(url, '.', '')) AS num_dots, length(url) - length(replace(url, '-', '')) AS num_hyphens,
+ length(url) - length(replace(url, '@', '')) AS num_at, length(url) - length(replace(url, '/', '')) AS num_slash, len(regexp_extract_all(url, '[0-9]')) AS num_digits, CAST(ip AS INT) AS has_ip,
+ coalesce(ue.e, 0) AS entropy, CAST(scheme = 'https' AS INT) AS has_https, CASE WHEN ip THEN 0 ELSE greatest(0, len(string_split(host, '.')) - {PARENT}) END AS num_subdomains, CAST(host LIKE '%.th' AS INT) AS is_thai_tld,
+ CASE WHEN host LIKE '%.go.th' THEN 'go.th' ELSE 'other' END AS tld_type, CASE WHEN host LIKE '%.go.th' THEN 0 ELSE 4 END AS tld_type_enc, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS path_depth,
+ list_max(list_transform(string_split(host, '.'), lambda x: length(x))) AS domain_label_max_len, CAST(regexp_matches(netloc, ':[0-9]+$') AND NOT regexp_matches(netloc, ':(80|443)$') AS INT) AS has_port,
+ coalesce(list_max(list_transform(regexp_extract_all(host, '[0-9]+'), lambda x: length(x))), 0) AS max_digit_run, CAST(query <> '' AS INT) AS has_query_string, CAST(puny AS INT) AS has_punycode,
  CAST(list_has_any(regexp_extract_all(lower(url), '[a-z0-9]+'), {listed(LOGIN_KEYWORDS)}) AS INT) AS has_login_keyword, CAST(list_contains({listed(SUSPICIOUS_TLDS)}, split_part(host, '.', -1)) AS INT) AS has_suspicious_tld,
  length(path) AS path_length, len(list_intersect(list_distinct(regexp_extract_all(lower(path || ' ' || query), '[a-z0-9]+')), {listed(LOGIN_KEYWORDS)})) AS num_login_keywords,
  CASE WHEN query = '' THEN 0 ELSE length(query) - length(replace(query, '&', '')) + 1 END AS query_param_count, coalesce(pe.e, 0) AS path_entropy, len(regexp_extract_all(host, '[^.\\-]+')) AS host_token_count,
- round(len(regexp_extract_all(host, '[0-9]')) * 1.0 / len(regexp_extract_all(host, '[A-Za-z]')), 6) AS digit_to_letter_ratio
-FROM p LEFT JOIN ue USING (page_id) LEFT JOIN pe USING (page_id)""")
+ round(CASE WHEN regexp_matches(host, '[A-Za-z]') THEN len(regexp_extract_all(host, '[0-9]')) * 1.0 / len(regexp_extract_all(host, '[A-Za-z]')) ELSE len(regexp_extract_all(host, '[0-9]')) END, 6) AS digit_to_letter_ratio
+FROM sq LEFT JOIN ue USING (page_id) LEFT JOIN pe USING (page_id)""")
 def url_lexical_features(spark, d):
-    from ..functions.urls import lexical
+    return lexical(views.shaped(spark, d)).select("page_id", *LEXICAL)
 
-    return lexical(url_parts(views.urls(spark, d))).select("page_id", *LEXICAL)
+
+@query(f"""WITH {TRUSTED}, {SEEN} SELECT page_id, brand, registrable, is_whitelisted, closest_domain, min_edit_distance, is_typosquat, path_brand_hit,
+ CAST((path_brand_hit = 1 OR is_typosquat = 1) AND NOT ip AND list_contains({listed(SUSPICIOUS_TLDS)}, split_part(host, '.', -1)) AS INT) AS host_has_brand_and_suspicious_tld FROM sh""")
+def seen_brands(spark, d):
+    """Brand features of URLs of many shapes, suffixes of several labels among them."""
+    return views.seen_features(spark, d).select("page_id", "brand", "registrable", "is_whitelisted", "closest_domain", "min_edit_distance", "is_typosquat", "path_brand_hit", "host_has_brand_and_suspicious_tld")
 
 
 @query(f"WITH {BRANDS} SELECT page_id, brand, registrable, is_whitelisted, closest_domain, min_edit_distance, min_edit_distance AS homoglyph_distance, is_typosquat, path_brand_hit FROM h")
@@ -65,7 +72,7 @@ def verdict_log(spark, d):
     return views.verdicts(spark, d).select("check_id", "url", "label", "score")
 
 
-@query(f"""WITH {VERDICTS}, x AS (SELECT unnest([CASE WHEN at_trick THEN 'AT_TRICK' END, CASE WHEN typo_cred THEN 'TYPOSQUAT_CRED' END, CASE WHEN bait THEN 'PATH_BRAND_BAIT' END,
+@query(f"""WITH {VERDICTS}, x AS (SELECT unnest([CASE WHEN at_trick THEN 'AT_TRICK' END, CASE WHEN idn THEN 'IDN_HOMOGRAPH' END, CASE WHEN typo_cred THEN 'TYPOSQUAT_CRED' END, CASE WHEN bait THEN 'PATH_BRAND_BAIT' END, CASE WHEN ip_cred THEN 'IP_CRED' END,
  CASE WHEN white THEN 'WHITELIST_EXACT' END, CASE WHEN plain THEN 'CHEAP_TLD_PLAIN' END]) AS rule_id FROM verdicts) SELECT rule_id, count(*) AS hits FROM x WHERE rule_id IS NOT NULL GROUP BY 1""")
 def rule_audit(spark, d):
     return views.verdicts(spark, d).select(F.explode("hits.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("hits"))
@@ -86,7 +93,7 @@ def stats_by_label(spark, d):
     return V.label_counts(views.verdicts(spark, d))
 
 
-@query(f"WITH {VERDICTS} SELECT closest_domain, count(*) AS n FROM verdicts WHERE label <> 'safe' GROUP BY 1 ORDER BY n DESC, closest_domain LIMIT 10")
+@query(f"WITH {VERDICTS} SELECT closest_domain, count(*) AS n FROM verdicts WHERE label <> 'safe' AND closest_domain IS NOT NULL GROUP BY 1 ORDER BY n DESC, closest_domain LIMIT 10")
 def stats_top_targets(spark, d):
     return V.top_targets(views.verdicts(spark, d))
 
