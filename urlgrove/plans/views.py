@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions.urls import lexical, url_parts
 from ..operators.brands import closest_brand, path_brands
 from ..operators.rules import evaluate, final_score
 from ..operators.scored import load, store
-from ..tables import shared_dir
+from ..tables import shared_dir, stored
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -31,9 +32,31 @@ def trusted(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat("label", F.lit(".com")).alias("domain"), "label")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, d: str) -> tuple:
+    """What tables of a folder are made from: the session's application, and names, sizes and times of the files."""
+    out: list = [spark.sparkContext.applicationId, d]
+    for name in ("pages", "events"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in [fs.getFileStatus(path), *fs.listStatus(path)]:
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(out)
+
+
+def kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written at the first question about these tables and read by all that follow: joins on it plan and compute no features again."""
+    key = (name, *_stamp(spark, d))
+    if key not in _kept:
+        _kept[key] = stored(make(), name)
+    return _kept[key]
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
-    t = trusted(spark, d)
-    return path_brands(closest_brand(lexical(url_parts(urls(spark, d))), t), t)
+    t = kept(spark, d, "trusted", lambda: trusted(spark, d))
+    return path_brands(closest_brand(kept(spark, d, "lexical", lambda: lexical(url_parts(urls(spark, d)))), t), t)
 
 
 def shaped(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +83,8 @@ def seen_trusted(spark: SparkSession, d: str) -> DataFrame:
 
 def seen_features(spark: SparkSession, d: str) -> DataFrame:
     """Features of the URLs of many shapes."""
-    t = seen_trusted(spark, d)
-    return path_brands(closest_brand(lexical(shaped(spark, d)), t), t)
+    t = kept(spark, d, "seen-trusted", lambda: seen_trusted(spark, d))
+    return path_brands(closest_brand(kept(spark, d, "seen-lexical", lambda: lexical(shaped(spark, d))), t), t)
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
@@ -78,17 +101,6 @@ CONTRACT = "2"
 _stored: dict[tuple, str] = {}
 
 
-def _stamp(spark: SparkSession, d: str) -> tuple:
-    """What the verdicts of a folder of tables are made from: the session's application, and names, sizes and times of the files."""
-    out: list = [spark.sparkContext.applicationId, d]
-    for name in ("pages", "events"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        for f in [fs.getFileStatus(path), *fs.listStatus(path)]:
-            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(out)
-
-
 def computed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The verdict log from its sources: URLs are scored once each, then joined to the log."""
     cols = ["page_id", "url", "norm", "host", "path", "closest_domain", "has_punycode", "homoglyph_distance", "is_typosquat", "has_login_keyword", "path_brand_hit", "has_suspicious_tld", "has_ip", "min_edit_distance", "has_https"]
