@@ -14,6 +14,7 @@ from test_operators import ODD, prose, table
 from urlgrove.llm import dialogues as D
 from urlgrove.llm import fill_middle as M
 from urlgrove.llm import rendezvous as R
+from urlgrove.llm import resampling as RS
 from urlgrove.llm.queries import op11_rendezvous_shards, op12_conversation_repair, op13_fill_in_middle
 from urlgrove.llm.store import Scratch
 
@@ -266,3 +267,65 @@ def test_conversation_repair(spark, tmp_path, size):
     assert any(not of for of in after_damage(rows).values())
     if size == D.SIZE:
         assert D.repair(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
+# resampling
+
+
+def test_draws_follow_the_weights(spark):
+    n, size = 2000, 500
+    logs = [0.0, -1.0, -2.0, -4.0]
+    rows = spark.createDataFrame([(k, logs[k % 4]) for k in range(4 * n)] + [(10**6 + k, None) for k in range(9)], "name long, log_weight double").repartition(5).persist()
+    low, high = 0.0, 10.0
+    for _ in range(60):  # inclusion is 1 - exp(-c * weight), c by the size
+        c = (low + high) / 2
+        low, high = (c, high) if sum(n * (1 - np.exp(-c * np.exp(x))) for x in logs) < size else (low, c)
+    seen = []
+    for seed in (1, 2):
+        drawn = {r.name: r.log_weight for r in RS.gumbel_top(rows, size, seed).where("drawn").collect()}
+        assert len(drawn) == size and None not in drawn.values()
+        got = collections.Counter(drawn.values())
+        for x in logs:
+            want = n * (1 - np.exp(-c * np.exp(x)))
+            assert abs(got[x] - want) < 4 * np.sqrt(want) + 1
+        seen.append(set(drawn))
+    assert 0 < len(seen[0] & seen[1]) < size  # another seed, another sample
+    mass = sum(n * np.exp(x) for x in logs)
+    assert abs(RS.gumbel_top(rows, None, 1).where("drawn").count() - mass) <= 1
+    assert RS.gumbel_top(rows, 10**6, 1).where("drawn").count() == 4 * n and RS.gumbel_top(rows, 0, 1).where("drawn").count() == 0
+    assert RS.gumbel_top(rows.limit(0), None, 1).where("drawn").count() == 0
+
+
+def test_weights_and_keys_by_hand(spark):
+    import regex
+    import xxhash
+
+    r = random.Random(2)
+    texts = [None, "", "One, two! three", *(prose(k, 60) for k in range(60)), *(" ".join(r.choice(["ka", "zi", "zo"]) for _ in range(50)) for _ in range(25))]
+    labels = [(k, int(k < 63), 0) for k in range(3, len(texts), 2)]
+    got = {x.doc_id: x for x in RS.draw(table(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), buckets=1 << 10).collect()}
+    held = {x.id for x in spark.range(len(texts)).where("pmod(xxhash64(id, 9), 5) = 0").collect()}
+    buckets, mask = 1 << 10, (1 << 64) - 1
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in regex.sub(r"([^\pL\pN\pM_\s]+)", r" \1 ", text or "").split()]
+        return [(x >> 32) % buckets for x in h + [((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93) & mask for a, b in zip(h, h[1:], strict=False)]]
+
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    good = {k for k, q, _ in labels if q}
+    for k, t in enumerate(texts):
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += k in good and k not in held
+    prior = (raw + 1e-3) / (raw.sum() + 1e-3 * buckets)
+    ratio = np.log((target + 30 * prior * buckets) / (target.sum() + 30 * buckets)) - np.log((raw + 30 * prior * buckets) / (raw.sum() + 30 * buckets))
+    weight = {k: sum(ratio[g] for g in grams(t)) for k, t in enumerate(texts)}
+    assert all(abs(got[k].weight - w) < 1e-3 for k, w in weight.items())
+    order = sorted((got[k].weight for k in good & held), reverse=True)
+    bound = order[int(np.ceil(0.998 * len(order))) - 1]
+    u = {x.id: x.u for x in spark.range(len(texts)).selectExpr("id", f"(pmod(xxhash64(id, 9), {1 << 52}) + 0.5) / {float(1 << 52)} as u").collect()}
+    for k, x in got.items():
+        log = min(0.0, x.weight - bound)
+        assert abs(x.log_weight - log) < 1e-5 and abs(x.key / 1e6 - (log - np.log(-np.log(float(u[k]))))) < 1e-4
+    size = round(sum(np.exp(x.log_weight) for x in got.values()))
+    assert sorted(k for k, x in got.items() if x.drawn) == sorted(sorted(got, key=lambda k: -got[k].key)[:size])

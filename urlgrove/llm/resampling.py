@@ -10,16 +10,17 @@ clean documents reach has no weight and isn't drawn. Both passes over the texts
 maps that count or score inside tasks; what leaves a task is a vector of fixed length and
 the counts of labelled words, and the model that returns is of bounded size as well.
 
-``k`` is the number of documents whose weight is above the bound that ``keep`` of the
-held-out target documents reach; the k-th largest key is found by counting digits of the keys, so
-no sort, window or driver list grows with the corpus. Keys equal to the k-th all stay.
-Weights are sums over all words of a text, hence large; ``temperature`` divides them, and
-its default makes the draw follow weight closely, so that good documents stay.
-
-Null or empty texts have weight 0. Rows without doc_id are drawn by their text, and
+Importance weights are truncated at the bound that ``keep`` of the held-out target documents
+reach: a document at or above it has weight 1, one below it exp((weight - bound) / temperature).
+``size``, the number of documents drawn, is the sum of these weights unless given. So a document above the
+bound is drawn but for the few that others near it displace, one far below hardly ever, and another seed draws
+another sample. The k-th largest key is found by counting digits of the keys, so no sort, window
+or driver list grows with the corpus. Keys equal to the k-th all stay.
+
+Null or empty texts have log weight 0. Rows without doc_id are drawn by their text, and
 ``keep_good`` leaves them in. Repeated rows draw equal keys; rows of one doc_id with other
 texts are judged each by its text. Very long texts are counted whole. Without target texts
-every weight is 0 and all rows are kept; without toxic labels no text is harmful. An empty
+every log weight is 0 and all rows are kept; without toxic labels no text is harmful. An empty
 table gives an empty table; labels that repeat or contradict count as not good, and as
 toxic if any says so. Extra columns pass through, whatever their names.
 """
@@ -31,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_slices, slices, tidy
@@ -156,15 +157,40 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def draw(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int = 1 << 16, temperature: float = 0.05, seed: int = 9, sure: float = 8.0, calm: float = 0.999) -> DataFrame:
-    """doc_id, version (digest of the text), weight, harm_score, key (fixed-point Gumbel key) and drawn, of every row."""
+#: Log weights, harm scores and keys are fixed-point numbers of this step, so that sums and ranks don't depend on the order of rows.
+STEP = 1_000_000
+
+
+def fixed(c: Column) -> Column:
+    return F.floor(c * STEP).cast("long")
+
+
+def gumbel_top(rows: DataFrame, size: int | None, seed: int) -> DataFrame:
+    """Add key and drawn to ``rows`` (name: long; log_weight: at most 0, null for rows that can't be drawn).
+
+    Gumbel noise is added to the log weights and the ``size`` largest keys are drawn: that is sampling without replacement in
+    proportion to exp(log_weight). Without a size it is the sum of the weights. ``rows`` are read several times: a stored table.
+    """
+    uniform = (F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keyed = rows.withColumn("key", fixed(F.col("log_weight") - F.log(-F.log(uniform))))
+    if size is None:
+        mass = rows.agg(F.sum(fixed(F.exp("log_weight"))).alias("mass")).first().mass
+        size = round((mass or 0) / STEP)
+    least = kth_largest(keyed.where("key is not null"), "key", size) if size else None
+    if size and least is None:  # fewer rows than that
+        return keyed.withColumn("drawn", F.col("key").isNotNull())
+    return keyed.withColumn("drawn", F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if size else F.lit(False))
+
+
+def draw(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int = 1 << 16, temperature: float = 1.0, seed: int = 9, sure: float = 8.0, calm: float = 0.999, size: int | None = None, fold_seed: int = 9) -> DataFrame:
+    """doc_id, version (digest of the text), weight, harm_score, log_weight (truncated), key (fixed-point Gumbel key) and drawn, of every row."""
     scratch = Scratch(docs.sparkSession, "resample")
     docs = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("version", F.xxhash64("text"))
     labels = pick(labels, {"doc_id": "long", "quality": "int", "toxic": "int"})
     is_toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
     marks = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False)) & ~is_toxic).alias("good"), F.max(is_toxic).alias("harm"))
     known = docs.join(small(marks), "doc_id", "left")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5)) == 0  # a fifth of the labelled texts only sets the bounds
+    held = F.pmod(F.xxhash64("doc_id", F.lit(fold_seed)), F.lit(5)) == 0  # a fifth of the labelled texts only sets the bounds
     # labelled junk is neither target nor clean
     fit = known.select("text", (F.col("good") & ~held).alias("good"), F.when(~held & (F.col("good") | F.col("harm")), F.col("harm")).alias("harm"))
     models = scratch.save(count_models(fit, buckets), "models")
@@ -172,24 +198,18 @@ def draw(docs: DataFrame, labels: DataFrame, keep: float = 0.998, buckets: int =
     words = telling_words(models, sure)
     scored = scratch.save(weigh(known.withColumn("held", F.col("good") & held), ratio, words, ["doc_id", "version", "held"]), "scored")
     n_held = scored.where("held").count()
-    # fixed-point weights and keys: a millionth is the step
-    step = lambda c: F.floor(c * 1_000_000).cast("long")
-    scored = scored.withColumn("w", step(F.col("weight"))).withColumn("h", step(F.col("harm_score")))
+    scored = scored.withColumn("w", fixed(F.col("weight"))).withColumn("h", fixed(F.col("harm_score")))
     quiet = kth_largest(scored.where("held"), "h", int((1 - calm) * n_held) + 1) if n_held and words else None
     allowed = F.col("h") <= F.lit(max(quiet, 0)) if quiet is not None else F.lit(True)
     bound = kth_largest(scored.where("held"), "w", max(1, int(np.ceil(keep * n_held)))) if n_held else None
-    k = scored.where(allowed & (F.col("w") >= F.lit(bound)) if bound is not None else allowed).count()
-    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", "version"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.when(allowed, step(F.col("weight") / temperature - F.log(-F.log(uniform))))
-    keyed = scratch.save(scored.select("doc_id", "version", "weight", "harm_score", key.alias("key")), "keyed")
-    least = kth_largest(keyed.where("key is not null"), "key", k) if k else None
-    drawn = F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if least is not None else F.col("key").isNotNull()
-    return keyed.withColumn("drawn", drawn)
+    below = F.least(F.lit(0.0), (F.col("w") - F.lit(bound)) / float(STEP) / temperature) if bound is not None else F.lit(0.0)
+    scored = scored.select("doc_id", "version", F.coalesce("doc_id", "version").alias("name"), "weight", "harm_score", F.when(allowed, below).alias("log_weight"))
+    return gumbel_top(scratch.save(scored, "weighted"), size, seed).drop("name")
 
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, weight, harm_score and Gumbel key of the documents drawn. Draws go by weight / temperature."""
-    return draw(docs, labels, **options).where("drawn").select("doc_id", "weight", "harm_score", (F.col("key") / 1_000_000).alias("gumbel_key"))
+    """doc_id, weight, harm_score and Gumbel key of the documents drawn."""
+    return draw(docs, labels, **options).where("drawn").select("doc_id", "weight", "harm_score", (F.col("key") / STEP).alias("gumbel_key"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
