@@ -33,7 +33,7 @@ from .arrow import map_groups, map_rows, map_slices
 from .components import components
 from .near_duplicates import Forest
 from .shingles import batch_words, linked, mix, permutations, shingle_hashes
-from .store import Scratch, pick, small
+from .store import Scratch, pick, ranked, small
 
 #: Every shared passage of this many words is found: the window plus the winnowing guarantee.
 WINDOW, PASSAGE = 32, 50
@@ -41,6 +41,9 @@ WINDOW, PASSAGE = 32, 50
 #: The first and last chosen window of a shared passage leave at most this many of its words at each end.
 REACH = PASSAGE - WINDOW
 
+#: Words of a surrounding that are compared before all the others.
+FEW = 3
+
 #: Lines of one band that are still in different components are compared in blocks of about this many, two at a time.
 LIMIT = 100
 
@@ -250,8 +253,11 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     Any earlier document counts, not the keeper alone, as a longer passage may be shared with a later one than it.
     """
     at = scratch.save(map_groups(held.where(LATER).select(*DOC, "start", "cluster_id", "check"), DOC, edges, "cluster_id long, check long, side int", ["start"]).distinct(), "edges")
-    fields = ["start", "cluster_id", "check", "keep_doc_id", "keep_version", "side"]
-    open_ends = scratch.save(held.join(at, ["cluster_id", "check"]).select(*DOC, *fields), "open-ends")
+    fields = ["start", "cluster_id", "check", "keep_doc_id", "keep_version", "side", "nr"]
+    open_ends = scratch.save(held.join(at, ["cluster_id", "check"]).select(*DOC, *fields[:-1]), "open-ends")
+    # documents by number in their order: the least of many is a long, which is hashed, where a struct would be sorted
+    numbers = ranked(open_ends.select(*DOC).distinct().withColumn("one", F.lit(1).cast("long")), DOC, "one", "nr", scratch, "named").drop("one")
+    open_ends = open_ends.join(small(scratch.save(numbers, "numbers")), DOC)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out = {k: [] for k in (*DOC, *fields, "near")}
@@ -264,20 +270,32 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
                     out[c].append(v)
         return out
 
-    seen = map_rows(texts_of(docs, open_ends, fields), run, "doc_id long, version long, start int, cluster_id long, check long, keep_doc_id long, keep_version long, side int, near array<long>")
-    seen = scratch.save(seen.withColumn("around", F.xxhash64("near")).withColumn("doc", F.struct(*DOC)), "around")
+    seen = map_rows(texts_of(docs, open_ends, fields), run, "doc_id long, version long, start int, cluster_id long, check long, keep_doc_id long, keep_version long, side int, nr long, near array<long>")
+    seen = scratch.save(seen.withColumn("around", F.xxhash64("near")), "around")
     # equal surroundings collapse; each length of what is left is looked up in the first document that has it
     of = ["cluster_id", "check", "side"]
     group = [*of, "around"]
-    firsts = scratch.save(seen.groupBy(group).agg(F.min("doc").alias("first"), F.first("near").alias("near")), "surroundings")
-    heads = F.transform(F.sequence(F.lit(1), F.size("near")), lambda n: F.xxhash64(F.slice("near", 1, n)))
-    heads = firsts.where(F.size("near") > 0).select(*group, "first", F.posexplode(heads).alias("nth", "head"))
-    heads = scratch.save(heads, "heads")
-    earliest = heads.groupBy(*of, "nth", "head").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
-    shared = heads.join(scratch.save(earliest, "earliest"), [*of, "nth", "head"]).where("least < first")
-    shared = scratch.save(shared.groupBy(group).agg((F.max("nth") + 1).alias("shared")), "shared")
+    firsts = scratch.save(seen.groupBy(group).agg(F.min("nr").alias("first"), F.first("near").alias("near")), "surroundings")
+
+    def shared_up_to(rows: DataFrame, low: int, high: int, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Of each surrounding the longest head, of ``low`` to ``high`` words, that an earlier document has; and the heads of several documents."""
+        heads = F.transform(F.sequence(F.lit(low), F.least(F.size("near"), F.lit(high))), lambda n: F.struct(n.alias("nth"), F.xxhash64(F.slice("near", 1, n)).alias("head")))
+        heads = rows.where(F.size("near") >= low).select(*group, "first", F.explode(heads).alias("h")).select(*group, "first", "h.nth", "h.head")
+        heads = scratch.save(heads, f"heads-{tag}")
+        several = heads.groupBy(*of, "nth", "head").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
+        several = scratch.save(several, f"several-{tag}")
+        shared = heads.join(several, [*of, "nth", "head"]).where("least < first").groupBy(group).agg(F.max("nth").alias("shared"))
+        return scratch.save(shared, f"shared-{tag}"), several
+
+    # a few words rule out most surroundings; a longer head is shared only where its beginning is
+    short, several = shared_up_to(firsts, 1, FEW, "short")
+    begins = several.where(F.col("nth") == FEW).select(*of, "head")
+    going_on = firsts.where(F.size("near") > FEW).withColumn("head", F.xxhash64(F.slice("near", 1, FEW))).join(begins, [*of, "head"], "left_semi").drop("head")
+    long, _ = shared_up_to(scratch.save(going_on, "going-on"), FEW + 1, REACH, "long")
+    scratch.drop("heads-short", "heads-long", "several-long", "going-on")
+    shared = short.unionByName(long).groupBy(group).agg(F.max("shared").alias("shared"))
     reach = scratch.save(firsts.select(*group, "first", F.size("near").alias("whole")).join(shared, group, "left"), "reach")
-    more = seen.drop("near").join(reach, group).withColumn("more", F.when(F.col("doc") > F.col("first"), F.col("whole")).otherwise(F.coalesce("shared", F.lit(0))))
+    more = seen.drop("near").join(reach, group).withColumn("more", F.when(F.col("nr") > F.col("first"), F.col("whole")).otherwise(F.coalesce("shared", F.lit(0))))
     more = more.where("more > 0").withColumn("start", F.col("start") - F.when(F.col("side") < 0, F.col("more")).otherwise(0))
     return more.withColumn("n_words", F.lit(WINDOW) + F.col("more")).where(LATER).select(*REMOVAL)
 
