@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import NO_DISTANCE, TYPO_DISTANCE
 from ..functions.idn import folded
-from ..functions.urls import brand_label, registrable
+from ..functions.urls import brand_label, parts_of, registrable
 
 #: Trusted domains of one block: so many travel to a task as one row.
 BLOCK = 20_000
@@ -17,8 +17,8 @@ BLOCK = 20_000
 def build_trusted(entries: DataFrame) -> DataFrame:
     """domain (registrable, first wins by ord), agency_name, category, label."""
     e = entries.withColumn("domain", F.lower(F.trim("domain"))).where("domain <> '' and not startswith(domain, '#')")
-    e = e.withColumn("labels", F.split("domain", r"\."))
-    e = e.withColumn("domain", registrable(F.col("domain"), F.col("labels"))).withColumn("labels", F.split("domain", r"\."))
+    e = e.withColumn("labels", parts_of(F.split("domain", r"\.")))
+    e = e.withColumn("domain", registrable(F.col("domain"), F.col("labels"))).withColumn("labels", parts_of(F.split("domain", r"\.")))
     e = e.withColumn("label", brand_label(F.col("domain"), F.col("labels"))).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("other")))
     first = F.row_number().over(W.partitionBy("domain").orderBy("ord"))
     return e.withColumn("_n", first).where("_n = 1").select("domain", "agency_name", "category", "label")

@@ -92,3 +92,8 @@ def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     by = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
     above = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
     return by.select(score, F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"))
+
+
+def shortened(text: Column, most: int = 60) -> Column:
+    """The text, or its first ``most`` characters and an ellipsis."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)

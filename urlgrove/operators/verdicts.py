@@ -91,6 +91,14 @@ def history(v: DataFrame, label: str | None = None, search: str | None = None, s
     return v.orderBy(F.desc("checked_at"), "check_id").offset(offset).limit(limit)
 
 
+def page(rows: DataFrame, equal: dict[str, object], order: list, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the rows whose columns have these values (None: any), in order, with ``total``, the number of all such rows."""
+    for c, value in equal.items():
+        rows = rows if value is None else rows.where(F.col(c) == F.lit(value))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
 def indicators(v: DataFrame, as_of: str, hours: int = 24, limit: int = 2000) -> DataFrame:
     v = within(v, as_of, f"{hours} hours").where("label = 'phishing'")
     return v.orderBy(F.desc("checked_at"), "check_id").limit(limit)

@@ -44,6 +44,20 @@ def parts(df: DataFrame, path: str, part: str = "part") -> None:
     df.write.mode("overwrite").partitionBy(part).option("header", True).csv(path)
 
 
+def missed(rows: DataFrame, path: str) -> None:
+    """URLs that an evaluation missed, lowest scores first; a run without misses leaves no row of an older one."""
+    csv(rows, path, rows.columns, ["score", "url"])
+
+
+def trusted_document(trusted: DataFrame, most: int = 100_000) -> DataFrame:
+    """One JSON text {count, entries[]} in order of domain: for lists of at most ``most`` entries; a longer one goes to ``trusted_list``."""
+    if trusted.limit(most + 1).count() > most:
+        raise ValueError(f"the list has more than {most} entries")
+    entry = F.struct("domain", "agency_name", "category")
+    listed = trusted.agg(F.count("*").alias("count"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return listed.select(F.to_json(F.struct("count", "entries")).alias("body"))
+
+
 def trusted_list(trusted: DataFrame, path: str) -> None:
     """Entries as JSON lines in order of domain, and their count beside them."""
     trusted.orderBy("domain").write.mode("overwrite").json(f"{path}/entries")
