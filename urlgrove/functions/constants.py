@@ -41,3 +41,12 @@ LOSS_PER_BLOCK = 7800
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 PASSWORD_FIELD = r"(?i)<input[^>]*type=['\"]password['\"]"
 OFFICIAL = r"(?i)(?:\.go\.th|\.ac\.th|\.or\.th)"
+# The model's features in the order of its vector, and the version of that contract.
+CONTRACT_VERSION = "1.5.0"
+FEATURES = [
+    "url_length", "num_dots", "num_hyphens", "num_at", "num_slash", "num_digits", "has_ip", "entropy", "has_https", "num_subdomains", "domain_age_days",
+    "is_thai_tld", "tld_type_enc", "is_known_registrar", "min_edit_distance", "is_typosquat", "has_valid_cert", "cert_age_days", "is_self_signed", "whois_ok",
+    "tls_ok", "path_depth", "domain_label_max_len", "has_port", "max_digit_run", "has_query_string", "has_punycode", "has_mixed_script", "homoglyph_distance",
+    "has_login_keyword", "has_suspicious_tld", "path_brand_hit", "path_length", "num_login_keywords", "query_param_count", "path_entropy", "host_token_count",
+    "digit_to_letter_ratio", "cert_is_lets_encrypt", "cert_validity_days", "cert_san_count", "host_has_brand_and_suspicious_tld",
+]

@@ -58,14 +58,19 @@ def short_links(spark, d):
  CASE WHEN k % 5 > 0 AND k % 6 > 0 THEN 2 ELSE -1 END AS cert_san_count FROM p JOIN h USING (host)""")
 def observed_features(spark, d):
     p = url_parts(views.urls(spark, d))
+    out = observations.with_observations(p.select("page_id", "host"), *observed(p), AS_OF)
+    return out.drop("host")
+
+
+def observed(p):
+    """Registrations and certificates of most hosts of ``p`` (host, page_id), by the host's first page."""
     h = p.groupBy("host").agg(F.min("page_id").alias("k"))
     day = F.to_date(F.lit(AS_OF))
     whois = h.where("k % 4 > 0").select("host", F.date_sub(day, (F.col("k") % 3000 - 30).cast("int")).alias("created"), F.when(F.col("k") % 3 == 0, f"The {REGISTRARS[0].upper()} Co").otherwise("Other Ltd").alias("registrar"))
     time = lambda n: F.date_format(F.date_add(day, n), "MMM  d HH:mm:ss yyyy 'GMT'")
     tls = h.where("k % 5 > 0").select("host", F.when(F.col("k") % 3 == 1, f"CN={FREE_ISSUERS[0].title()}").otherwise("CN=Own CA").alias("issuer"), time(-10).alias("not_before"), time(80).alias("not_after"),
         F.when(F.col("k") % 6 > 0, F.array("host", F.concat(F.lit("www."), "host"))).alias("san"), (F.col("k") % 2 == 0).alias("valid"), (F.col("k") % 7 == 0).alias("self_signed"))
-    out = observations.with_observations(p.select("page_id", "host"), whois, tls, AS_OF)
-    return out.drop("host")
+    return whois, tls
 
 
 @query("""WITH e AS (SELECT event_type AS source, ts, event_id, CASE WHEN event_id % 17 = 0 THEN 'error ' || CAST(event_id % 5 AS VARCHAR) END AS error, event_id % 7 - 1 AS ingested FROM events)
@@ -207,15 +212,6 @@ def feeds_united(spark, d):
     return both.groupBy("url").agg(F.min("feed").alias("feed"))
 
 
-@query()
-def model_scores(spark, d):
-    """A calibrated ensemble fitted on the pages' lexical features, and its scores; the class is whether a page is a login page."""
-    from .training import calibrated
-
-    x = lexical(shaped(spark, d)).withColumn("label", F.col("has_login_keyword").cast("double"))
-    return calibrated(x, ["url_length", "num_dots", "num_slash", "num_digits", "path_depth", "path_length", "num_subdomains", "host_token_count"], "label", "page_id").select("page_id", "label", F.round("score", 6).alias("score"))
-
-
 #: Plain letters and those that each kind of spoofed host shows instead: Cyrillic, Cyrillic sent as xn--, accented, full width.
 SPOOFS = {1: ("aeopc", "аеорс"), 2: ("aeopc", "аеорс"), 3: ("aeiou", "áéíóú"), 4: ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + k) for k in range(26)))}
 SPOOFED = "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN translate(brand, '{a}', '{b}')" for k, (a, b) in SPOOFS.items()) + " ELSE brand END"

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import json
+import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.reports import ranked_in
+from ..tables import exists
+
 
 def weighted(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight``: rows over classes times rows of the class."""
@@ -21,32 +28,122 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts), label)  # a row a class
 
 
-def ensemble(features: list[str], label: str, trees: int, rounds: int) -> list[Pipeline]:
+@dataclass(frozen=True)
+class Params:
+    """Sizes of the two models. Spark's trees are at most 30 deep; a node splits if each side keeps half of ``least_split`` rows."""
+
+    trees: int = 200
+    forest_depth: int = 30
+    least_split: int = 2
+    rounds: int = 200
+    boost_depth: int = 6
+    step: float = 0.1
+    rows: float = 0.9
+    columns: float = 0.9
+
+
+def ensemble(features: list[str], label: str, trees: int | Params, rounds: int | None = None) -> list[Pipeline]:
+    p = trees if isinstance(trees, Params) else Params(trees=trees, rounds=rounds, forest_depth=5)
     head = [VectorAssembler(inputCols=features, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
-    forest = RandomForestClassifier(labelCol=label, numTrees=trees, weightCol="weight", seed=42)
-    boosted = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=6, stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=42)
+    forest = RandomForestClassifier(labelCol=label, numTrees=p.trees, maxDepth=p.forest_depth, minInstancesPerNode=max(1, p.least_split // 2), weightCol="weight", seed=42)
+    boosted = GBTClassifier(labelCol=label, maxIter=p.rounds, maxDepth=p.boost_depth, stepSize=p.step, subsamplingRate=p.rows, featureSubsetStrategy=str(p.columns), seed=42)
     return [Pipeline(stages=[*head, m]) for m in (forest, boosted)]
 
 
-def voted(models: list, df: DataFrame, key: str) -> DataFrame:
-    """The mean probability of the models, as ``vote``."""
-    out = None
-    for k, m in enumerate(models):
-        p = m.transform(df).select(key, vector_to_array("probability")[1].alias(f"_p{k}"))
-        out = p if out is None else out.join(p, key)
-    return df.join(out.select(key, (sum(F.col(f"_p{k}") for k in range(len(models))) / len(models)).alias("vote")), key)
+MADE = ["raw_features", "features", "rawPrediction", "probability", "prediction"]
+
+
+def voted(models: list, df: DataFrame, key: str | None = None) -> DataFrame:
+    """Add ``vote``, the mean probability of the models: each adds its column to the rows, so no row is joined."""
+    names = [f"_p{k}" for k in range(len(models))]
+    for name, m in zip(names, models, strict=True):
+        df = m.transform(df).withColumn(name, vector_to_array("probability")[1]).drop(*MADE)
+    return df.withColumn("vote", sum(map(F.col, names)) / len(names)).drop(*names)
+
+
+def with_folds(df: DataFrame, label: str, key: str, folds: int) -> DataFrame:
+    """Add ``fold``: each label is dealt to the folds in turn, by the digest of the key."""
+    return ranked_in(df, label, key).withColumn("fold", (F.col("nth") % folds).cast("int")).drop("nth")
+
+
+@dataclass
+class Calibrated:
+    """Of each fold the models fitted on the others, and the isotonic curve fitted on the fold."""
+
+    folds: list[tuple[list, object]]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``score``, the mean of the folds' calibrated votes."""
+        names = [f"_s{k}" for k in range(len(self.folds))]
+        for name, (models, curve) in zip(names, self.folds, strict=True):
+            df = curve.transform(voted(models, df)).withColumnRenamed("prediction", name).drop("vote")
+        return df.withColumn("score", sum(map(F.col, names)) / len(names)).drop(*names)
+
+
+def fit_calibrated(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, params: Params = Params(), parallelism: int = 2) -> Calibrated:  # noqa: B008
+    """Fit the calibrated ensemble on ``df``. Folds are fitted ``parallelism`` at a time; each fit is a Spark job over all executors."""
+    df = weighted(with_folds(df.select(key, label, *features), label, key, folds), label).persist()
+
+    def one(k: int) -> tuple[list, object]:
+        models = [p.fit(df.where(F.col("fold") != k)) for p in ensemble(features, label, params)]
+        return models, IsotonicRegression(featuresCol="vote", labelCol=label).fit(voted(models, df.where(F.col("fold") == k)))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        out = Calibrated(list(pool.map(one, range(folds))))
+    df.unpersist()
+    return out
+
+
+def importances(models: list, features: list[str]) -> DataFrame:
+    """(feature, importance) of the forests among fitted pipelines, their mean, greatest first; equal ones by name."""
+    of = [m.stages[-1].featureImportances.toArray() for m in models if isinstance(m.stages[-1], RandomForestClassificationModel)]
+    rows = [(f, float(sum(x[k] for x in of) / len(of))) for k, f in enumerate(features)]
+    return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def calibrated(df: DataFrame, features: list[str], label: str, key: str, folds: int = 2, trees: int = 10, rounds: int = 5) -> DataFrame:
-    """Add ``score``: of each fold's models, fitted on the other folds and calibrated on it by isotonic regression, the mean."""
-    df = weighted(df.select(key, label, *features), label)
-    fold = F.pmod(F.xxhash64(key), F.lit(folds))
-    out = df
-    for k in range(folds):
-        models = [p.fit(df.where(fold != k)) for p in ensemble(features, label, trees, rounds)]
-        curve = IsotonicRegression(featuresCol="vote", labelCol=label, predictionCol=f"_s{k}").fit(voted(models, df.where(fold == k), key))
-        out = out.join(curve.transform(voted(models, df, key)).select(key, f"_s{k}"), key)
-    return out.withColumn("score", sum(F.col(f"_s{k}") for k in range(folds)) / folds)
+#: The ranges of the search: whole numbers, numbers, and numbers by their logarithm.
+SPACE = {"trees": ("int", 100, 400), "forest_depth": ("int", 5, 25), "least_split": ("int", 2, 8), "rounds": ("int", 100, 400), "boost_depth": ("int", 3, 10), "step": ("log", 0.01, 0.3), "rows": ("float", 0.7, 1.0), "columns": ("float", 0.6, 1.0)}
+
+
+def search_space(spark: SparkSession, trials: int, seed: int = 42, space: dict = SPACE) -> DataFrame:
+    """A row a trial, a column a parameter; each value is a function of seed, trial and name."""
+    u = lambda name: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("trial").cast("string"), F.lit(f"|{name}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    value = {
+        "int": lambda x, a, b: (F.lit(a) + F.floor(x * (b - a + 1))).cast("int"),
+        "float": lambda x, a, b: F.round(F.lit(float(a)) + x * (b - a), 6),
+        "log": lambda x, a, b: F.round(F.exp(math.log(a) + x * (math.log(b) - math.log(a))), 6),
+    }
+    return spark.range(trials).select(F.col("id").cast("int").alias("trial"), *(value[kind](u(name), a, b).alias(name) for name, (kind, a, b) in space.items()))
+
+
+def search(df: DataFrame, features: list[str], label: str, key: str, space: DataFrame, folds: int = 3, parallelism: int = 2, cut: float = 0.5) -> DataFrame:
+    """The trials of ``space`` with f1, the mean over folds, and place (from 1): the greatest f1 first, of equal ones the smaller trial.
+
+    A fit is a Spark job over all executors; ``parallelism`` of them run at a time. A fold's counts are one row,
+    so what reaches the driver is a row for each trial and fold.
+    """
+    spark, trials = df.sparkSession, [r.asDict() for r in space.collect()]  # a row a trial
+    df = weighted(with_folds(df.select(key, label, *features), label, key, folds), label).persist()
+    true, hit = F.col(label) == 1, F.col("vote") >= cut
+
+    def one(job: tuple[dict, int]) -> tuple:
+        row, k = job
+        models = [p.fit(df.where(F.col("fold") != k)) for p in ensemble(features, label, Params(**{n: v for n, v in row.items() if n != "trial"}))]
+        n = voted(models, df.where(F.col("fold") == k)).agg(F.count_if(true & hit).alias("tp"), F.count_if(~true & hit).alias("fp"), F.count_if(true & ~hit).alias("fn")).first()
+        return row["trial"], k, n.tp, n.fp, n.fn
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        counts = list(pool.map(one, [(row, k) for row in trials for k in range(folds)]))
+    df.unpersist()
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    scores = spark.createDataFrame(counts, "trial int, fold int, tp long, fp long, fn long").groupBy("trial").agg(F.round(F.avg(f1), 9).alias("f1"))
+    place = F.row_number().over(W.orderBy(F.desc("f1"), "trial"))  # a row a trial
+    return space.join(F.broadcast(scores), "trial").withColumn("place", place)
+
+
+def best_params(found: DataFrame) -> Params:
+    row = found.where("place = 1").first().asDict()
+    return Params(**{k: v for k, v in row.items() if k not in ("trial", "f1", "place")})
 
 
 def gate(metrics: DataFrame, metric: str, threshold: float = 0.85) -> DataFrame:
@@ -87,3 +184,26 @@ def promoted(spark: SparkSession, path: str, features: list[str]) -> list:
     while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/model-{len(out)}")):
         out.append(PipelineModel.load(f"{path}/{version}/model-{len(out)}"))
     return out
+
+
+def save_calibrated(model: Calibrated, path: str, version: str, features: list[str], status: str) -> bool:
+    """Save all folds and the contract as a version; point to it only if the gate passed. Older versions stay."""
+    spark = SparkSession.active()
+    for k, (models, curve) in enumerate(model.folds):
+        for n, m in enumerate([*models, curve]):
+            m.write().overwrite().save(f"{path}/{version}/fold-{k}/part-{n}")
+    spark.createDataFrame([(version, features)], "version string, features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/{version}/contract")
+    if status == "passed":
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return status == "passed"
+
+
+def load_calibrated(spark: SparkSession, path: str, features: list[str], version: str | None = None) -> tuple[str, Calibrated]:
+    """The version that the pointer names (or the one asked for), after a check of its contract."""
+    version = version or spark.read.json(f"{path}/current").first()["version"]
+    check_contract(spark.read.text(f"{path}/{version}/contract").first()[0], features, version)
+    folds = []
+    while exists(spark, f"{path}/{version}/fold-{len(folds)}"):
+        at = f"{path}/{version}/fold-{len(folds)}"
+        folds.append(([PipelineModel.load(f"{at}/part-0"), PipelineModel.load(f"{at}/part-1")], IsotonicRegressionModel.load(f"{at}/part-2")))
+    return version, Calibrated(folds)
