@@ -127,20 +127,26 @@ def test_transport_stream(spark):
     assert len(got) == 4 and len(set(got)) == 3 and ts.digests(ts.read_back(ts.store(table(spark, [])))).count() == 0
 
 
+def brute_top(rows, k):
+    """A list for each row that asks, over all rows but itself."""
+    out = collections.Counter()
+    for n, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            found = sorted(((int(np.dot(v, w)), -d) for m, (d, w) in enumerate(rows) if m != n and len(w) == len(v)), reverse=True)[:k]
+            out.update((q, rank + 1, -d, s) for rank, (s, d) in enumerate(found))
+    return out
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rng.normal(0, 0.2, 8)], 0) for k in range(200)]
-    rows += [(200, None, 0), (201, [float("nan")] * 8, 0), (202, [None] * 8, 0), (None, [0.1] * 8, 0), (20, rows[20][1], 0), (203, rows[40][1], 0)]
+    rows += [(200, None, 0), (201, [float("nan")] * 8, 0), (202, [None] * 8, 0), (None, [0.1] * 8, 0), (20, rows[20][1], 0), (203, rows[40][1], 0), (60, rows[61][1], 0), (20, rows[60][1], 0), (7, rows[7][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    vec = {k: np.floor(64 * np.array(v)).astype(int) for k, v, _ in rows if k is not None and k not in (200, 201, 202)}
-    ids = [k for k, v, _ in rows if k in vec]
-    got = collections.defaultdict(list)
-    for r in topk.top_k(topk.integers(df), F.col("vec_id") % 20 == 0, 5, block=64, query_block=4).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert set(got) == {k for k in vec if k % 20 == 0}
-    for q, found in got.items():
-        want = sorted(((int(vec[q] @ vec[k]), -k) for k in ids if k != q), reverse=True)[:5]
-        assert sorted(found) == [(n + 1, -k, s) for n, (s, k) in enumerate(want)]
+    whole = [(k, np.floor(64 * np.array(v)).astype(int)) for k, v, _ in rows if k is not None and k not in (200, 201, 202)]
+    got = topk.top_k(topk.integers(df), F.col("vec_id") % 20 == 0, 5, block=64, query_block=4).collect()
+    assert collections.Counter(map(tuple, got)) == brute_top(whole, 5)
+    two = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert collections.Counter(map(tuple, topk.search(two).collect())) == {(20, 1, 20, 64 * 32): 2}  # one row answers the other
 
 
 def test_top_k_of_wide_ranges_and_copies(spark):
@@ -149,15 +155,10 @@ def test_top_k_of_wide_ranges_and_copies(spark):
     vec[40:160] = vec[40]  # many copies of one vector
     vec[200:220] = vec[200] + rng.integers(-3, 4, (20, 6))
     vec[::50, 0] = 0
-    rows = [(k, v.tolist(), "r", 1) for k, v in enumerate(vec)] + [(300, [5, -7], "r", 1), (301, [1, 1], "r", 1)] + [(41, vec[41].tolist(), "r", 1)] * 3
+    rows = [(k, v.tolist(), "r", 1) for k, v in enumerate(vec)] + [(300, [5, -7], "r", 1), (301, [1, 1], "r", 1)] + [(41, vec[41].tolist(), "r", 1)] * 3 + [(160, vec[160].tolist(), "r", 1)] * 12
     df = spark.createDataFrame(rows, "vec_id long, vec array<bigint>, row string, dim int")
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df.select("vec_id", "vec"), F.col("vec_id") % 20 == 0, 7, block=50, query_block=8).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    for q in range(0, 301, 20):
-        of = next(v for k, v, *_ in rows if k == q)
-        want = sorted(((int(np.dot(of, v)), -k) for k, v, *_ in rows if k != q and len(v) == len(of)), reverse=True)[:7]
-        assert sorted(got[q]) == [(n + 1, -k, s) for n, (s, k) in enumerate(want)]
+    got = topk.top_k(df.select("vec_id", "vec"), F.col("vec_id") % 20 == 0, 7, block=50, query_block=8).collect()
+    assert collections.Counter(map(tuple, got)) == brute_top([(k, v) for k, v, *_ in rows], 7)
     low, width, cells = topk.approximate(vec[3])
     least, most = topk.bounds(np.array([low]), np.array([width]), np.frombuffer(cells, np.uint8)[None], vec)
     exact = vec @ vec[3]

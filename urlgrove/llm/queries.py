@@ -92,14 +92,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
-WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 64) AS BIGINT)) AS vec
+WITH x AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 64) AS BIGINT)) AS vec
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id AS vec_id,
              CAST(list_sum(list_transform(range(1, len(q.vec) + 1), lambda i: q.vec[i] * c.vec[i])) AS BIGINT) AS score
-      FROM x q JOIN x c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec))
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+      FROM x q JOIN x c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.vec) = len(c.vec))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
 """,
     "op8_fixity_audit": """
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),

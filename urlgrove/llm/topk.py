@@ -11,10 +11,10 @@ score. What is not fetched is certain to lie behind.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without an id; scores are defined between equal dimensions only, so dimensions are
-searched apart. Ties go to the smaller vec_id. Repeated ids all count as rows of their
-own, and a query skips the rows with its own id. Equal vectors are told apart by id only, so of
-those beyond the k + 1 smallest ids none can be among the k best of any query; they stay
-out of the file. An empty table, or one without queries, gives no rows. Other columns of
+searched apart. Ties go to the smaller vec_id. Rows that share an id all count as rows of their
+own: a query skips its own row and no other, and each row that asks gets its own list. Equal vectors are
+told apart by id only, so of those beyond the k + 1 smallest ids none can be among the k best of any
+query; they stay out of the file. An empty table, or one without queries, gives no rows. Other columns of
 the input, whatever their names, play no part. Scores are 64-bit integers.
 """
 
@@ -57,13 +57,15 @@ def scan_block(have: list[dict], ask: list[dict], k: int) -> list[dict]:
     ids, rows = np.array([r["vec_id"] for r in have], np.int64), [r["row"] for r in have]
     low, width = np.array([r["low"] for r in have], np.int64), np.array([r["width"] for r in have], np.int64)
     cells = np.frombuffer(b"".join(r["cells"] for r in have), np.uint8).reshape(len(have), -1)
+    numbers, copies = np.array(rows, np.int64), np.array([r["copies"] for r in have], np.int64)
     out, step = [], max(1, AT_ONCE // len(have))
     for at in range(0, len(ask), step):
         part = ask[at : at + step]
         queries = np.frombuffer(b"".join(r["cells"] for r in part), "<i8").reshape(len(part), -1)
         least, most = bounds(low, width, cells, queries)
         for q, lo, hi in zip(part, least, most, strict=True):
-            other = np.flatnonzero(ids != q["vec_id"])
+            own = numbers == (-1 if q["own"] is None else q["own"])
+            other = np.flatnonzero(copies > own)  # of copies of the query's row all but itself
             lo, hi = lo[other], hi[other]
             if len(other) > k:
                 kth = np.partition(lo, len(lo) - k)[len(lo) - k]
@@ -71,7 +73,7 @@ def scan_block(have: list[dict], ask: list[dict], k: int) -> list[dict]:
                 stay = np.flatnonzero((hi > kth) | (hi == kth) & (np.arange(len(hi)) <= last))
                 other, lo, hi = other[stay], lo[stay], hi[stay]
             out += [
-                {"query_id": q["vec_id"], "query": q["row"], "row": rows[i], "vec_id": int(ids[i]), "copies": have[i]["copies"], "least": float(a), "most": float(b)}
+                {"query_id": q["vec_id"], "query": q["row"], "row": rows[i], "vec_id": int(ids[i]), "copies": int(copies[i] - own[i]), "least": float(a), "most": float(b)}
                 for i, a, b in zip(other, lo, hi, strict=True)
             ]
     return out
@@ -88,8 +90,8 @@ def integers(df: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """One row for each id and vector with its number of copies (k at most count); of equal vectors the k + 1 smallest ids."""
-    once = vectors.groupBy("vec", "vec_id").agg(F.least(F.count("*"), F.lit(k).cast("long")).alias("copies"))
+    """One row for each id and vector with its number of copies (k + 1 at most count); of equal vectors the k + 1 smallest ids."""
+    once = vectors.groupBy("vec", "vec_id").agg(F.least(F.count("*"), F.lit(k + 1).cast("long")).alias("copies"))
     nth = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
     return once.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
 
@@ -113,10 +115,10 @@ def as_bytes(vectors: DataFrame) -> DataFrame:
     def run(part: pa.RecordBatch) -> dict:
         vec = part.column(part.schema.get_field_index("vec"))
         ends = np.cumsum(vec.value_lengths().to_numpy(zero_copy_only=False))
-        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("row", "vec_id", "dim")}
+        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("row", "vec_id", "dim", "own")}
         return keep | {"cells": [v.astype("<i8").tobytes() for v in np.split(vec.flatten().to_numpy(zero_copy_only=False), ends[:-1])]}
 
-    return map_slices(vectors.select("row", "vec_id", "dim", "vec"), run, "row long, vec_id long, dim int, cells binary")
+    return map_slices(vectors.select("row", "vec_id", "dim", "own", "vec"), run, "row long, vec_id long, dim int, own long, cells binary")
 
 
 def exact_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -126,17 +128,17 @@ def exact_scores(candidates: DataFrame, vectors: DataFrame, queries: DataFrame)
         a, b = (part.column(part.schema.get_field_index(c)) for c in ("vec", "asked"))
         ends = np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False))
         product = a.flatten().to_numpy(zero_copy_only=False) * b.flatten().to_numpy(zero_copy_only=False)
-        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("query_id", "vec_id", "copies")}
+        keep = {c: part.column(part.schema.get_field_index(c)) for c in ("query", "vec_id", "copies")}
         return keep | {"score": np.add.reduceat(product, np.append(0, ends[:-1]))}
 
     both = candidates.join(vectors.select("row", "vec"), "row").join(queries.select(F.col("row").alias("query"), F.col("vec").alias("asked")), "query")
-    return map_slices(both.select("query_id", "vec_id", "copies", "vec", "asked"), run, "query_id long, vec_id long, copies long, score long")
+    return map_slices(both.select("query", "vec_id", "copies", "vec", "asked"), run, "query long, vec_id long, copies long, score long")
 
 
 def kth(df: DataFrame, score: str, k: int, out: str) -> DataFrame:
     """Per query the ``score`` and id of its k-th row, where it has as many."""
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "vec_id"))
-    df = df.select("query_id", F.col(score).cast("double").alias(out), F.col("vec_id").alias(f"{out}_id"), nth.alias("_nth"))
+    nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc(score), "vec_id"))
+    df = df.select("query", F.col(score).cast("double").alias(out), F.col("vec_id").alias(f"{out}_id"), nth.alias("_nth"))
     return df.where(F.col("_nth") <= k).where(F.col("_nth") == k).drop("_nth")
 
 
@@ -148,30 +150,36 @@ def reaches(mark: str) -> Column:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = 8192, query_block: int = 1024) -> DataFrame:
     """``vectors``: vec_id, vec (array<bigint>). ``is_query``: a condition on vec_id."""
     scratch = Scratch(vectors.sparkSession, "topk")
-    asked = scratch.save(vectors.where(is_query).select("vec_id", "vec").distinct().withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "queries")
+    asks = vectors.where(is_query).groupBy("vec_id", "vec").agg(F.count("*").alias("times"))
     vectors = scratch.save(distinct_vectors(vectors, k).withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # own: the row of the file that holds the query itself, if the file has it
+    asks = asks.join(vectors.where(is_query).select("vec_id", "vec", F.col("row").alias("own")), ["vec_id", "vec"], "left")
+    asked = scratch.save(asks.withColumn("dim", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "queries")
     file = scratch.save(as_cells(vectors), "cells")
     blocks, q_blocks = -(-file.count() // block) or 1, -(-asked.count() // query_block) or 1
     part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     # every pair of blocks meets once; a block is bounded, so a pair is
     left = file.select("dim", part(blocks).alias("b"), every(q_blocks).alias("q"), F.lit(False).alias("asks"), "row", "vec_id", "copies", "low", "width", "cells")
-    right = as_bytes(asked).select("dim", every(blocks).alias("b"), part(q_blocks).alias("q"), F.lit(True).alias("asks"), "row", "vec_id", "cells")
+    right = as_bytes(asked).select("dim", every(blocks).alias("b"), part(q_blocks).alias("q"), F.lit(True).alias("asks"), "row", "vec_id", "own", "cells")
 
     def pair(rows: list[dict]) -> list[dict]:
         have, ask = [r for r in rows if not r["asks"]], [r for r in rows if r["asks"]]
         return scan_block(have, ask, k) if have and ask else []
 
     found = scratch.save(map_groups(left.unionByName(right, allowMissingColumns=True), ["dim", "b", "q"], pair, CANDIDATE), "found")
-    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "vec_id"))
-    live = found.join(kth(found, "least", k, "sure"), "query_id", "left").where(reaches("sure")).drop("sure", "sure_id")
+    order = F.row_number().over(W.partitionBy("query").orderBy(F.desc("most"), "vec_id"))
+    live = found.join(kth(found, "least", k, "sure"), "query", "left").where(reaches("sure")).drop("sure", "sure_id")
     live = scratch.save(live.withColumn("nth", order), "candidates")
     first = scratch.save(exact_scores(live.where(F.col("nth") <= 2 * k), vectors, asked), "first")
-    rest = live.where(F.col("nth") > 2 * k).join(kth(first, "score", k, "got"), "query_id").where(reaches("got"))
+    rest = live.where(F.col("nth") > 2 * k).join(kth(first, "score", k, "got"), "query").where(reaches("got"))
     scored = first.unionByName(exact_scores(rest, vectors, asked))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    each = scored.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    each = scored.select("query", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    best = each.select("query", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    # equal rows that ask get a list each
+    lists = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return best.join(lists, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def search(df: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
