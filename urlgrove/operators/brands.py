@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import NO_DISTANCE, TYPO_DISTANCE
 from ..functions.idn import folded
 from ..functions.urls import brand_label, parts_of, registrable
+from ..tables import stored
 
 #: Trusted domains of one block: so many travel to a task as one row.
 BLOCK = 20_000
@@ -31,11 +32,15 @@ def brand_blocks(trusted: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("domain", "label"))).alias("brands"))
 
 
-def met_with_blocks(rows: DataFrame, trusted: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``rows`` (distinct keys) once for each block of trusted domains, with the block's ``brands``."""
-    blocks = brand_blocks(trusted, size)
-    ids = blocks.agg(F.collect_list("block").alias("_blocks"))  # a number for each 20,000 domains
-    return rows.crossJoin(F.broadcast(ids)).withColumn("block", F.explode("_blocks")).drop("_blocks").join(blocks, "block").drop("block")
+def met_with_blocks(rows: DataFrame, trusted: DataFrame, size: int = BLOCK, spread: int = 64) -> DataFrame:
+    """``rows`` (distinct keys) once for each block of trusted domains, with the block's ``brands``.
+
+    Each block stands ``spread`` times and a row meets one of these by its hash, so rows join on that many keys a block.
+    """
+    blocks = brand_blocks(trusted, size).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    ids = trusted.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).alias("_n"))  # one row
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")).crossJoin(F.broadcast(ids))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).join(blocks, ["block", "_salt"]).drop("block", "_salt", "_n")
 
 
 def nearest(label: Column, brands: Column) -> Column:
@@ -43,17 +48,57 @@ def nearest(label: Column, brands: Column) -> Column:
     return F.array_min(F.transform(brands, lambda b: F.struct(F.levenshtein(label, b.label).alias("distance"), b.domain.alias("domain"))))
 
 
-def closest_brand(urls: DataFrame, trusted: DataFrame, block: int = BLOCK) -> DataFrame:
+#: Trusted domains up to which labels are compared with all of them; beyond it labels look for neighbours by keys first.
+SCANNED = 4096
+#: Labels longer than this have too many keys and are compared with all domains.
+KEYED_LENGTH = 24
+
+
+def shortened_forms(label: Column, deletions: int = TYPO_DISTANCE) -> Column:
+    """The distinct strings that are left of a label when up to ``deletions`` characters go."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    last = out = F.array(label)
+    for _ in range(deletions):
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda x: x != ""), without)))
+        out = F.concat(out, last)
+    return F.array_distinct(out)
+
+
+def neighbours(labels: DataFrame, label: str, trusted: DataFrame) -> DataFrame:
+    """(label, near): the nearest trusted domain of the labels that have one within TYPO_DISTANCE.
+
+    Strings within d edits of each other share a string that is left of both after at most d deletions, so labels and
+    brands meet on such strings and only these pairs are compared.
+    """
+    key = lambda c: F.explode(F.transform(shortened_forms(F.col(c)), lambda x: F.xxhash64(x)))
+    brands = trusted.where(F.length("label") <= KEYED_LENGTH + TYPO_DISTANCE).select("domain", F.col("label").alias("_brand"), key("label").alias("_key"))
+    keyed = labels.where(F.length(label) <= KEYED_LENGTH).select(label, key(label).alias("_key"))
+    pairs = keyed.join(brands, "_key").select(label, "_brand", "domain").distinct()
+    far = F.levenshtein(F.col(label), F.col("_brand"))
+    return pairs.withColumn("_far", far).where(F.col("_far") <= TYPO_DISTANCE).groupBy(label).agg(F.min(F.struct(F.col("_far").alias("distance"), "domain")).alias("near"))
+
+
+def nearest_domains(labels: DataFrame, label: str, trusted: DataFrame, block: int = BLOCK, scanned: int = SCANNED) -> DataFrame:
+    """(label, near): the nearest trusted domain of each distinct label, whatever its distance."""
+    scan = lambda left: met_with_blocks(left, trusted, block).select(label, nearest(F.col(label), F.col("brands")).alias("near")).groupBy(label).agg(F.min("near").alias("near"))
+    if trusted.limit(scanned + 1).count() <= scanned:
+        return scan(labels)
+    found = stored(neighbours(labels, label, trusted), "neighbours")
+    return found.unionByName(scan(labels.join(found, label, "left_anti")))
+
+
+def closest_brand(urls: DataFrame, trusted: DataFrame, block: int = BLOCK, scanned: int = SCANNED) -> DataFrame:
     """Add closest_domain, min_edit_distance, homoglyph_distance, is_whitelisted and is_typosquat.
 
-    Distances are found once for each distinct label and block of trusted domains; the least of a label is joined back.
+    Distances are found once for each distinct label and joined back.
     """
     urls = urls.withColumn("brand", brand_label(F.col("host"), F.col("labels"))).withColumn("registrable", registrable(F.col("host"), F.col("labels")))
     labels = urls.where("has_ip = 0 and brand <> ''").select("brand").distinct().withColumn("_folded", folded(F.col("brand")))
-    labels = met_with_blocks(labels, trusted, block)
-    near, fold = nearest(F.col("brand"), F.col("brands")), nearest(F.col("_folded"), F.col("brands"))
-    labels = labels.select("brand", near.alias("near"), F.when(F.col("_folded") == F.col("brand"), near).otherwise(fold).alias("fold"))
-    labels = labels.groupBy("brand").agg(F.min("near").alias("near"), F.min("fold").alias("fold"))
+    labels = stored(labels, "labels")
+    asked = labels.select(F.explode(F.array_distinct(F.array("brand", "_folded"))).alias("_label")).distinct()
+    found = nearest_domains(asked, "_label", trusted, block, scanned)
+    near, fold = found.select(F.col("_label").alias("brand"), "near"), found.select(F.col("_label").alias("_folded"), F.col("near").alias("fold"))
+    labels = labels.join(near, "brand", "left").join(fold, "_folded", "left").drop("_folded")
     exact = trusted.select(F.col("domain").alias("registrable"), F.lit(True).alias("exact"))
     out = urls.join(labels, "brand", "left").join(exact, "registrable", "left")
     raw = F.when(F.col("exact"), 0).otherwise(F.coalesce("near.distance", F.lit(NO_DISTANCE)))
