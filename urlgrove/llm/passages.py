@@ -61,22 +61,51 @@ def sliding(f, h: np.ndarray, n: int) -> np.ndarray:
     return f(out[: len(h) - n + 1], out[n - size :]) if size < n else out
 
 
-def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys (two 64-bit digests) of the chosen windows of 32 words: those with the least hash of some run of 19."""
+def window_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One digest for each run of 32 words."""
     h, size = hashes, 1
     while size < WINDOW and len(h) > size:
         h, size = mix(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:]), 2 * size
-    if size < WINDOW:
-        return np.empty(0, np.int64), np.empty((2, 0), np.uint64)
-    guard = min(PASSAGE - WINDOW + 1, len(h))
-    least = np.pad(sliding(np.minimum, h, guard), guard - 1)
-    at = np.flatnonzero(sliding(np.maximum, least, guard) == h)
-    # a second digest, independent of the first, of the chosen windows only
-    odd = mix(np.arange(1, WINDOW + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-    check = np.zeros(len(at), np.uint64)
-    for k in range(WINDOW):
-        check = mix(check + hashes[at + k] * odd[k])
-    return at, np.stack([h[at], check])
+    return h if size == WINDOW else np.empty(0, np.uint64)
+
+
+def second_digest(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another digest, independent of the first, of the windows that begin at these places."""
+    place = np.arange(WINDOW)
+    odd = mix((place + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    out = np.empty(len(at), np.uint64)
+    for k in range(0, len(at), 1 << 14):
+        out[k : k + (1 << 14)] = mix(hashes[at[k : k + (1 << 14), None] + place] * odd).sum(axis=1)
+    return mix(out)
+
+
+def windows(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text (hashes of words) the starts and keys (two 64-bit digests) of the chosen windows of 32 words: those with the least hash of some run of 19.
+
+    All texts of 50 words or more are one array; runs and windows that lie across two texts are left out.
+    """
+    none = np.empty(0, np.int64), np.empty((2, 0), np.uint64)
+    out, runs = [none] * len(texts), PASSAGE - WINDOW + 1
+    for k, h in enumerate(texts):
+        if WINDOW <= len(h) < PASSAGE:  # fewer windows than a run: the least of all
+            at = np.flatnonzero((w := window_hashes(h)) == w.min())
+            out[k] = at, np.stack([w[at], second_digest(h, at)])
+    long = [k for k, h in enumerate(texts) if len(h) >= PASSAGE]
+    if not long:
+        return out
+    flat, sizes = np.concatenate([texts[k] for k in long]), np.array([len(texts[k]) for k in long])
+    begins = np.cumsum(sizes) - sizes
+    end = np.repeat(begins + sizes, sizes)
+    w = window_hashes(flat)
+    least = sliding(np.minimum, w, runs)
+    least[np.arange(len(least)) + PASSAGE > end[: len(least)]] = 0
+    inside = np.arange(len(w)) + WINDOW <= end[: len(w)]
+    at = np.flatnonzero((sliding(np.maximum, np.pad(least, runs - 1), runs) == w) & inside)
+    keys = np.stack([w[at], second_digest(flat, at)])
+    cut = np.searchsorted(at, np.append(begins, len(flat)))
+    for n, k in enumerate(long):
+        out[k] = at[cut[n] : cut[n + 1]] - begins[n], keys[:, cut[n] : cut[n + 1]]
+    return out
 
 
 def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, min_line: int) -> tuple[np.ndarray, ...]:
@@ -89,7 +118,7 @@ def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, m
     x = (shingle_hashes(hashes) >> np.uint64(32)).astype(np.uint32)
     x = np.append(x, np.full(5, 0xFFFFFFFF, np.uint32))
     a, b = permutations(rows * n_bands, 7)
-    sig = np.minimum.reduceat(x[None, :] * a + b, bounds, axis=1)[:, ::2].astype(np.uint64).reshape(n_bands, rows, -1)
+    sig = np.stack([np.minimum.reduceat(x * p + q, bounds)[::2] for p, q in zip(a[:, 0], b[:, 0], strict=True)]).astype(np.uint64).reshape(n_bands, rows, -1)
     band = mix(mix(sig[:, 0] + (np.arange(1, n_bands + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) + sig[:, 1:].sum(axis=1))
     nth = np.arange(len(hashes)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(hashes)]])))
     keys = []
@@ -104,18 +133,21 @@ def paragraphs(docs: DataFrame, n_bands: int, rows: int = 2, min_line: int = 20)
     names = [f"b{k}" for k in range(n_bands)]
 
     def run(part: pa.RecordBatch) -> dict:
-        parts: list[tuple] = []
-        for k, (text, hashes) in enumerate(zip(part.column(2).to_pylist(), batch_words(part.column(2)), strict=True)):
-            at, keys = windows(hashes)
-            sizes = np.array([len(x.split()) for x in (text or "").encode().split(b"\n")])
-            starts, n, line_keys, band = line_units(hashes, sizes, n_bands, rows, min_line)
-            line = np.repeat([False, True], [len(at), len(starts)])
-            both = (np.append(at, starts), np.append(np.full(len(at), WINDOW), n), line, np.concatenate([keys, line_keys], 1).T)
-            parts.append((np.full(len(line), k), *both, np.concatenate([np.zeros((len(at), n_bands), np.uint64), band])))
-        of, start, n, line, key, band = (np.concatenate(x) for x in zip(*parts, strict=True))
-        of = pa.array(of)
-        out = {"doc_id": part.column(0).take(of), "version": part.column(1).take(of), "start": start.astype(np.int32), "n_words": n.astype(np.int32), "line": line}
-        key = np.ascontiguousarray(key.T).view(np.int64)
+        texts = batch_words(part.column(2))
+        offset = np.cumsum([0, *map(len, texts)])
+        counts = [[len(x.split()) for x in (text or "").encode().split(b"\n")] for text in part.column(2).to_pylist()]
+        # lines lie inside their texts, so those of all texts are found in one array
+        starts, n, line_keys, band = line_units(np.concatenate([np.empty(0, np.uint64), *texts]), np.array([x for c in counts for x in c], np.int64), n_bands, rows, min_line)
+        of_line = np.searchsorted(offset, starts, "right") - 1
+        chosen = windows(texts)
+        of_window = np.repeat(np.arange(len(texts)), [len(at) for at, _ in chosen])
+        at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in chosen)])
+        key = np.concatenate([np.empty((2, 0), np.uint64), *(k for _, k in chosen), line_keys], 1)
+        line = np.repeat([False, True], [len(at), len(starts)])
+        of = pa.array(np.append(of_window, of_line))
+        start, size = np.append(at, starts - offset[of_line]), np.append(np.full(len(at), WINDOW), n)
+        out = {"doc_id": part.column(0).take(of), "version": part.column(1).take(of), "start": start.astype(np.int32), "n_words": size.astype(np.int32), "line": line}
+        key, band = np.ascontiguousarray(key).view(np.int64), np.concatenate([np.zeros((len(at), n_bands), np.uint64), band])
         out |= {"key": key[0], "check": key[1]}
         return out | {c: pa.array(np.ascontiguousarray(band[:, k]).view(np.int64), mask=~line) for k, c in enumerate(names)}
 
