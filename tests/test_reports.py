@@ -148,3 +148,21 @@ def test_rolling_counts_on_a_stream(spark, tmp_path):
     out = rolling(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     out.writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.window.start.day, r.label, r.n) for r in spark.table("rolled").collect()) == [(1, "phishing", 1), (1, "safe", 2), (2, "safe", 1), (5, "safe", 1)]
+
+
+def test_brand_corpus(spark):
+    curated = [(f"http://a/{k}", "a", k) for k in range(10)] + [("http://b/1", "b", 1)]
+    live = [(f"http://live/{k}", "feed", "b", k) for k in range(5)] + [("http://c/1", "feed", "c", 1), ("http://b/1", "feed", "b", 9), ("http://a/99", "feed", "a", 1)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = corpus.brand_corpus(df([("http://b/1", "2020"), ("gone", "2020")], "url string, collected_at string"), df(curated, "url string, brand string, ord int"), df([("a", "co.th", 0), ("b", "go.th", 1)], "brand string, suffix string, idx int"), df(live, "url string, source string, brand string, ord int"), "2024")
+    got = {r.url: r for r in out.collect()}
+    n = collections.Counter(r.target_brand for r in got.values())
+    assert n == {"a": 8, "b": 8, "c": 1} and {u for u in got if u.startswith("http://a/")} == {f"http://a/{k}" for k in range(8)}
+    assert got["http://b/1"].source == "curated" and got["http://b/1"].collected_at == "2020" and "gone" not in got and "http://a/99" not in got
+    assert {"https://b-verify.top/login", "https://www.b.go.th.online/secure-update/auth", "https://b.go.th@click.com/login"} <= set(got)  # domains turn with brand and pattern
+
+
+def test_golden_verdicts(spark):
+    v = spark.createDataFrame([("a", "safe"), ("b", "suspicious"), ("c", "suspicious"), ("d", "phishing")], "url string, label string")
+    want = spark.createDataFrame([("a", "safe"), ("b", "phishing"), ("c", "safe"), ("d", "phishing"), ("none", "safe")], "url string, want string")
+    assert {r.url: r.passed for r in corpus.golden(v, want).collect()} == {"a": True, "b": True, "c": False, "d": True, "none": False}

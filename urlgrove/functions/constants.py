@@ -50,3 +50,9 @@ FEATURES = [
     "has_login_keyword", "has_suspicious_tld", "path_brand_hit", "path_length", "num_login_keywords", "query_param_count", "path_entropy", "host_token_count",
     "digit_to_letter_ratio", "cert_is_lets_encrypt", "cert_validity_days", "cert_san_count", "host_has_brand_and_suspicious_tld",
 ]
+# URLs that spoof a brand {b} with its own suffix {c} and a top-level domain {t}, and these domains in turn.
+BRAND_PATTERNS = [
+    "https://{b}-verify.{t}/login", "https://www.{b}.{c}.{t}/secure-update/auth", "https://login-{b}-2025.{t}/account/confirm", "https://{b}-{t}-secure.cc/verify-account",
+    "https://{b}-th-online.{t}/auth/signin", "http://{b}-{t}.top/account/update", "https://{b}.{c}@{t}.com/login", "https://{b}2025.{t}/account/recover",
+]
+SPOOF_TLDS = ["xyz", "top", "online", "cc", "shop", "site", "icu", "click", "vip", "cfd", "bond", "live"]

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.constants import CHEAP_TLDS
-
-#: URL patterns that the brand expansion uses unless others are given; {b} is the brand, {t} the top-level domain.
-TEMPLATES = ["https://{b}-login.{t}/signin", "https://secure-{b}.{t}/verify", "https://{b}.account-update.{t}/", "http://{b}-support.{t}/otp", "https://www.{b}.{t}/wallet/reset", "http://{t}-{b}.info/login", "https://{b}{t}.club/auth", "https://my{b}.{t}/session"]
-
+from ..functions.constants import BRAND_PATTERNS, CHEAP_TLDS, SPOOF_TLDS
 
 def hash_share(key: Column) -> Column:
     """A number from 0 to 2**32 - 1 by the key alone, the same in every engine that has MD5."""
@@ -54,12 +50,35 @@ def attack_pattern(netloc: Column, host: Column) -> Column:
     )
 
 
-def expand_brands(brands: DataFrame, tlds: list[str], templates: list[str] = TEMPLATES) -> DataFrame:
-    """``brands`` (brand, idx) by template; the top-level domain turns with brand and template."""
-    out = brands.select("brand", "idx", F.posexplode(F.array(*map(F.lit, templates))).alias("offset", "template"))
+def expand_brands(brands: DataFrame, tlds: list[str] = SPOOF_TLDS, templates: list[str] = BRAND_PATTERNS) -> DataFrame:
+    """brand, ord and url: ``brands`` (brand, suffix, idx) by template; the top-level domain turns with brand and template; the first of equal URLs stays."""
+    out = brands.select("brand", "suffix", "idx", F.posexplode(F.array(*map(F.lit, templates))).alias("offset", "url"))
     tld = F.element_at(F.array(*map(F.lit, tlds)), (F.pmod(F.col("idx") + F.col("offset"), F.lit(len(tlds))) + 1).cast("int"))
-    url = F.replace(F.replace("template", F.lit("{b}"), F.col("brand")), F.lit("{t}"), tld)
-    return first_wins(out.select("brand", (F.col("idx") * len(templates) + F.col("offset")).alias("ord"), url.alias("url")), "url", "ord")
+    for mark, value in (("{b}", F.col("brand")), ("{c}", F.col("suffix")), ("{t}", tld)):
+        out = out.withColumn("url", F.replace("url", F.lit(mark), value))
+    return first_wins(out.select("brand", (F.col("idx") * len(templates) + F.col("offset")).alias("ord"), "url"), "url", "ord")
+
+
+def brand_corpus(existing: DataFrame, curated: DataFrame, brands: DataFrame, live: DataFrame, today: str, cap: int = 8) -> DataFrame:
+    """url, label, source, target_brand and collected_at of a corpus built anew.
+
+    ``curated`` (url, brand, ord) comes before the expansion of ``brands`` (brand, suffix, idx), and a brand has ``cap`` of both at most; ``live`` (url, source,
+    brand, ord) fills what a brand's cap leaves. A curated URL beats a live one, and one that ``existing`` (url, collected_at) has keeps its date.
+    """
+    place = lambda p: F.struct(F.lit(p).alias("p"), F.col("ord").cast("long").alias("o")).alias("_place")
+    listed = curated.select("url", "brand", place(0)).unionByName(expand_brands(brands).select("url", "brand", place(1)))
+    listed = cap_per_brand(listed, "brand", "_place", cap)
+    used = listed.groupBy("brand").agg(F.count("*").alias("used"))
+    live = cap_per_brand(live.select("url", "source", "brand", "ord"), "brand", "ord", cap, used)
+    row = lambda df, source, order: first_wins(df, "url", order).select("url", F.lit(1).alias("label"), source.alias("source"), F.col("brand").alias("target_brand"), F.lit(today).alias("collected_at"))
+    return rebuild(existing, row(listed, F.lit("curated"), "_place"), row(live, F.col("source"), "ord"), "url", "collected_at")
+
+
+def golden(verdicts: DataFrame, expected: DataFrame) -> DataFrame:
+    """url, want, label and passed of each row of ``expected`` (url, want): suspicious will do for phishing; a URL without a verdict fails."""
+    out = expected.join(verdicts.select("url", "label"), "url", "left")
+    passed = (F.col("label") == F.col("want")) | ((F.col("want") == "phishing") & (F.col("label") == "suspicious"))
+    return out.select("url", "want", "label", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def histogram(df: DataFrame, dims: list[str], top: int = 12) -> DataFrame:

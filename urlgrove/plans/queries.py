@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.constants import LOGIN_KEYWORDS, SUSPICIOUS_TLDS
+from ..functions.constants import BRAND_PATTERNS, LOGIN_KEYWORDS, SPOOF_TLDS, SUSPICIOUS_TLDS
 from ..functions.urls import lexical, url_parts
 from ..operators import corpus
 from ..operators import verdicts as V
@@ -207,12 +207,39 @@ def corpus_split(spark, d):
     return corpus.split(views.urls(spark, d), "url", 0.3)
 
 
-@query(f"""WITH {BRANDS}, i AS (SELECT label AS brand, row_number() OVER (ORDER BY label) - 1 AS idx FROM trusted), o AS (SELECT *, unnest(range(8)) AS k FROM i),
-z AS (SELECT brand, idx * 8 + k AS ord, list_extract(['com', 'net', 'org', 'xyz', 'top'], CAST((idx + k) % 5 AS INTEGER) + 1) AS t, list_extract({listed(corpus.TEMPLATES)}, CAST(k AS INTEGER) + 1) AS tpl FROM o)
-SELECT brand, ord, replace(replace(tpl, '{{b}}', brand), '{{t}}', t) AS url FROM z QUALIFY row_number() OVER (PARTITION BY replace(replace(tpl, '{{b}}', brand), '{{t}}', t) ORDER BY ord) = 1""")
-def brand_expansion(spark, d):
+EXPANDED = f"""i AS (SELECT label AS brand, row_number() OVER (ORDER BY label) - 1 AS idx FROM trusted), o AS (SELECT *, unnest(range({len(BRAND_PATTERNS)})) AS k FROM i),
+z AS (SELECT brand, idx * {len(BRAND_PATTERNS)} + k AS ord, replace(replace(replace(list_extract({listed(BRAND_PATTERNS)}, CAST(k AS INTEGER) + 1), '{{b}}', brand), '{{c}}', 'co.th'), '{{t}}', list_extract({listed(SPOOF_TLDS)}, CAST((idx + k) % {len(SPOOF_TLDS)} AS INTEGER) + 1)) AS url FROM o),
+expanded AS (SELECT brand, ord, url FROM z QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)"""
+
+
+def listed_brands(spark, d):
     idx = F.row_number().over(W.orderBy("domain")) - 1  # a place in the list of trusted domains, a dimension table; sorted by domain, hence by label
-    return corpus.expand_brands(views.trusted(spark, d).select(F.col("label").alias("brand"), idx.alias("idx")), ["com", "net", "org", "xyz", "top"])
+    return views.trusted(spark, d).select(F.col("label").alias("brand"), F.lit("co.th").alias("suffix"), idx.alias("idx"))
+
+
+@query(f"WITH {BRANDS}, {EXPANDED} SELECT * FROM expanded")
+def brand_expansion(spark, d):
+    return corpus.expand_brands(listed_brands(spark, d))
+
+
+CORPUS = f"""{EXPANDED}, cur AS (SELECT * FROM (SELECT url, brand, 0 AS p, page_id AS ord FROM b WHERE page_id % 7 = 0 UNION ALL SELECT url, brand, 1, ord FROM expanded) QUALIFY row_number() OVER (PARTITION BY brand ORDER BY p, ord) <= 8),
+used AS (SELECT brand, count(*) AS used FROM cur GROUP BY 1), lv AS (SELECT url, brand, page_id FROM b LEFT JOIN used USING (brand) WHERE page_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY brand ORDER BY page_id) + coalesce(used, 0) <= 8),
+each AS (SELECT url, 'curated' AS source, brand AS target_brand, p, ord FROM cur UNION ALL SELECT url, 'live', brand, 2, page_id FROM lv),
+one AS (SELECT url, 1 AS label, source, target_brand FROM each QUALIFY row_number() OVER (PARTITION BY url ORDER BY p, ord) = 1),
+corpus AS (SELECT one.*, CASE WHEN url IN (SELECT url FROM b WHERE page_id % 2 = 0) THEN '2023-12-01' ELSE '2024-01-31' END AS collected_at FROM one)"""
+
+
+@query(f"WITH {BRANDS}, {CORPUS} SELECT * FROM corpus")
+def brand_corpus(spark, d):
+    """A corpus of pages' URLs and of spoofed ones, some seen before."""
+    b = url_parts(views.urls(spark, d)).select("page_id", "url", F.element_at("labels", -2).alias("brand"), F.col("page_id").alias("ord"), F.lit("live").alias("source"))
+    old = b.where("page_id % 2 = 0").select("url", F.lit("2023-12-01").alias("collected_at"))
+    return corpus.brand_corpus(old, b.where("page_id % 7 = 0"), listed_brands(spark, d), b.where("page_id % 3 = 1"), "2024-01-31")
+
+
+@query(f"WITH {BRANDS}, {CORPUS} SELECT source, count(*) AS n FROM corpus GROUP BY 1")
+def corpus_sources(spark, d):
+    return brand_corpus(spark, d).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {PARTS}, h AS (SELECT DISTINCT host FROM p WHERE page_id % 3 = 0), n AS (SELECT DISTINCT host FROM p)

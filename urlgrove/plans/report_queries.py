@@ -104,3 +104,12 @@ def delivery_page(spark, d):
 @query(f"""WITH {PARTS} SELECT page_id, CASE WHEN length(url) > 24 THEN substr(url, 1, 24) || '…' ELSE url END AS shown FROM urls""")
 def shortened_urls(spark, d):
     return views.urls(spark, d).select("page_id", corpus.shortened(F.col("url"), 24).alias("shown"))
+
+
+@query(f"""WITH {VERDICTS}, {SCORED}, x AS (SELECT url, CASE WHEN min(page_id) % 27 = 0 THEN 'safe' ELSE 'phishing' END AS want FROM shaped WHERE page_id % 27 = 0 OR page_id % 9 IN (1, 3) GROUP BY url)
+SELECT x.url, want, label, label = want OR (want = 'phishing' AND label = 'suspicious') AS passed FROM x JOIN lb USING (url)""")
+def golden_verdicts(spark, d):
+    """Known pages are safe, and hosts hidden behind @ or bare addresses at least suspicious."""
+    k = F.col("page_id")
+    x = views.shaped(spark, d).where((k % 27 == 0) | (k % 9).isin(1, 3)).groupBy("url").agg(F.when(F.min("page_id") % 27 == 0, "safe").otherwise("phishing").alias("want"))
+    return corpus.golden(views.kept(spark, d, "scored-urls", lambda: scored_urls(spark, d)), x)
