@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
-from .store import Scratch, pick, ranked
+from .store import Scratch, pick, ranked, unused
 
 PLACE = ["doc_id", "version", "pos"]
 SOURCE = ["source_doc_id", "source_version", "source_pos"]
@@ -108,14 +108,15 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> Data
 def delete_runs(docs: DataFrame, scratch: Scratch, min_lines: int = 2) -> DataFrame:
     """``docs`` without the later copies; documents of which no line is left go; n_chars follows the text."""
     runs = scratch.save(repeated_runs(docs, scratch, min_lines), "runs")
-    by_doc = runs.groupBy(F.col("doc_id").alias("__cut_doc"), F.col("version").alias("__cut_version")).agg(F.collect_list(F.struct("first_line", "n_lines")).alias("__cut_runs"))
-    joined = docs.join(scratch.save(by_doc, "by-doc"), (F.col("doc_id") == F.col("__cut_doc")) & (F.xxhash64("text") == F.col("__cut_version")), "left").drop("__cut_doc", "__cut_version")
+    of, version, own = unused(docs, "cut_doc", "cut_version", "cut_runs")
+    by_doc = runs.groupBy(F.col("doc_id").alias(of), F.col("version").alias(version)).agg(F.collect_list(F.struct("first_line", "n_lines")).alias(own))
+    joined = docs.join(scratch.save(by_doc, "by-doc"), (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(version)), "left").drop(of, version)
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         texts, gone = [], set()
-        for k, (text, cut) in enumerate(zip(cols["text"], cols["__cut_runs"], strict=True)):
+        for k, (text, cut) in enumerate(zip(cols["text"], cols[own], strict=True)):
             if cut:
                 drop, kept, at = {p for r in cut for p in range(r["first_line"], r["first_line"] + r["n_lines"])}, [], 0
                 for line in text.split("\n"):

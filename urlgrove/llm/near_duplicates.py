@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .arrow import map_groups, map_rows, map_slices
 from .components import components
 from .shingles import linked, minhash, shingle_set, shingle_sets
-from .store import Scratch, pick, small
+from .store import Scratch, pick, small, unused
 
 
 def miss(similarity: float, trees: int, branch: int, depth: int) -> float:
@@ -254,6 +254,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each group stays; columns and all other documents as they are."""
     scratch = Scratch(docs.sparkSession, "gone")
     found = classes(docs, scratch, **options)
-    gone = found.where(F.struct("doc_id", "version") != F.col("keep")).select(F.col("doc_id").alias("__gone_doc"), F.col("version").alias("__gone_version")).distinct()
+    of, version = unused(docs, "gone_doc", "gone_version")
+    gone = found.where(F.struct("doc_id", "version") != F.col("keep")).select(F.col("doc_id").alias(of), F.col("version").alias(version)).distinct()
     gone = small(scratch.save(gone, "ids"))
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone_doc")) & (F.xxhash64("text") == F.col("__gone_version")), "left_anti")
+    return docs.join(gone, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(version)), "left_anti")

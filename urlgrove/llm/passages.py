@@ -33,7 +33,7 @@ from .arrow import map_groups, map_rows, map_slices
 from .components import components
 from .near_duplicates import Forest
 from .shingles import batch_words, linked, mix, permutations, shingle_hashes
-from .store import Scratch, pick, ranked, small
+from .store import Scratch, pick, ranked, small, unused
 
 #: Every shared passage of this many words is found: the window plus the winnowing guarantee.
 WINDOW, PASSAGE = 32, 50
@@ -378,14 +378,15 @@ def cut(text: str, spans: list[dict]) -> str:
 def delete_passages(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """``docs`` with the later copies cut out of the texts; every document stays, n_chars follows the text."""
     spans = scratch.save(repeated_spans(docs, scratch, **options), "spans")
-    by_doc = spans.groupBy(F.col("doc_id").alias("__cut_doc"), F.col("version").alias("__cut_version")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cut_spans"))
+    of, version, cuts = unused(docs, "cut_doc", "cut_version", "cut_spans")
+    by_doc = spans.groupBy(F.col("doc_id").alias(of), F.col("version").alias(version)).agg(F.collect_list(F.struct("start", "n_words")).alias(cuts))
     by_doc = scratch.save(by_doc, "by-doc")
     names, fields = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        texts = [cut(t, s) if s and t else t for t, s in zip(cols["text"], cols["__cut_spans"], strict=True)]
+        texts = [cut(t, s) if s and t else t for t, s in zip(cols["text"], cols[cuts], strict=True)]
         sizes = {"n_chars": [None if t is None else len(t) for t in texts]} if "n_chars" in names else {}
         return {c: cols[c] for c in names} | {"text": texts} | sizes
 
-    own = (F.col("doc_id") == F.col("__cut_doc")) & (F.xxhash64("text") == F.col("__cut_version"))
-    return map_rows(docs.join(by_doc, own, "left").drop("__cut_doc", "__cut_version"), run, fields)
+    own = (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(version))
+    return map_rows(docs.join(by_doc, own, "left").drop(of, version), run, fields)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices, slices, tidy
 from .shingles import mix, numbered, word_hashes
-from .store import Scratch, pick, small
+from .store import Scratch, pick, small, unused
 
 #: Runs of marks are words of their own.
 MARKS = r"([^\pL\pN\pM_\s]+)"
@@ -214,6 +214,7 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents drawn, with their own columns. Documents without doc_id stay."""
-    gone = draw(docs, labels, **options).where("not drawn and doc_id is not null").select(F.col("doc_id").alias("__gone_doc"), F.col("version").alias("__gone_version")).distinct()
+    of, version = unused(docs, "gone_doc", "gone_version")
+    gone = draw(docs, labels, **options).where("not drawn and doc_id is not null").select(F.col("doc_id").alias(of), F.col("version").alias(version)).distinct()
     gone = small(Scratch(docs.sparkSession, "gone").save(gone, "ids"))
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone_doc")) & (F.xxhash64("text") == F.col("__gone_version")), "left_anti")
+    return docs.join(gone, (F.col("doc_id") == F.col(of)) & (F.xxhash64("text") == F.col(version)), "left_anti")

@@ -110,4 +110,13 @@ def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as keep them apart from the columns of ``df``."""
+    have = {c.lower() for c in df.columns}
+    tail = ""
+    while any((n + tail).lower() in have for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 BINARY, LONG, INT, STRING = T.BinaryType(), T.LongType(), T.IntegerType(), T.StringType()
