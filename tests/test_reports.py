@@ -166,3 +166,30 @@ def test_golden_verdicts(spark):
     v = spark.createDataFrame([("a", "safe"), ("b", "suspicious"), ("c", "suspicious"), ("d", "phishing")], "url string, label string")
     want = spark.createDataFrame([("a", "safe"), ("b", "phishing"), ("c", "safe"), ("d", "phishing"), ("none", "safe")], "url string, want string")
     assert {r.url: r.passed for r in corpus.golden(v, want).collect()} == {"a": True, "b": True, "c": False, "d": True, "none": False}
+
+
+def test_overrides_of_labelled_rows(spark):
+    from urlgrove.operators.observations import with_overrides
+
+    rows = spark.createDataFrame([("a", 5, None, None), ("b", None, 1, 90), ("c", None, None, None), ("d", 7, 0, None)], "url string, domain_age_days int, has_valid_cert int, cert_validity_days int")
+    got = {r.url: (r.domain_age_days, r.whois_ok, r.is_known_registrar, r.has_valid_cert, r.tls_ok, r.cert_validity_days, r.cert_san_count) for r in with_overrides(rows).collect()}
+    assert got == {"a": (5, 1, 0, 0, 0, -1, -1), "b": (-1, 0, 0, 1, 1, 90, -1), "c": (-1, 0, 0, 0, 0, -1, -1), "d": (7, 1, 0, 0, 1, -1, -1)}
+    said = spark.createDataFrame([("a", "5", "0", "")], "url string, domain_age_days string, whois_ok string, tls_ok string").replace("", None)
+    assert with_overrides(said).first().whois_ok == 0
+
+
+def test_one_document_of_an_evaluation(spark):
+    import json
+
+    df = spark.createDataFrame([(1, 0.9, "p"), (0, 0.2, "q"), (1, 0.1, "p"), (1, 0.8, "q")], "y int, score double, g string")
+    body = json.loads(evaluation.summary_document(evaluation.class_report(df, "y", "score"), evaluation.cohort_summary(df.where("y = 1"), "g"), "g", "p", "q").first().body)
+    assert [c["name"] for c in body["classes"]] == ["accuracy", "legitimate", "macro avg", "phishing", "weighted avg"]
+    assert [c["g"] for c in body["cohorts"]] == ["p", "q"] and body["alignment"] == {"primary": 0.5, "secondary": 1.0, "alignment": -0.5}
+
+
+def test_pages_that_were_not_served_say_nothing(spark):
+    from urlgrove.operators import rules
+
+    trusted = spark.createDataFrame([("mybank.co.th", "mybank")], "domain string, label string")
+    df = spark.createDataFrame([(1, "x.top", "x.top", "<title>mybank</title>", 200), (2, "x.top", "x.top", "<title>mybank</title>", 404), (3, "x.top", "x.top", "<title>mybank</title>", None)], "page_id int, host string, netloc string, html string, status int")
+    assert {r.page_id: r.content_delta for r in rules.content_adjustment(df, trusted, "page_id").collect()} == {1: 0.15, 2: 0.0, 3: 0.0}

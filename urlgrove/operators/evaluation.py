@@ -64,6 +64,15 @@ def alignment(summary: DataFrame, cohort: str, primary: str, secondary: str) ->
     return summary.agg(of(primary).alias("primary"), of(secondary).alias("secondary")).withColumn("alignment", F.round(F.col("primary") - F.col("secondary"), 4))
 
 
+def summary_document(report: DataFrame, cohorts: DataFrame, cohort: str, primary: str, secondary: str) -> DataFrame:
+    """One JSON text of an evaluation: the classes, the cohorts by name, and the alignment of two of them. A row a class and a cohort."""
+    classes = report.agg(F.sort_array(F.collect_list(F.struct(*report.columns))).alias("classes"))
+    names = [cohort, *(c for c in cohorts.columns if c != cohort)]
+    held = cohorts.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("cohorts"))
+    fit = alignment(cohorts, cohort, primary, secondary).select(F.struct("primary", "secondary", "alignment").alias("alignment"))
+    return classes.crossJoin(held).crossJoin(fit).select(F.to_json(F.struct("classes", "cohorts", "alignment")).alias("body"))
+
+
 MISS_FIELDS = ["url", "score", "closest_domain", "min_edit_distance", "is_typosquat", "has_punycode", "has_mixed_script", "tld_type"]
 
 

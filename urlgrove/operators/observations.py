@@ -16,6 +16,26 @@ def cert_time(text):
     return F.try_to_timestamp(F.regexp_replace(text, " +", " "), F.lit(CERT_TIME))
 
 
+#: Network columns that a labelled row may bring itself, with the value of an unknown one: those of registration, then those of the certificate.
+REGISTRATION = {"domain_age_days": -1, "is_known_registrar": 0, "whois_ok": 0}
+CERTIFICATE = {"has_valid_cert": 0, "cert_age_days": -1, "is_self_signed": 0, "tls_ok": 0, "cert_is_lets_encrypt": 0, "cert_validity_days": -1, "cert_san_count": -1}
+
+
+def with_overrides(rows: DataFrame) -> DataFrame:
+    """Network columns of labelled rows, as doubles: their own values (null or absent: not given), else those of an unknown host.
+
+    A row without domain_age_days has no registration at all, one without has_valid_cert no certificate; a row with it counts as looked up unless it says otherwise.
+    """
+    given = lambda c: F.col(f"`{c}`").cast("double") if c in rows.columns else F.lit(None).cast("double")
+
+    def block(lead: str, ok: str, defaults: dict[str, int]) -> list:
+        there = given(lead).isNotNull()
+        return [F.when(there, F.coalesce(given(c), F.lit(1.0 if c == ok else float(v)))).otherwise(float(v)).alias(c) for c, v in defaults.items()]
+
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in REGISTRATION | CERTIFICATE]
+    return rows.select(*keep, *block("domain_age_days", "whois_ok", REGISTRATION), *block("has_valid_cert", "tls_ok", CERTIFICATE))
+
+
 def with_observations(urls: DataFrame, whois: DataFrame, tls: DataFrame, as_of: str) -> DataFrame:
     """Registration and certificate columns by host; imputed values where a host wasn't observed. At most one observation a host.
 

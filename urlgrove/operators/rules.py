@@ -51,9 +51,10 @@ def final_score(df: DataFrame, base: str = "base_score") -> DataFrame:
 def content_adjustment(df: DataFrame, trusted: DataFrame, key: str, least: int = 4) -> DataFrame:
     """Add content_delta from ``html``, ``host`` and ``netloc``: a brand in the title but not in the host, a password field, an official suffix in the title.
 
-    Private hosts and pages without html give 0. Brands are looked up in titles by keys, so their number has no bound.
+    Private hosts and pages without html give 0, and so do pages whose ``status``, if there is one, isn't 2xx. Brands are looked up in titles by keys, so their number has no bound.
     """
-    page = F.substring("html", 1, 65536)
+    html = F.when(F.col("status").between(200, 299), F.col("html")) if "status" in df.columns else F.col("html")
+    page = F.substring(html, 1, 65536)
     title = F.trim(F.lower(F.regexp_extract(page, TITLE, 1)))
     df = df.withColumns({"_title": F.coalesce(title, F.lit("")), "_asks": F.coalesce(page.rlike(PASSWORD_FIELD), F.lit(False)), "_place": F.coalesce(F.regexp_replace(F.lower("netloc"), r"^www\.", ""), F.lit(""))})
     out = foreign_word(df, "_title", "_place", trusted, "label", least)

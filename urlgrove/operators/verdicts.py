@@ -77,6 +77,20 @@ def campaigns(v: DataFrame, labels: list[str], min_count: int = 1) -> DataFrame:
     return out.where(F.col("url_count") >= min_count)
 
 
+def found_campaigns(rollup: DataFrame, min_count: int = 1, brand: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of campaigns of at least ``min_count`` URLs whose brand domain matches (any case, % and _ as in ILIKE), last seen first, with their total."""
+    found = rollup.where(F.col("url_count") >= min_count)
+    found = found if brand is None else found.where(F.split_part("fingerprint", F.lit("|"), F.lit(1)).ilike(f"%{brand}%"))
+    return page(found, {}, [F.desc("last_seen"), "fingerprint"], limit, offset)
+
+
+def checks_by_cache(v: DataFrame, seconds: int = 60) -> DataFrame:
+    """label, cached and n: a check is answered from the cache where its URL was stored less than ``seconds`` before."""
+    stored = ttl_first(v, "url", "checked_at", seconds).select(F.col("url").alias("_u"), F.col("ts").alias("_t"), F.lit(True).alias("_first"))
+    out = v.select("url", "label", "checked_at").join(stored, (F.col("url") == F.col("_u")) & (F.col("checked_at") == F.col("_t")), "left")
+    return out.groupBy("label", F.col("_first").isNull().alias("cached")).agg(F.count("*").alias("n"))
+
+
 def history(v: DataFrame, label: str | None = None, search: str | None = None, start: str | None = None, end: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     if label:
         v = v.where(F.col("label") == label)

@@ -10,7 +10,7 @@ from ..operators import verdicts as V
 from ..operators.rules import evaluate, final_score
 from . import views
 from .queries import query
-from .views import AS_OF, FEEDBACK, PARTS, SHAPE, VERDICTS
+from .views import AS_OF, CAMPAIGNS, FEEDBACK, PARTS, SHAPE, VERDICTS
 
 U = lambda what: f"CAST('0x' || substr(md5('2026|' || name || '|{what}'), 1, 13) AS BIGINT) / 4503599627370496.0"
 ENDS = [sum(replay.HOURS[: k + 1]) for k in range(24)]
@@ -113,3 +113,16 @@ def golden_verdicts(spark, d):
     k = F.col("page_id")
     x = views.shaped(spark, d).where((k % 27 == 0) | (k % 9).isin(1, 3)).groupBy("url").agg(F.when(F.min("page_id") % 27 == 0, "safe").otherwise("phishing").alias("want"))
     return corpus.golden(views.kept(spark, d, "scored-urls", lambda: scored_urls(spark, d)), x)
+
+
+@query(f"""WITH {VERDICTS}, {CAMPAIGNS}, f AS (SELECT * FROM campaigns WHERE url_count >= 30 AND split_part(fingerprint, '|', 1) ILIKE '%TH%')
+SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY last_seen DESC, fingerprint LIMIT 10 OFFSET 3""")
+def campaign_search(spark, d):
+    return V.found_campaigns(V.campaigns(views.verdicts(spark, d), ["phishing", "suspicious"]), 30, "TH", 10, 3)
+
+
+@query(f"""WITH RECURSIVE {VERDICTS}, ck AS MATERIALIZED (SELECT DISTINCT url, checked_at AS ts FROM verdicts), cr AS (SELECT url, min(ts) AS ts FROM ck GROUP BY 1
+ UNION ALL SELECT cr.url, (SELECT min(ck.ts) FROM ck WHERE ck.url = cr.url AND ck.ts >= cr.ts + INTERVAL 259200 SECOND) AS ts FROM cr WHERE cr.ts IS NOT NULL)
+SELECT label, cr.url IS NULL AS cached, count(*) AS n FROM verdicts v LEFT JOIN cr ON cr.url = v.url AND cr.ts = v.checked_at GROUP BY 1, 2""")
+def cached_checks(spark, d):
+    return V.checks_by_cache(views.verdicts(spark, d), 259200)
