@@ -47,7 +47,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
         for batch in batches:
             for part in slices(batch, rows, size):
                 out = fn(part)
-                arrays = [v if isinstance(v := out[f.name], pa.Array) and v.type == f.type else pa.array(v, type=f.type) for f in target]
+                arrays = [(v if v.type == f.type else v.cast(f.type)) if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
         tidy()
 

@@ -26,7 +26,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import map_groups, map_rows, map_slices
@@ -246,37 +248,28 @@ def similar_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, percent:
     return same.unionByName(scratch.save(map_groups(dealt, ["band", "pair"], block, "a long, b long"), "more"))
 
 
-SPAN = "doc_id long, version long, start int, n_words int, keep_doc_id long, cluster_id long"
 REMOVAL = ["doc_id", "version", "start", "n_words", "keep_doc_id", "cluster_id"]
 
 
-def merge(rows: list[dict]) -> list[dict]:
-    """Spans of one document: overlapping and adjacent removals joined; the first one's cluster and keeper stand for the span."""
-    out: list[dict] = []
-    for r in sorted(rows, key=lambda r: (r["start"], -r["n_words"])):
-        if out and r["start"] <= out[-1]["start"] + out[-1]["n_words"]:
-            out[-1]["n_words"] = max(out[-1]["n_words"], r["start"] + r["n_words"] - out[-1]["start"])
-        else:
-            out.append({k: r[k] for k in REMOVAL})
-    return out
-
+def merge(removals: DataFrame) -> DataFrame:
+    """Spans of each document: overlapping and adjacent removals joined; the first one's cluster and keeper stand for the span. A window holds the rows of one document."""
+    end = F.col("start") + F.col("n_words")
+    before = W.partitionBy(*DOC).orderBy("start", F.desc("n_words"))
+    fresh = F.coalesce(F.col("start") > F.max(end).over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    spans = removals.withColumn("fresh", fresh).withColumn("span", F.sum(F.col("fresh").cast("int")).over(before.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min(F.when(F.col("fresh"), F.struct("start", "keep_doc_id", "cluster_id"))).alias("f")
+    return spans.groupBy(*DOC, "span").agg(first, F.max(end).alias("end")).select(*DOC, "f.start", (F.col("end") - F.col("f.start")).cast("int").alias("n_words"), "f.keep_doc_id", "f.cluster_id")
 
-def edges(rows: list[dict]) -> list[dict]:
-    """The removed windows of one document that lie within REACH of an end of their run: a common passage may go on beyond it."""
-    out, run = [], []
 
-    def flush() -> None:
-        first, last = run[0]["start"], run[-1]["start"]
-        for r in run:
-            out.extend({"cluster_id": r["cluster_id"], "check": r["check"], "side": side} for side, far in ((-1, r["start"] - first), (1, last - r["start"])) if far < REACH)
-
-    for r in sorted(rows, key=lambda r: r["start"]):
-        if run and r["start"] > run[-1]["start"] + WINDOW:
-            flush()
-            run = []
-        run.append(r)
-    flush()
-    return out
+def edges(windows: DataFrame) -> DataFrame:
+    """(cluster_id, check, side) of the removed windows that lie within REACH of an end of their run in a document: a common passage may go on beyond it."""
+    own = W.partitionBy(*DOC).orderBy("start")
+    fresh = F.coalesce(F.col("start") > F.lag("start").over(own) + WINDOW, F.lit(True))
+    runs = windows.select(*DOC, "start", "cluster_id", "check", fresh.cast("int").alias("fresh")).withColumn("run", F.sum("fresh").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    of_run = W.partitionBy(*DOC, "run")
+    sides = F.array_compact(F.array(F.when(F.col("start") - F.min("start").over(of_run) < REACH, -1), F.when(F.max("start").over(of_run) - F.col("start") < REACH, 1)))
+    ends = runs.withColumn("sides", sides).select("cluster_id", "check", F.explode("sides").alias("side"))
+    return ends.distinct()
 
 
 def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
@@ -284,25 +277,31 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
 
     Any earlier document counts, not the keeper alone, as a longer passage may be shared with a later one than it.
     """
-    at = scratch.save(map_groups(held.where(LATER).select(*DOC, "start", "cluster_id", "check"), DOC, edges, "cluster_id long, check long, side int", ["start"]).distinct(), "edges")
+    at = scratch.save(edges(held.where(LATER)), "edges")
     fields = ["start", "cluster_id", "check", "keep_doc_id", "keep_version", "side", "nr"]
     open_ends = scratch.save(held.join(at, ["cluster_id", "check"]).select(*DOC, *fields[:-1]), "open-ends")
     # documents by number in their order: the least of many is a long, which is hashed, where a struct would be sorted
     numbers = ranked(open_ends.select(*DOC).distinct().withColumn("one", F.lit(1).cast("long")), DOC, "one", "nr", scratch, "named").drop("one")
     open_ends = open_ends.join(small(scratch.save(numbers, "numbers")), DOC)
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out = {k: [] for k in (*DOC, *fields, "near")}
-        for doc, version, hashes, ends in zip(cols["doc_id"], cols["version"], batch_words(cols["text"]), cols["asked"], strict=True):
-            hashes = hashes.view(np.int64)
-            for x in ends:
-                at = x["start"]
-                near = hashes[max(0, at - REACH) : at][::-1] if x["side"] < 0 else hashes[at + WINDOW : at + WINDOW + REACH]
-                for c, v in (("doc_id", doc), ("version", version), ("near", near.tolist()), *((c, x[c]) for c in fields)):
-                    out[c].append(v)
-        return out
-
-    seen = map_rows(texts_of(docs, open_ends, fields), run, "doc_id long, version long, start int, cluster_id long, check long, keep_doc_id long, keep_version long, side int, nr long, near array<long>")
+    def run(part: pa.RecordBatch) -> dict:
+        col = dict(zip(part.schema.names, part.columns, strict=True))
+        asked = col["asked"].flatten()
+        of = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(col["asked"]), 0).to_numpy(zero_copy_only=False))
+        texts = batch_words(col["text"])
+        flat, offset = np.concatenate([np.empty(0, np.uint64), *texts]).view(np.int64), np.cumsum([0, *map(len, texts)])
+        left = asked.field("side").to_numpy(zero_copy_only=False) < 0
+        at = asked.field("start").to_numpy(zero_copy_only=False) + offset[of]
+        # from the word beside the window outwards, up to the text's end
+        step, first = np.where(left, -1, 1), np.where(left, at - 1, at + WINDOW)
+        size = np.clip(np.where(left, at - offset[of], offset[of + 1] - at - WINDOW), 0, REACH)
+        ends = np.append(0, np.cumsum(size))
+        place = np.repeat(first, size) + np.repeat(step, size) * (np.arange(ends[-1]) - np.repeat(ends[:-1], size))
+        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[place] if ends[-1] else np.empty(0, np.int64)))
+        rows = pa.array(of)
+        return {c: col[c].take(rows) for c in DOC} | {c: asked.field(c) for c in fields} | {"near": near}
+
+    seen = map_slices(texts_of(docs, open_ends, fields), run, "doc_id long, version long, start int, cluster_id long, check long, keep_doc_id long, keep_version long, side int, nr long, near array<long>")
     seen = scratch.save(seen.withColumn("around", F.xxhash64("near")), "around")
     # equal surroundings collapse; each length of what is left is looked up in the first document that has it
     of = ["cluster_id", "check", "side"]
@@ -356,7 +355,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall:
     removals = held.where(LATER)
     wide = widened(docs, held.where("not line"), scratch)
     removals = removals.select(*REMOVAL).unionByName(wide)
-    return map_groups(removals, DOC, merge, SPAN, ["start"])
+    return merge(removals)
 
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
