@@ -44,7 +44,7 @@ FEEDS = [
 ]
 
 
-@pytest.mark.parametrize("table", ["verdicts", "campaigns", "alerts", "polls", "ledger", "commits"])
+@pytest.mark.parametrize("table", ["verdicts", "campaigns", "alerts", "ledger", "commits"])
 def test_a_crash_after_any_write(spark, tmp_path, table):
     whole, hurt, fails = f"{tmp_path}/a", f"{tmp_path}/b", [1]
 

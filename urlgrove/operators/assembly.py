@@ -41,7 +41,7 @@ class Cohort:
             raise ValueError(f"cohort {self.name} needs a share of train or of holdout, and not both")
 
 
-#: Cohorts of the reference assembly: a brand corpus, a snapshot of generic phishing with few rows for training, feeds, and feed rows that aim at watched brands, which never train.
+#: The usual cohorts: a brand corpus, a snapshot of generic phishing with few rows for training, feeds, and feed rows that aim at watched brands, which never train.
 COHORTS = [Cohort("seed", train=0.7), Cohort("generic", train=0.7, cap=90), Cohort("feed", holdout=0.3), Cohort("targeted", train=0.0)]
 
 
