@@ -40,3 +40,17 @@ def test_another_contract_is_refused(spark, tmp_path):
         load(spark, str(tmp_path / "v"), "2")
     store(df.limit(0), str(tmp_path / "e"), "1")
     assert load(spark, str(tmp_path / "e"), "1").count() == 0
+
+
+def test_tables_of_a_batch_go_with_it(spark):
+    from urlgrove.tables import exists, stored, temporary
+
+    path = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    with temporary(spark):
+        inner = path(stored(spark.range(3).toDF("x"), "t"))
+        with pytest.raises(ZeroDivisionError), temporary(spark):
+            lost = path(stored(spark.range(3).toDF("x"), "t"))
+            1 / 0  # noqa: B018
+        assert exists(spark, inner) and not exists(spark, lost)
+    kept = path(stored(spark.range(3).toDF("x"), "t"))
+    assert not exists(spark, inner) and exists(spark, kept)

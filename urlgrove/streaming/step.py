@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_parts
 from ..operators import verdicts as V
 from ..sinks.tables import alert_payload
-from ..tables import exists
+from ..tables import exists, temporary
 from .ingest import _named_once, new_only
 
 #: Hexadecimal digits of a ledger's bucket; 256 buckets.
@@ -124,8 +124,9 @@ def ingest_feeds(
         df = df.persist()
         hashes = df.select(F.sha2("url", 256).alias("url_hash"))
         fresh = new_only(df, seen_before(spark, root, hashes, run(), n), per_source)
-        scored = score(fresh).where("score is not null").withColumns({"checked_at": F.lit(at).cast("timestamp"), "model_version": F.lit(version)}).persist()
-        write_batch(tables_of(scored, df, watch(), at), root, run(), n, version, lambda table: wrote(n, table))
+        with temporary(spark):
+            scored = score(fresh).where("score is not null").withColumns({"checked_at": F.lit(at).cast("timestamp"), "model_version": F.lit(version)}).persist()
+            write_batch(tables_of(scored, df, watch(), at), root, run(), n, version, lambda table: wrote(n, table))
         scored.unpersist()
         df.unpersist()
 
