@@ -13,7 +13,7 @@ from ..operators import verdicts as V
 from ..sinks import tables as sinks
 from . import views
 from .queries import query
-from .views import AS_OF, BRANDS, FEEDBACK, IP, PARTS, SHAPED, TH, VERDICTS, listed, shaped
+from .views import AS_OF, BRANDS, FEEDBACK, IP, PARTS, SHAPED, TH, VERDICTS, shaped
 
 @query(f"""WITH {PARTS}, {SHAPED} SELECT page_id, CAST({IP} AS INT) AS has_ip, CAST(regexp_matches(netloc, ':8443$') AS INT) AS has_port, CAST(contains(host, 'xn--') AS INT) AS has_punycode,
  length(url) - length(replace(url, '@', '')) AS num_at, CASE WHEN {IP} THEN 0 ELSE greatest(0, len(string_split(host, '.')) - CASE WHEN host LIKE '%.go.th' THEN 3 ELSE 2 END) END AS num_subdomains,
