@@ -149,3 +149,10 @@ def test_models_are_promoted_by_the_gate(spark, tmp_path):
     assert len(training.promoted(spark, str(tmp_path), ["x"])) == 2
     with pytest.raises(ValueError):
         training.promoted(spark, str(tmp_path), ["x", "z"])
+
+
+def test_history_and_batch_exports(spark):
+    rows = spark.createDataFrame([(1, 5, 'http://a/,"x"', "phishing", 0.7, None, None, "two\nlines"), (2, 6, "http://b", "safe", 1.0, "b.com", 2, None)], "ord long, s long, url string, label string, score double, closest_domain string, edit_distance int, reason string").withColumn("checked_at", F.timestamp_seconds("s"))
+    lines = lambda df: [r.line for r in df.orderBy("ord").collect()]
+    assert lines(S.history_csv(rows)) == ["checked_at,url,label,score,closest_domain,edit_distance,reason", '1970-01-01T00:00:05Z,"http://a/,""x""",phishing,0.7,,,"two\nlines"', "1970-01-01T00:00:06Z,http://b,safe,1,b.com,2,"]
+    assert lines(S.history_csv(rows, S.BULK_FIELDS))[2] == "http://b,safe,1,b.com,2,"

@@ -79,15 +79,25 @@ def feed_document(rows: DataFrame, generated_at: str, hours: int) -> DataFrame:
     return listed.select(F.to_json(body).alias("body"))
 
 
-def csv_lines(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(ord, line): a header after a byte order mark, then rows by their ``ord``; scores with four digits, quotes doubled."""
-    shown = {"score": F.format_string("%.4f", "score")}
+HISTORY_FIELDS = ["checked_at", "url", "label", "score", "closest_domain", "edit_distance", "reason"]
+BULK_FIELDS = HISTORY_FIELDS[1:]
+
+
+def csv_lines(rows: DataFrame, fields: list[str], feed: bool = True) -> DataFrame:
+    """(ord, line): a header, then rows by their ``ord``; quotes doubled, nulls blank. A feed has a byte order mark and scores with four digits, other exports have neither."""
+    shown = {"score": F.format_string("%.4f", "score") if feed else F.regexp_replace(F.col("score").cast("string"), r"\.0$", "")}
     plain = lambda c: F.coalesce(shown.get(c, F.col(c)).cast("string"), F.lit(""))
     quoted = lambda c: F.when(plain(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(plain(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(plain(c))
-    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("ord"), F.lit(BOM + ",".join(fields)).alias("line"))
+    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("ord"), F.lit(BOM * feed + ",".join(fields)).alias("line"))
     return head.unionByName(rows.select(F.col("ord").cast("long"), F.concat_ws(",", *map(quoted, fields)).alias("line")))
 
 
+def history_csv(rows: DataFrame, fields: list[str] = HISTORY_FIELDS) -> DataFrame:
+    """Lines of checked URLs in their order (``ord``), with the columns of a history or, by BULK_FIELDS, of a batch."""
+    rows = rows.withColumn("checked_at", iso(F.col("checked_at"))) if "checked_at" in fields else rows
+    return csv_lines(rows, fields, feed=False)
+
+
 def feed_csv(rows: DataFrame) -> DataFrame:
     """Lines of at most FEED_ROWS indicators, newest first."""
     from pyspark.sql import Window as W
