@@ -76,6 +76,24 @@ def test_calibrated_scores_survive_a_save(spark, tmp_path):
     assert found[0].feature == "a" and {r.feature: round(r.importance, 9) for r in found} == {f: round(sum(x[k] for x in of) / 3, 9) for k, f in enumerate("abc")}
 
 
+def test_fit_goes_by_rows_and_not_by_the_parts_they_came_in(spark):
+    few, many = points(spark).coalesce(1), points(spark).repartition(60)
+    assert T.folded(many, ["a", "b", "c"], "y", "id", 3).rdd.getNumPartitions() == 1
+    of = lambda df: {r.id: round(r.score, 9) for r in T.fit_calibrated(df, ["a", "b", "c"], "y", "id", 3, TINY).score(df).select("id", "score").collect()}
+    assert of(few) == of(many)
+    parts = [T.in_parts(points(spark, 9_000).repartition(n), "id", 9_000).select("id").rdd.glom().collect() for n in (2, 60)]
+    assert parts[0] == parts[1] and len(parts[0]) == 5
+    assert T.in_parts(many, "id", 10**6).rdd.getNumPartitions() == 32 and T.in_parts(many, "id", 10**7).rdd.getNumPartitions() == 40
+
+
+def test_curve_of_equal_votes(spark):
+    rows = [(k % 7 / 7, float((k * k + k // 7) % 3 == 0)) for k in range(140)]
+    df = spark.createDataFrame(rows, "vote double, y double").repartition(6)
+    got, want = T.vote_curve(df, "y"), T.IsotonicRegression(featuresCol="vote", labelCol="y").fit(df)
+    for a, b in ((got.boundaries, want.boundaries), (got.predictions, want.predictions)):
+        assert len(a) == len(b) and all(abs(x - y) < 1e-12 for x, y in zip(a, b, strict=True))
+
+
 def rows_of(spark, feedback):
     """Bad names and good ones; feedback (url, label) trains."""
     bad = [(f"http://{w}-login{k}.xyz/verify/{k}", 1, "seed", "holdout" if k % 4 == 0 else "train") for k in range(24) for w in ("bank", "post")]
