@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -375,6 +376,16 @@ def test_op5_finds_single_lines(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_spent_tables_of_passages_go(spark):
+    words = [" ".join(f"w{n}x{k}" for k in range(70)) for n in range(3)]
+    texts = [f"{words[0]}\n{words[1]}", f"a b {words[0]} c", f"{words[1]}\n{words[2]}"]
+    scratch = Scratch(spark, "t")
+    left = {r.doc_id: r.text for r in passages.delete_passages(table(spark, texts), scratch).collect()}
+    assert left[0] == texts[0] and "w0x" not in left[1] and "w1x" not in left[2] and words[2] in left[2]
+    kept = {p.name for p in Path(scratch.root.removeprefix("file://")).iterdir()}
+    assert {"spans", "by-doc"} <= kept and not kept & {"units", "collided", "sets", "left", "rest", "line-members", "again-members", "open-ends", "surroundings", "heads-short", "heads-long"}
+
+
 def test_passages_go_to_their_ends(spark):
     fresh = iter(range(10**6))
     own = lambda n: [f"own{next(fresh)}" for _ in range(n)]

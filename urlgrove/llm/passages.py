@@ -245,7 +245,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, percent:
                     out.append({"a": rows[i]["key"], "b": rows[j]["key"]})
         return out
 
-    return same.unionByName(scratch.save(map_groups(dealt, ["band", "pair"], block, "a long, b long"), "more"))
+    more = scratch.save(map_groups(dealt, ["band", "pair"], block, "a long, b long"), "more")
+    scratch.drop("lines", "held", "collided", "sets", "left-colored", "left", "rest-colored", "rest", "counts")
+    return same.unionByName(more)
 
 
 REMOVAL = ["doc_id", "version", "start", "n_words", "keep_doc_id", "cluster_id"]
@@ -303,6 +305,7 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
 
     seen = map_slices(texts_of(docs, open_ends, fields), run, "doc_id long, version long, start int, cluster_id long, check long, keep_doc_id long, keep_version long, side int, nr long, near array<long>")
     seen = scratch.save(seen.withColumn("around", F.xxhash64("near")), "around")
+    scratch.drop("edges", "open-ends", "named", "numbers")
     # equal surroundings collapse; each length of what is left is looked up in the first document that has it
     of = ["cluster_id", "check", "side"]
     group = [*of, "around"]
@@ -316,16 +319,18 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
         several = heads.groupBy(*of, "nth", "head").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
         several = scratch.save(several, f"several-{tag}")
         shared = heads.join(several, [*of, "nth", "head"]).where("least < first").groupBy(group).agg(F.max("nth").alias("shared"))
-        return scratch.save(shared, f"shared-{tag}"), several
+        shared = scratch.save(shared, f"shared-{tag}")
+        scratch.drop(f"heads-{tag}")
+        return shared, several
 
     # a few words rule out most surroundings; a longer head is shared only where its beginning is
     short, several = shared_up_to(firsts, 1, FEW, "short")
     begins = several.where(F.col("nth") == FEW).select(*of, "head")
     going_on = firsts.where(F.size("near") > FEW).withColumn("head", F.xxhash64(F.slice("near", 1, FEW))).join(begins, [*of, "head"], "left_semi").drop("head")
     long, _ = shared_up_to(scratch.save(going_on, "going-on"), FEW + 1, REACH, "long")
-    scratch.drop("heads-short", "heads-long", "several-long", "going-on")
     shared = short.unionByName(long).groupBy(group).agg(F.max("shared").alias("shared"))
     reach = scratch.save(firsts.select(*group, "first", F.size("near").alias("whole")).join(shared, group, "left"), "reach")
+    scratch.drop("several-short", "several-long", "going-on", "surroundings", "shared-short", "shared-long")
     more = seen.drop("near").join(reach, group).withColumn("more", F.when(F.col("nr") > F.col("first"), F.col("whole")).otherwise(F.coalesce("shared", F.lit(0))))
     more = more.where("more > 0").withColumn("start", F.col("start") - F.when(F.col("side") < 0, F.col("more")).otherwise(0))
     return more.withColumn("n_words", F.lit(WINDOW) + F.col("more")).where(LATER).select(*REMOVAL)
@@ -349,9 +354,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall:
     # most windows stand alone: a count of fixed width rules them out before anything is sorted
     again = scratch.save(members.groupBy(*cluster).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     again = scratch.save(members.join(small(again), cluster).distinct(), "again-members")
+    scratch.drop("units", "line-members", "again")
     keepers = again.groupBy(*cluster).agg(F.min(F.struct(*DOC)).alias("keep"), F.max(F.struct(*DOC)).alias("last"))
     keepers = keepers.where("keep < last").select(*cluster, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.version").alias("keep_version"))
     held = scratch.save(again.join(scratch.save(keepers, "keepers"), cluster), "held-members")
+    scratch.drop("again-members", "keepers")
     removals = held.where(LATER)
     wide = widened(docs, held.where("not line"), scratch)
     removals = removals.select(*REMOVAL).unionByName(wide)
