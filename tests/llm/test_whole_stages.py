@@ -109,6 +109,28 @@ def test_repeated_spans_by_definition(spark):
     assert len(want) > 40 and sorted((r.doc_id, r.start, r.n_words) for r in got) == want
 
 
+def test_passages_that_repeat_themselves(spark):
+    """Spans by definition, and rows beside open ends that follow the passages' number and not their words."""
+    r, counts = random.Random(33), []
+    many = [[f"r{p}x{k}" for k in range(p)] for p in (1, 2, 3, 5, 9, 18, 19)]
+    texts = []
+    for k in range(90):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            p, n, at = r.choice(many), r.randint(30, 130), r.randrange(19)
+            parts += [[f"o{r.randrange(4)}"] * r.randint(0, 2), [p[(at + j) % len(p)] for j in range(n)], prose(5000 + r.randrange(40), r.randint(1, 30)).split()]
+        texts.append(" ".join(w for p in parts for w in p))
+    got = passages.repeated_spans(table(spark, texts), Scratch(spark, "t"), recall=0.999999).collect()
+    assert len(got) > 40 and sorted((x.doc_id, x.start, x.n_words) for x in got) == brute_spans(texts)
+    for n in (100, 400):
+        scratch = Scratch(spark, "t")
+        texts = [" ".join([prose(6000 + k, 20), *(["to", "be"] * n), prose(7000 + k, 20)]) for k in range(12)]
+        spans = passages.repeated_spans(table(spark, texts), scratch).collect()
+        assert sorted((x.doc_id, x.start, x.n_words) for x in spans) == brute_spans(texts)
+        counts.append(spark.read.parquet(scratch.path("around")).count())
+    assert counts[0] == counts[1] <= 12 * 2 * 4
+
+
 def test_windows_of_many_texts_are_those_of_each():
     r = random.Random(5)
     texts = [np.array([r.randrange(1 << 62) for _ in range(n)], np.uint64) for n in [0, 1, 31, 32, 33, 49, 50, 51, 400, 50, 32, 1000]]

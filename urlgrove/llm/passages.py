@@ -110,6 +110,21 @@ def windows(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def inner(of: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of chosen windows (text, start and key, in order) whether equal ones come twice before them (1), twice behind them (2) or both (3), at one distance of at most REACH and with no other between.
+
+    Such a text repeats itself. What a window in its midst has in common with an equal one elsewhere, on that side, its neighbours have too:
+    either the neighbour's words hold it, or the other one has the same neighbour, as windows that aren't chosen between two equal ones
+    have a greater hash; a first and a second one show what stands beside the repetition and what is repeated.
+    """
+    out, gap = np.zeros(len(at), np.int8), np.diff(at)
+    same = (of[1:] == of[:-1]) & (key[:, 1:] == key[:, :-1]).all(axis=0) & (gap <= REACH)
+    thrice = same[1:] & same[:-1] & (gap[1:] == gap[:-1])
+    out[2:][thrice] |= 1
+    out[:-2][thrice] |= 2
+    return out
+
+
 def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, min_line: int) -> tuple[np.ndarray, ...]:
     """Starts, numbers of words, keys and bands (a row each) of the lines of at least ``min_line`` words."""
     starts = np.cumsum(sizes) - sizes
@@ -131,7 +146,7 @@ def line_units(hashes: np.ndarray, sizes: np.ndarray, n_bands: int, rows: int, m
 
 
 def paragraphs(docs: DataFrame, n_bands: int, rows: int = 2, min_line: int = 20) -> DataFrame:
-    """doc_id, version, start, n_words, line, key and check (128 bits of content), and for lines the bands b0, b1, ..."""
+    """doc_id, version, start, n_words, line, key and check (128 bits of content), for windows ``inner``, and for lines the bands b0, b1, ..."""
     names = [f"b{k}" for k in range(n_bands)]
 
     def run(part: pa.RecordBatch) -> dict:
@@ -144,16 +159,18 @@ def paragraphs(docs: DataFrame, n_bands: int, rows: int = 2, min_line: int = 20)
         chosen = windows(texts)
         of_window = np.repeat(np.arange(len(texts)), [len(at) for at, _ in chosen])
         at = np.concatenate([np.empty(0, np.int64), *(a for a, _ in chosen)])
-        key = np.concatenate([np.empty((2, 0), np.uint64), *(k for _, k in chosen), line_keys], 1)
+        window_keys = np.concatenate([np.empty((2, 0), np.uint64), *(k for _, k in chosen)], 1)
+        key = np.concatenate([window_keys, line_keys], 1)
         line = np.repeat([False, True], [len(at), len(starts)])
         of = pa.array(np.append(of_window, of_line))
         start, size = np.append(at, starts - offset[of_line]), np.append(np.full(len(at), WINDOW), n)
         out = {"doc_id": part.column(0).take(of), "version": part.column(1).take(of), "start": start.astype(np.int32), "n_words": size.astype(np.int32), "line": line}
+        out["inner"] = np.append(inner(of_window, at, window_keys), np.zeros(len(starts), np.int8))
         key, band = np.ascontiguousarray(key).view(np.int64), np.concatenate([np.zeros((len(at), n_bands), np.uint64), band])
         out |= {"key": key[0], "check": key[1]}
         return out | {c: pa.array(np.ascontiguousarray(band[:, k]).view(np.int64), mask=~line) for k, c in enumerate(names)}
 
-    unit = "doc_id long, version long, start int, n_words int, line boolean, key long, check long, " + ", ".join(f"{c} long" for c in names)
+    unit = "doc_id long, version long, start int, n_words int, line boolean, inner byte, key long, check long, " + ", ".join(f"{c} long" for c in names)
     return map_slices(versions(docs), run, unit)
 
 
@@ -278,10 +295,12 @@ def widened(docs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     """Removed windows with the words to their left or right that some earlier copy has as well, up to REACH: the true ends of common passages.
 
     Any earlier document counts, not the keeper alone, as a longer passage may be shared with a later one than it.
+    Of a text that repeats itself only the outer windows are looked at (see ``inner``): rows follow the passages, not their words.
     """
     at = scratch.save(edges(held.where(LATER)), "edges")
     fields = ["start", "cluster_id", "check", "keep_doc_id", "keep_version", "side", "nr"]
-    open_ends = scratch.save(held.join(at, ["cluster_id", "check"]).select(*DOC, *fields[:-1]), "open-ends")
+    outer = F.col("inner").bitwiseAND(F.when(F.col("side") < 0, 1).otherwise(2)) == 0
+    open_ends = scratch.save(held.join(at, ["cluster_id", "check"]).where(outer).select(*DOC, *fields[:-1]), "open-ends")
     # documents by number in their order: the least of many is a long, which is hashed, where a struct would be sorted
     numbers = ranked(open_ends.select(*DOC).distinct().withColumn("one", F.lit(1).cast("long")), DOC, "one", "nr", scratch, "named").drop("one")
     open_ends = open_ends.join(small(scratch.save(numbers, "numbers")), DOC)
@@ -347,7 +366,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, percent: int = 75, recall:
     found = components(similar_lines(docs, lines, scratch, percent), scratch, "components")
     found = found.where(F.col("node") != F.col("root"))
     # a line's cluster is the root of its key (check 0); a window's is its key and check
-    place = [*DOC, "start", "n_words", "line"]
+    place = [*DOC, "start", "n_words", "line", "inner"]
     of_lines = lines.join(found, F.col("key") == F.col("node"), "left").select(*place, F.coalesce("root", "key").alias("cluster_id"), F.lit(0).cast("long").alias("check"))
     members = units.where("not line").select(*place, F.col("key").alias("cluster_id"), "check").unionByName(scratch.save(of_lines, "line-members"))
     cluster = ["cluster_id", "check"]
