@@ -87,3 +87,46 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[list[dict]], list[d
         tidy()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)
+
+
+def bounds(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the number of rows."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.append(np.flatnonzero(new), n)
+
+
+def map_runs(df: DataFrame, keys: list[str], fn: Callable[[pa.RecordBatch], list[dict]], schema: str, order: list[str] | None = None) -> DataFrame:
+    """``fn`` sees the rows of some whole groups of ``keys`` (numbers) at a time, sorted by keys and ``order``. For groups that are bounded by construction only."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held and (out := fn(pa.concat_batches(held))):
+            for at in range(0, len(out), 2000):
+                yield pa.RecordBatch.from_pylist(out[at : at + 2000], schema=target)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for part in slices(batch, 2000, 4 * BYTES):
+                cols = [part.column(part.schema.get_field_index(k)) for k in keys]
+                now, at = tuple(c[-1].as_py() for c in cols), 0
+                if tuple(c[0].as_py() for c in cols) != last:
+                    yield from made(held)
+                    held = []
+                if now != last:
+                    at = int(bounds(*(c.to_numpy(zero_copy_only=False) for c in cols))[-2])
+                    if at:
+                        yield from made([*held, part.slice(0, at)])
+                        held = []
+                held.append(part.slice(at))
+                last = now
+        yield from made(held)
+        tidy()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, schema)

@@ -55,12 +55,59 @@ def shingle_hashes(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(words(text)), n))
+#: Space and U+0009 to U+000D; the bytes of a word's last eight that count; longer words are hashed one by one.
+SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 256
+
+
+def split_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts in turn, eight bytes of all words at a time, and where each text's words begin."""
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    if ends[-1] == ends[0]:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    size = ends[-1] - ends[0]
+    data = np.zeros(size + 8, np.uint8)
+    data[:size] = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    gap = SPACE[data[:size]]
+    first, last = ~gap, ~gap
+    first[1:] &= gap[:-1]
+    last[:-1] &= gap[1:]
+    for edge, of in ((ends[ends < size], first), (ends[ends > 0] - 1, last)):
+        of[edge] = ~gap[edge]
+    start, left = np.flatnonzero(first), np.flatnonzero(last) + 1
+    left -= start
+    at = np.searchsorted(start, ends)
+    eight = np.ndarray((size + 1,), "<u8", data, strides=(1,))
+    out, which = left.astype(np.uint64) * ODD[0], np.flatnonzero(left <= LONG_WORD)
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + left[i]].tobytes())
+    for k in range(0, LONG_WORD, 8):
+        if not len(which):
+            break
+        rest = left[which] - k
+        out[which] = mix(out[which] * ODD[1] + (eight[start[which] + k] & MASKS[np.minimum(rest, 8)]))
+        which = which[rest > 8]
+    return out, at
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    x = np.sort(hashes)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def shingle_sets(texts: pa.Array | list, n: int = 5) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(h, n)) for h in batch_words(texts)]
+    """The distinct shingles of each text."""
+    flat, at = split_hashes(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    runs = shingle_hashes(flat, n)
+    return [distinct(runs[a : b - n + 1]) if b - a >= n else shingle_hashes(flat[a:b], n) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+    return shingle_sets([text], n)[0]
 
 
 def minhash(h: np.ndarray, t: int, seed: int = 7) -> np.ndarray:
