@@ -128,3 +128,12 @@ def test_observations_override_defaults(spark):
     p = url_parts(spark.createDataFrame([("http://a.com",), ("http://b.com",)], "url string"))
     none = spark.createDataFrame([], "host string, created date, registrar string"), spark.createDataFrame([], "host string, issuer string, not_before string, not_after string, san array<string>, valid boolean, self_signed boolean")
     assert {r.whois_ok for r in with_observations(p, *none, "2024-01-31 00:00:00").collect()} == {0}
+
+
+def test_registered_queries_fit_the_whole_models(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(J, "_fitted", {})
+    monkeypatch.setattr(J, "featured", lambda spark, d: d)
+    monkeypatch.setattr(J, "train", lambda rows, path, version, primary, params=T.Params(), folds=5, **more: seen.update(params=params, folds=folds, **more))  # noqa: B008
+    J.fitted(spark, "/root/testdata/sf0.001")
+    assert seen == {"params": T.Params(trees=200, forest_depth=30, least_split=2, rounds=200, boost_depth=6, step=0.1, rows=0.9, columns=0.9), "folds": 5}
